@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import licences, mixing, packing, splitting
+from marlstone.llm import licences, mixing, packing, parsing, splitting
 from marlstone.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_findings(table(spark, sf_dir, "run_files"), table(spark, sf_dir, "licences"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.broken_files(table(spark, sf_dir, "run_files"), explain=False).select("file_key").distinct()
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.broken_files(table(spark, sf_dir, "run_files")).distinct()
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "run_files")
+    return parsing.rates(files, parsing.broken_files(files))
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_records(table(spark, sf_dir, "run_files"), *_limit(spark, sf_dir, "split_source"))
     return pieces.drop("long_lines").dropDuplicates(["file_key", "piece_no"])
@@ -64,7 +77,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of the subpackage."""
-    own = [p1_found, p3_found, p3_pieces, p6_pack_short, p6_pack_long, p6_report, p7_mix, p7_shares]
+    own = [p1_found, p2_found, p2_report, p2_rates, p3_found, p3_pieces, p6_pack_short, p6_pack_long, p6_report, p7_mix, p7_shares]
     return {f.__name__: f for f in own}
 
 
