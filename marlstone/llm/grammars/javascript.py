@@ -21,7 +21,7 @@ export <- 'export' ('*' ('as' (WORD / STR))? 'from' STR eos / C<(exported (',' e
   / 'default' (function / class / !function !class assign eos) / variable eos / fndecl / classdecl)
 exported <- (WORD / STR) ('as' (WORD / STR))?
 local <- ident ('as' (WORD / STR))?
-statement <- C<block> / ';' / variable eos / fndecl / classdecl / if / for / while / do / return / jump / throw / try / switch / label / 'debugger' eos / !('function' / 'class' / 'async' ~ 'function') expr eos
+statement <- C<block> / ';' / variable eos / fndecl / classdecl / if / for / while / do / return / jump / throw / try / switch / label / 'debugger' eos / !('function' / 'class' / 'async' ~ 'function' / C<anything>) expr eos
 variable <- 'let' declarator (',' declarator)* / 'var' declarator (',' declarator)* / 'const' constant (',' constant)*
 declarator <- pattern '=' assign / binding ('=' assign)?
 constant <- (pattern / binding) '=' assign
