@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import licences, mixing, packing, pairs, parsing, splitting
+from marlstone.llm import licences, mixing, packing, pairs, parsing, responses, splitting
 from marlstone.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pairs(table(spark, sf_dir, "run_files"), table(spark, sf_dir, "symbols"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses.broken_responses(table(spark, sf_dir, "requests"))
+
+
 def p6_pack_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _limit(spark, sf_dir, "pack_short")[0])
 
@@ -85,7 +89,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of the subpackage."""
-    own = [p1_found, p2_found, p2_report, p2_rates, p3_found, p3_pieces, p4_found, p4_pairs, p6_pack_short, p6_pack_long, p6_report, p7_mix, p7_shares]
+    own = [p1_found, p2_found, p2_report, p2_rates, p3_found, p3_pieces, p4_found, p4_pairs, p5_found, p6_pack_short, p6_pack_long, p6_report, p7_mix, p7_shares]
     return {f.__name__: f for f in own}
 
 
