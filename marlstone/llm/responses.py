@@ -164,15 +164,16 @@ def _piece(x: str) -> str:
     return "`" if x[0] == "`" else "9" if x[0].isdigit() else x.lower()
 
 
-def seen_pairs(text: str) -> set[tuple[str, str]]:
-    """Neighbouring pieces whose second is a word, except a last word that no mark follows."""
-    pieces = _PIECES.findall(text)
-    out, before = set(), "^"
-    for x in pieces[:-1]:
+def seen_pairs(text: str, into: dict[tuple[str, str], list[int]]) -> None:
+    """Counts neighbouring pieces whose second is a word, and how often a sentence ends after it; not a last word that
+    no mark follows."""
+    pieces, before = _PIECES.findall(text), "^"
+    for x, after in zip(pieces, pieces[1:]):
         if x.isalpha():
-            out.add((before, x.lower()))
+            n = into.setdefault((before, x.lower()), [0, 0])
+            n[0] += 1
+            n[1] += after in ".!?"
         before = _piece(x)
-    return out
 
 
 def defect(response: str, prompt: Prompt) -> str | None:
@@ -188,7 +189,11 @@ def defect(response: str, prompt: Prompt) -> str | None:
     return "truncated" if breaks_off(response) else None
 
 
-_ROWS = "file string, id string, slot string, defect string, before string, last string"
+_ROWS = "file string, id string, slot string, defect string, before string, last string, n bigint, ended bigint"
+#: A pair of words is missed if so many were to be expected; a word never ends a sentence if it didn't in so many uses.
+EXPECTED, USES = 5, 200
+#: A word that ends this part of its uses without a mark is an ending.
+ENDS = 0.02
 
 
 def broken_responses(requests: DataFrame) -> DataFrame:
@@ -212,7 +217,7 @@ def broken_responses(requests: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in _ROWS.split(", ")]
         for b in batches:
             out: list[tuple] = []
-            pairs: set[tuple[str, str]] = set()
+            pairs: dict[tuple[str, str], list[int]] = {}
             for file, id_, snippet, qualname, answer, blocks in zip(*(b.column(i).to_pylist() for i in range(6))):
                 blocks = blocks or {}
                 chunks = [c for c in blocks.get("chunks") or [] if c]
@@ -226,22 +231,31 @@ def broken_responses(requests: DataFrame) -> DataFrame:
                 for slot, x in slots:
                     if x.strip() == "NONE":
                         continue
-                    pairs |= seen_pairs(x)
+                    seen_pairs(x, pairs)
                     what = defect(x, prompt)
                     last = None if what else last_pair(x)
                     if what or last:
-                        out.append((file, id_, slot, what, *(last or (None, None))))
-            out += [(None, None, None, None, *p) for p in pairs]
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=names)
+                        out.append((file, id_, slot, what, *(last or (None, None)), None, None))
+            out += [(None, None, None, None, *p, *n) for p, n in pairs.items()]
+            cols = list(zip(*out)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 6 else pa.int64()) for i, c in enumerate(cols)], names=names)
 
     all_ = written(rows.mapInArrow(run, _ROWS), "responses")
     told = all_.filter("defect is not null").select("file", "id", "slot", "defect")
     open_ = all_.filter("slot is not null and defect is null")
-    pairs = all_.filter("slot is null").select("before", "last").distinct()
-    asked = open_.select("before", "last").distinct()
-    longer = pairs.select("before", F.explode(F.expr("transform(sequence(1, greatest(1, length(last) - 1)), k -> substring(last, 1, k))")).alias("last"), F.col("last").alias("whole")).filter("last <> whole").select("before", "last")
-    cut = asked.join(pairs, ["before", "last"], "left_anti").join(longer, ["before", "last"], "left_semi")
+    pairs = all_.filter("slot is null").groupBy("before", "last").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
+    words = pairs.groupBy("last").agg(F.sum("n").alias("n_last"), F.sum("ended").alias("n_ended"))
+    firsts = pairs.groupBy("before").agg(F.sum("n").alias("n_before"))
+    total = pairs.agg(F.sum("n").alias("total"))
+    asked = open_.groupBy("before", "last").agg(F.count("*").alias("n_final"))
+    finals = asked.groupBy("last").agg(F.sum("n_final").alias("n_finals"))
+    starts = F.explode(F.expr("transform(sequence(1, greatest(1, length(last) - 1)), k -> substring(last, 1, k))"))
+    longer = pairs.select("before", starts.alias("start"), "last").filter("start <> last").select("before", F.col("start").alias("last")).distinct().withColumn("longer", F.lit(True))
+    known = asked.join(pairs.select("before", "last", F.col("n").alias("n_pair")), ["before", "last"], "left").join(longer, ["before", "last"], "left")
+    known = known.join(words, "last", "left").join(firsts, "before", "left").join(finals, "last").join(total)
+    unseen = F.col("n_pair").isNull() & F.col("longer") & (F.col("n_last").isNull() | (F.col("n_last") * F.col("n_before") >= EXPECTED * F.col("total")))
+    never_last = (F.col("n_last") >= USES) & (F.col("n_ended") == 0) & (F.col("n_finals") < ENDS * F.col("n_last"))
+    cut = known.filter(F.coalesce(unseen, F.lit(False)) | F.coalesce(never_last, F.lit(False))).select("before", "last")
     salted = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     off = open_.withColumn("salt", F.pmod(F.xxhash64("file", "id"), F.lit(SALTS)).cast("int")).join(salted, ["before", "last", "salt"], "left_semi")
     return told.unionByName(off.select("file", "id", "slot", F.lit("truncated").alias("defect"))).distinct()
