@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import licences, mixing, packing, pairs, parsing, responses, splitting
+from marlstone.llm import licences, mixing, packing, pairs, parsing, responses, spam, splitting
 from marlstone.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,9 +87,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.flagged(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p8_line_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.line_shares(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """Every query of the subpackage."""
-    own = [p1_found, p2_found, p2_report, p2_rates, p3_found, p3_pieces, p4_found, p4_pairs, p5_found, p6_pack_short, p6_pack_long, p6_report, p7_mix, p7_shares]
+    own = [p1_found, p2_found, p2_report, p2_rates, p3_found, p3_pieces, p4_found, p4_pairs, p5_found, p6_pack_short, p6_pack_long, p6_report, p7_mix, p7_shares, p8_found, p8_line_shares]
     return {f.__name__: f for f in own}
 
 
