@@ -1 +1,177 @@
-"""Queries."""
+"""Queries over run_files: loading, line endings, comments, roles, caches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.functions import text as T
+from marlstone.operators import loading, parse, patch
+from marlstone.plans.catalog import query
+from marlstone.tables import table
+
+ONCE = "f AS (SELECT file_key, arg_max({'v': path}, (loaded_at, path)).v AS path, arg_max({'v': source_blob}, (loaded_at, path)).v AS source_blob, arg_max({'v': source_lines}, (loaded_at, path)).v AS source_lines, arg_max({'v': language}, (loaded_at, path)).v AS language, arg_max({'v': content_sha}, (loaded_at, path)).v AS content_sha, arg_max({'v': repo}, (loaded_at, path)).v AS repo FROM run_files GROUP BY file_key)"
+BLANK = "'^(20|09|0C|0B|0D)*$'"
+COMMENT = "((language = 'python' AND regexp_matches(h, '^(20|09)*(23)')) OR (language IN ('c', 'javascript') AND regexp_matches(h, '^(20|09)*(2F2F|2F2A|2A)')))"
+LINES = f"WITH {ONCE}, l AS (SELECT file_key, coalesce(language, '') AS language, generate_subscripts(source_lines, 1) AS line_no, hex(unnest(source_lines)) AS h FROM f)"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loading.delivered_once(table(spark, sf_dir, "run_files"))
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT file_key, regexp_replace(hex(source_blob), '(..)', '\\1 ', 'g') AS t FROM run_files WHERE source_blob IS NOT NULL
+), c AS (SELECT file_key, (length(t) - length(replace(t, '0D 0A ', ''))) // 6 AS crlf, (length(t) - length(replace(t, '0D ', ''))) // 3 AS crs, (length(t) - length(replace(t, '0A ', ''))) // 3 AS lfs FROM f)
+SELECT file_key, CAST(crlf AS INTEGER) AS n_crlf, CAST(crs - crlf AS INTEGER) AS n_cr, CAST(lfs - crlf AS INTEGER) AS n_lf,
+  CASE WHEN crlf > greatest(crs - crlf, lfs - crlf) THEN 'crlf' WHEN crs > lfs THEN 'cr' ELSE 'lf' END AS line_ending FROM c"""
+)
+def line_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crlf, cr, lf = loading.ending_counts(F.col("source_blob"))
+    f = table(spark, sf_dir, "run_files").filter("source_blob is not null")
+    return f.select("file_key", crlf.alias("n_crlf"), cr.alias("n_cr"), lf.alias("n_lf"), loading.line_ending(F.col("source_blob")).alias("line_ending")).distinct()
+
+
+@query("SELECT file_key, bool_or(is_target) AS is_target FROM run_files GROUP BY file_key")
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "run_files")
+    return loading.run_files(f.filter("is_target"), f.filter("not is_target"))
+
+
+@query(
+    f"""WITH {ONCE} SELECT file_key, path, regexp_extract(file_key, '(\\.[^./]+)?$', 0) AS extension,
+  regexp_matches(file_key, '\\.(py|c|h|js|mjs|cjs)$') AS taken,
+  CASE WHEN regexp_matches(lower(file_key), '\\.(h|hh|hpp)$') THEN 'header' WHEN regexp_matches(lower(file_key), '\\.(c|cc|cpp)$') THEN 'implementation' ELSE 'other' END AS role FROM f"""
+)
+def gathered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "run_files").select("file_key", "path", "loaded_at")
+    f = f.groupBy("file_key").agg(F.max_by("path", F.struct("loaded_at", "path")).alias("path"))
+    extension = F.regexp_extract("file_key", r"(\.[^./]+)?$", 0)
+    return f.select("file_key", "path", extension.alias("extension"), extension.isin(*T.SOURCES).alias("taken"), T.file_role(F.col("file_key")).alias("role"))
+
+
+@query(
+    f"""{LINES} SELECT file_key, count(*) AS n_lines, count(*) FILTER (regexp_matches(h, {BLANK})) AS n_blank,
+  count(*) FILTER (NOT regexp_matches(h, {BLANK}) AND {COMMENT}) AS n_comment, CAST(max(length(h) // 2) AS INTEGER) AS longest FROM l GROUP BY file_key"""
+)
+def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir).filter("size(source_lines) > 0")
+    n = lambda keep: F.size(F.filter("source_lines", keep)).cast("long")
+    language = F.coalesce("language", F.lit(""))
+    return f.select(
+        "file_key",
+        F.size("source_lines").cast("long").alias("n_lines"),
+        n(patch.is_blank).alias("n_blank"),
+        n(lambda x: ~patch.is_blank(x) & patch.is_comment(x, language)).alias("n_comment"),
+        F.array_max(F.transform("source_lines", F.octet_length)).alias("longest"),
+    )
+
+
+@query(
+    f"""{LINES} SELECT file_key, count(*) AS n_code, sha256(string_agg(h, '|' ORDER BY line_no)) AS signature
+FROM l WHERE NOT regexp_matches(h, {BLANK}) AND NOT {COMMENT} GROUP BY file_key"""
+)
+def code_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir)
+    language = F.coalesce("language", F.lit(""))
+    code = patch.code_lines(F.col("source_lines"), language)
+    out = f.select("file_key", F.size(code).cast("long").alias("n_code"), patch.code_signature(F.col("source_lines"), language).alias("signature"))
+    return out.filter("n_code > 0")
+
+
+@query(
+    f"""{LINES}, c AS (SELECT file_key, bool_or(regexp_matches(h, '^(20|09)*2F2F')) AS line, bool_or(regexp_matches(h, '^(20|09)*2F2A')) AS block FROM l WHERE language IN ('c', 'javascript') GROUP BY 1)
+SELECT file_key, CASE WHEN line AND NOT block THEN 'line' ELSE 'block' END AS style FROM c"""
+)
+def comment_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir).filter("language in ('c', 'javascript') and size(source_lines) > 0")
+    any_ = lambda p: F.exists("source_lines", lambda x: F.hex(x).rlike(p))
+    return f.select("file_key", F.when(any_("^(20|09)*2F2F") & ~any_("^(20|09)*2F2A"), "line").otherwise("block").alias("style"))
+
+
+@query(
+    f"""{LINES}, z AS (SELECT file_key, coalesce(min(line_no) FILTER (NOT regexp_matches(h, {BLANK}) AND NOT regexp_matches(h, '^(20|09)*23')), max(line_no) + 1) AS first_code FROM l WHERE language = 'python' GROUP BY 1)
+SELECT file_key, CAST(first_code - 1 AS INTEGER) AS zone_end FROM z"""
+)
+def header_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir).filter("language = 'python' and size(source_lines) > 0")
+    code = F.transform("source_lines", lambda x: ~patch.is_blank(x) & ~patch.is_comment(x, F.lit("python")))
+    at = F.array_position(code, True)
+    return f.select("file_key", F.when(at > 0, at - 1).otherwise(F.size("source_lines")).cast("int").alias("zone_end"))
+
+
+@query(
+    f"""{LINES}, m AS (SELECT file_key, line_no, regexp_matches(h, {BLANK}) AS blank FROM l
+), g AS (SELECT *, line_no - row_number() OVER (PARTITION BY file_key, blank ORDER BY line_no) AS run FROM m)
+SELECT file_key, CAST(min(line_no) AS INTEGER) AS first_line, CAST(max(line_no) AS INTEGER) AS last_line FROM g WHERE NOT blank GROUP BY file_key, run"""
+)
+def line_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir).filter("size(source_lines) > 0")
+    n = F.size("source_lines")
+    blank = lambda i: F.coalesce(patch.is_blank(F.try_element_at("source_lines", i)), F.lit(True))
+    numbers = F.sequence(F.lit(1), n)
+    starts = F.filter(numbers, lambda i: ~blank(i) & ((i == 1) | blank(F.greatest(i - 1, F.lit(1)))))
+    ends = F.filter(numbers, lambda i: ~blank(i) & ((i == n) | blank(F.least(i + 1, n))))
+    return f.select("file_key", F.explode(F.arrays_zip(starts.alias("first_line"), ends.alias("last_line"))).alias("b")).select("file_key", "b.first_line", "b.last_line")
+
+
+@query(
+    f"""WITH {ONCE}, k AS (SELECT content_sha, count(*) AS n_files, min(file_key) AS first_key FROM f WHERE content_sha IS NOT NULL GROUP BY 1)
+SELECT f.file_key, f.content_sha, k.n_files, f.file_key = k.first_key AS computes FROM f JOIN k ON k.content_sha = f.content_sha"""
+)
+def content_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "run_files").select("file_key", "path", "content_sha", "loaded_at")
+    f = f.groupBy("file_key").agg(F.max_by("content_sha", F.struct("loaded_at", "path")).alias("content_sha")).filter("content_sha is not null")
+    k = f.groupBy("content_sha").agg(F.count("*").alias("n_files"), F.min("file_key").alias("first_key"))
+    return f.join(k, "content_sha").select("file_key", "content_sha", "n_files", (F.col("file_key") == F.col("first_key")).alias("computes"))
+
+
+@query(
+    f"""WITH {ONCE}, d AS (SELECT DISTINCT repo, regexp_replace(file_key, '/[^/]*$', '') AS dir FROM f WHERE language IS NOT NULL
+), c AS (SELECT file_key, regexp_replace(file_key, '/[^/]*$', '') AS dir, lower(regexp_extract(file_key, '[^/]*$', 0)) AS name FROM f WHERE language IS NULL
+), up AS (SELECT DISTINCT d.dir, k AS level, array_to_string(list_slice(string_split(d.dir, '/'), 1, len(string_split(d.dir, '/')) - k), '/') AS above FROM d, range(0, 9) t(k) WHERE len(string_split(d.dir, '/')) - k >= 4
+), r AS (SELECT up.dir, c.file_key, row_number() OVER (PARTITION BY up.dir ORDER BY level, name NOT LIKE '%.md', name, file_key) AS k FROM up JOIN c ON c.dir = up.above)
+SELECT dir, file_key AS project_doc FROM r WHERE k = 1"""
+)
+def project_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "run_files").select("file_key", "language").distinct()
+    dir_, name = F.regexp_replace("file_key", r"/[^/]*$", ""), F.lower(F.regexp_extract("file_key", r"[^/]*$", 0))
+    dirs = f.filter("language is not null").select(dir_.alias("dir")).distinct()
+    up = dirs.withColumn("level", F.explode(F.sequence(F.lit(0), F.least(F.lit(8), F.size(F.split("dir", "/")) - 4)))).withColumn("above", F.expr("substring_index(dir, '/', size(split(dir, '/')) - level)"))
+    docs = f.filter("language is null").select(dir_.alias("above"), (~name.endswith(".md")).alias("plain"), name.alias("name"), "file_key")
+    best = docs.groupBy("above").agg(F.min(F.struct("plain", "name", "file_key")).alias("doc"))
+    return up.join(best, "above").groupBy("dir").agg(F.min_by("doc.file_key", "level").alias("project_doc"))
+
+
+@query()
+def guessed_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "run_files").dropDuplicates(["file_key"])
+    return loading.guessed_languages(f, "file_key", loading.carried(F.col("source_blob")))
+
+
+@query()
+def python_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.python_definitions(table(spark, sf_dir, "run_files").dropDuplicates(["file_key"]))
+
+
+@query()
+def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.python_imports(table(spark, sf_dir, "run_files").dropDuplicates(["file_key"]))
+
+
+@query()
+def python_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.paragraphs(table(spark, sf_dir, "run_files").dropDuplicates(["file_key"]))
+
+
+@query()
+def annotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.operators import queue
+
+    f = _files(spark, sf_dir)
+    found = table(spark, sf_dir, "symbols").select("file", "qualname", "start_line").distinct()
+    answers = queue.slots(queue.latest(table(spark, sf_dir, "requests"))).filter("slot = 'def'").filter(~queue.blank(F.col("answer")) & ~T.declines(F.col("answer")))
+    ids = answers.select("file", F.regexp_extract("id", r"^fn:(.*):[^:]*$", 1).alias("qualname"), "answer").groupBy("file", "qualname").agg(F.min("answer").alias("text"))
+    first = found.groupBy("file", "qualname").agg(F.min("start_line").alias("line_no"))
+    notes = ids.join(first, ["file", "qualname"]).select(F.col("file").alias("file_key"), "line_no", "text")
+    return patch.annotated(f, notes).select("file_key", "n_inserted", "preserved", F.size("source_lines").alias("n_lines"))
