@@ -77,16 +77,19 @@ class SuffixAutomaton:
         return out
 
 
-def best_chain(anchors: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int, int]]]:
+def best_chain(anchors: list[tuple[int, int, int]], reach: int) -> tuple[int, list[tuple[int, int, int]]]:
     """The collinear chain of anchors (text start, template start, length) that covers most of the template.
 
-    Anchors may overlap; the overlap counts once. Returns the covered length and the chain.
+    Anchors may overlap; the overlap counts once. Two that follow each other start at most `reach` apart in the text,
+    so a long text costs time in proportion. Returns the covered length and the chain.
     """
     anchors = sorted(set(anchors))
     score, back = [a[2] for a in anchors], [-1] * len(anchors)
     for i, (s, t, n) in enumerate(anchors):
-        for j in range(i):
+        for j in range(i - 1, -1, -1):
             s2, t2, n2 = anchors[j]
+            if s - s2 > reach:
+                break
             if s2 < s and t2 < t and s2 + n2 < s + n and t2 + n2 < t + n:
                 gain = n - max(0, s2 + n2 - s, t2 + n2 - t)
                 if gain > 0 and score[j] + gain > score[i]:

@@ -112,7 +112,7 @@ class Templates:
         while anchors:
             best = None
             for k in list(anchors):
-                covered, chain = best_chain(anchors[k])
+                covered, chain = best_chain(anchors[k], 2 * len(self.sequences[k]))
                 if covered < COVERAGE * len(self.sequences[k]):
                     del anchors[k]
                 elif best is None or covered > best[0]:

@@ -106,9 +106,10 @@ def draw(documents: DataFrame, m: Mix, key: str = "doc_id", text: str = "text",
     """Each record as often as it was drawn, in a global random order: the input's columns and mix_copy (from 0).
 
     Records whose source is null or has no target are not part of the mixture. mix_order is the random position's key.
+    Columns of the input named mix_copy, mix_copies or mix_order are replaced. An empty input gives an empty mixture.
     """
     number = _number(key, text, seed)
-    rows = documents.withColumn("mix_copies", _copies(m, source_name(F.col(source)), number)).filter("mix_copies > 0")
+    rows = documents.drop("mix_copy", "mix_order").withColumn("mix_copies", _copies(m, source_name(F.col(source)), number)).filter("mix_copies > 0")
     rows = rows.withColumn("mix_copy", F.explode(F.expr("sequence(0, mix_copies - 1)"))).drop("mix_copies")
     return rows.withColumn("mix_order", F.xxhash64(key, "mix_copy", F.lit(seed + 1))).orderBy("mix_order", key, "mix_copy")
 

@@ -65,8 +65,8 @@ def broken(blob: bytes, language: str) -> bool:
     try:
         if valid(blob, language):
             return False
-    except RecursionError:  # nested deeper than any grammar here goes: not shown to be invalid
-        return False
+    except RecursionError:  # nested deeper than the machine goes: not shown to be invalid, but for Python's compiler
+        return language == "python" and not exactly_valid(blob)
     return language != "python" or not exactly_valid(blob)
 
 

@@ -199,11 +199,12 @@ ENDS = 0.02
 def broken_responses(requests: DataFrame) -> DataFrame:
     """(file, id, slot, defect) of the defective answers: one row for each defective slot.
 
-    A null answer and the answer NONE are none. A null snippet is looked up by snippet_ref; where that leads nowhere,
+    A null answer and the answer NONE are none. A chunk without a number goes by its place. A null snippet is looked up by snippet_ref; where that leads nowhere,
     the prompt has no snippet. Rows delivered twice give one row. Defects are tried in the order empty, copy, refusal,
     language, truncated.
     """
     columns = ["file", "id", "snippet", "qualname", F.col("def.answer").alias("answer"), "blocks"]
+    requests = requests.select("file", "id", "snippet", "snippet_ref", "qualname", "def", "blocks")
     has = requests.filter(F.col("snippet").isNotNull() | F.col("snippet_ref").isNull()).select(*columns)
     lacks = requests.filter(F.col("snippet").isNull() & F.col("snippet_ref").isNotNull())
     wanted = lacks.select(F.col("snippet_ref").alias("id")).distinct()
@@ -222,7 +223,7 @@ def broken_responses(requests: DataFrame) -> DataFrame:
                 blocks = blocks or {}
                 chunks = [c for c in blocks.get("chunks") or [] if c]
                 slots = [("def", answer)] if answer is not None else []
-                slots += [(f"b{c['bidx']}", c["answer"]) for c in chunks if c["answer"] is not None]
+                slots += [(f"b{k if c['bidx'] is None else c['bidx']}", c["answer"]) for k, c in enumerate(chunks) if c["answer"] is not None]
                 if not slots:
                     continue
                 parts = [snippet, blocks.get("doc_summary"), blocks.get("length_note"), (qualname or "").rpartition(".")[2]]

@@ -34,12 +34,14 @@ SHARE = 0.5
 PIECE = 30
 #: A keyword makes up this part of a text's words and comes this often; stuffed lines consist of keywords by half.
 KEYWORD, TIMES, STUFFED = 0.035, 4, 0.45
+#: Texts with more stop words than this are not read for keywords.
+PROSE = 0.37
 
 _FUNCTION = {w for ws in STOPWORDS.values() for w in ws.split()}
 _WORD = re.compile(r"[ぁ-ゟ]+|[゠-ヿー]+|[一-鿿々]+|[^\W_ぁ-ヿ一-鿿]+")
 _URL = re.compile(
-    r"<a\s[^>]*>|</a>|\[[^\]\n]{0,80}\]\((?=\w+:)|(?:h(?:tt|xx)ps?|ftp)\s?[:：]\s?/{0,2}\S+(?:\s?(?:\[\.\]|\(\.\)|\(dot\)|\[dot\]| dot )\s?[\w/?=&#%~-]+)*|www\S*(?:\s?(?:\[\.\]|\(\.\)|\(dot\)|\[dot\]| dot )\s?[\w/?=&#%~-]+)*"
-    r"|\b[\w-]+(?:(?:\.|\[\.\]|\(\.\)|\s?\(dot\)\s?|\s?\[dot\]\s?| dot )[\w-]+){1,4}(?:/[\w./?=&#%~-]*)|\b[\w-]+(?:\.|\[\.\]|\(\.\)| dot )(?:com|org|net|test|example|invalid|io|info|biz|shop|site|online|xyz)\b\S*",
+    r"<a\s[^>]{0,400}>|</a>|\[[^\]\n]{0,80}\]\((?=\w+:)|(?:h(?:tt|xx)ps?|ftp)\s?[:：]\s?/{0,2}\S+(?:\s?(?:\[\.\]|\(\.\)|\(dot\)|\[dot\]| dot )\s?[\w/?=&#%~-]+)*|www\S*(?:\s?(?:\[\.\]|\(\.\)|\(dot\)|\[dot\]| dot )\s?[\w/?=&#%~-]+)*"
+    r"|(?<![\w-])[\w-]{1,63}(?:(?:\.|\[\.\]|\(\.\)|\s?\(dot\)\s?|\s?\[dot\]\s?| dot )[\w-]{1,63}){1,4}(?:/[\w./?=&#%~-]*)|(?<![\w-])[\w-]{1,63}(?:\.|\[\.\]|\(\.\)| dot )(?:com|org|net|test|example|invalid|io|info|biz|shop|site|online|xyz)\b\S*",
     re.I,
 )
 _CODE = re.compile(r"^\s*(?:[>$]\s)?(?:\S*\d\d?:\d\d\b.*|\d{4}-\d\d-\d\d.*|\[?(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE)\b.*|-{1,2}[A-Za-z][\w-]*(?:[ =,].*)?$|[\w.]+\([^)]*\)[;:{]?\s*$|[\w.\[\]]+\s*[-+*/|&]?=\s*\S.*|.*[;{}]\s*$|(?:return|import|from|def|class|if|for|while|else|elif|end|fi|done)\b.*[:;({]\s*.*|\$ .*|[A-Z_]{3,}=.*|at .*\(.*:\d+\)|Traceback.*|\|?[-=+|: ]{4,}\|?$)")
@@ -95,6 +97,8 @@ def symbol(line: str, keywords: set[str], fenced: bool = False) -> tuple[str, in
     if len(plain) < n:
         ws = plain or ws
     share = _function_share(ws)
+    if re.match(r"\s*\S*\d\d?:\d\d\b", line) and _CODE.match(line):
+        return "code", n
     if keywords and len(ws) > 2 and sum(w in keywords for w in ws) >= STUFFED * len(ws):
         return "stuffed", n
     items = [x for x in _SEPARATOR.split(line.strip(" .*-•|\t")) if x.strip()]
@@ -147,8 +151,8 @@ def shares(text: str) -> dict[str, float]:
     total = len(all_words)
     count = Counter(w for w in all_words if w not in _FUNCTION and not "ぁ" <= w[0] <= "ゟ")
     keywords = {w for w, n in count.most_common(40) if n >= TIMES and n >= KEYWORD * total}
-    if sum(count[w] for w in keywords) < 0.3 * total:  # a theme, not stuffing
-        keywords = set()
+    if sum(count[w] for w in keywords) < 0.3 * total or total and _function_share(all_words) > PROSE:
+        keywords = set()  # a theme, or sentences that come again
     looks, sizes, fenced = [], [], False
     for line in pieces(text):
         fence = line.lstrip().startswith(("```", "~~~"))
