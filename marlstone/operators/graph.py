@@ -117,17 +117,26 @@ def dependency_levels(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
 
 
 def _cycle_members(edges: DataFrame) -> DataFrame:
-    """Nodes of the cycle that all else rests on: the node of least name reachable from every node's least reachable."""
-    n = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("least", F.col("node"))
-    n = written(n, "reach")
-    while True:  # the least name each node reaches; a round at least halves no path, but cycles left here are short
-        via = edges.join(n.select(F.col("node").alias("dst"), F.col("least").alias("via")), "dst").groupBy("src").agg(F.min("via").alias("via"))
-        m = n.join(via.withColumnRenamed("src", "node"), "node", "left").select("node", F.least("least", "via").alias("new"), "least")
-        m = written(m.select("node", F.col("new").alias("least"), (F.col("new") < F.col("least")).alias("changed")), "reach")
-        if m.filter("changed").isEmpty():
-            break
-        n = m.select("node", "least")
-    return m.filter("node = least").select("node")
+    """One node of every cycle that depends on no other: the least name in it.
+
+    Such a node reaches no lesser name, and all it reaches reach it again, so no least name beyond its own.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    least = _spread(edges, nodes.withColumn("value", F.col("node")), F.min, F.least)
+    most = _spread(edges, least, F.max, F.greatest).withColumnRenamed("value", "most")
+    return least.join(most, "node").filter("node = value and value = most").select("node")
+
+
+def _spread(edges: DataFrame, values: DataFrame, among, of_two) -> DataFrame:
+    """For each node the extreme of the values (node, value) that it reaches, its own included; a round an edge."""
+    values = written(values.select("node", "value"), "reach")
+    while True:
+        via = edges.join(values.select(F.col("node").alias("dst"), F.col("value").alias("via")), "dst").groupBy(F.col("src").alias("node")).agg(among("via").alias("via"))
+        new = values.join(via, "node", "left").select("node", of_two("value", "via").alias("new"), F.col("value").alias("old"))
+        new = written(new.select("node", F.col("new").alias("value"), (F.col("new") != F.col("old")).alias("changed")), "reach")
+        values = new.select("node", "value")
+        if new.filter("changed").isEmpty():
+            return values
 
 
 def file_edges(edges: DataFrame) -> DataFrame:
