@@ -29,28 +29,37 @@ def head_crop(lines: Column, budget: int, bytes_per_token: float = 2.0) -> Colum
     return F.slice(lines, 1, n)
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def elided(lines: Column, header: int, budget: int, marker: str = "... {n} lines omitted ...", ratio: float = 0.5) -> Column:
     """struct(n_head, n_tail, n_omitted): header lines are always kept, the body's middle is left out to fit a budget.
 
     n_omitted is 0 where all fits or nothing would be dropped. The header and the marker are charged first.
     """
-    size = F.size(lines)
-    tokens = lambda x: estimated_tokens(x)
-    body = F.slice(lines, header + 1, F.greatest(size - header, F.lit(0)))
-    n_body = F.size(body)
-    head_tokens = F.when(size > 0, tokens(F.array_join(F.slice(lines, 1, header), "\n"))).otherwise(0)
-    rest = F.lit(budget) - head_tokens - tokens(F.replace(F.lit(marker), F.lit("{n}"), n_body.cast("string")))
-    head_budget = F.floor(rest * ratio).cast("long")
-    costs = F.transform(body, lambda x: (tokens(x) + 1).cast("long"))
-    n_head = _prefix(costs, head_budget)
-    n_tail = F.least(_prefix(F.reverse(costs), rest - head_budget), n_body - n_head)
-    fits = (tokens(F.array_join(lines, "\n")) <= budget) | (n_body == 0)
-    dropped = n_body - n_head - n_tail
-    return (
-        F.when(fits | ((rest > 0) & (dropped <= 0)), F.struct(n_body.alias("n_head"), F.lit(0).alias("n_tail"), F.lit(0).alias("n_omitted")))
-        .when(rest <= 0, F.struct(F.lit(0).alias("n_head"), F.lit(0).alias("n_tail"), n_body.alias("n_omitted")))
-        .otherwise(F.struct(n_head.alias("n_head"), n_tail.alias("n_tail"), dropped.alias("n_omitted")))
-    )
+    out = lambda a, b, c: F.struct(a.cast("int").alias("n_head"), b.cast("int").alias("n_tail"), c.cast("int").alias("n_omitted"))
+    none = F.lit(0)
+
+    def sized(s: Column) -> Column:
+        head = F.when(s["n"] > 0, estimated_tokens(F.array_join(F.slice(lines, 1, header), "\n"))).otherwise(0)
+        rest = F.lit(budget) - head - estimated_tokens(F.replace(F.lit(marker), F.lit("{n}"), s["n_body"].cast("string")))
+        costs = F.transform(F.slice(lines, header + 1, s["n_body"]), lambda x: (estimated_tokens(x) + 1).cast("long"))
+        return _let(F.struct(rest.alias("rest"), F.floor(rest * ratio).cast("long").alias("up"), costs.alias("costs"), s["n_body"].alias("n_body")), cut)
+
+    def cut(s: Column) -> Column:
+        head, tail = _prefix(s["costs"], s["up"]), _prefix(F.reverse(s["costs"]), s["rest"] - s["up"])
+        return _let(F.struct(head.alias("head"), tail.alias("tail"), s["rest"].alias("rest"), s["n_body"].alias("n_body")), decided)
+
+    def decided(s: Column) -> Column:
+        tail = F.least(s["tail"], s["n_body"] - s["head"])
+        dropped = s["n_body"] - s["head"] - tail
+        return F.when(s["rest"] <= 0, out(none, none, s["n_body"])).when(dropped <= 0, out(s["n_body"], none, none)).otherwise(out(s["head"], tail, dropped))
+
+    n_body = F.greatest(F.size(lines) - header, F.lit(0))
+    fits = (estimated_tokens(F.array_join(lines, "\n")) <= budget) | (n_body == 0)
+    return F.when(fits, out(n_body, none, none)).otherwise(_let(F.struct(F.size(lines).alias("n"), n_body.alias("n_body")), sized))
 
 
 def chunks(lines: Column, budget: int, bytes_per_token: float = 2.0) -> Column:

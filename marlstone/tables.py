@@ -50,3 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over at least as many partitions as there are cores, for work that is heavy for its bytes.
+
+    Only an input with fewer partitions than cores is shuffled, so a large one never is. For scans with projections
+    and filters; anything that shuffles would be run by counting its partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
