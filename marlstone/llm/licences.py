@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.automaton import SuffixAutomaton, best_chain
-from marlstone.tables import written
+from marlstone.tables import spread, written
 
 #: A body counts as given if at least this part of its words is covered.
 COVERAGE = 0.93
@@ -322,7 +322,7 @@ def licence_findings(files: DataFrame, licences: DataFrame) -> DataFrame:
     kind = F.when(F.col("language").isNotNull(), "file").when(name.rlike(LICENCE_FILE), "licence").when(name.rlike(PACKAGE_FILE), "package")
     rows = files.select("file_key", kind.alias("kind"), "source_blob", "language").filter("kind is not null and file_key is not null")
     rows = rows.filter(repository_of(F.col("file_key")) != "")
-    said = written(rows.mapInArrow(run, "file_key string, kind string, ids array<string>, choice boolean"), "licence-statements")
+    said = written(spread(rows).mapInArrow(run, "file_key string, kind string, ids array<string>, choice boolean"), "licence-statements")
     said = said.withColumn("dir", F.regexp_replace("file_key", r"/[^/]*$", "")).withColumn("repo", repository_of(F.col("file_key")))
     root = F.size(F.split("dir", "/")) == 4
     # a directory's licence files state its terms: all of them together

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.tokens import VOCABULARY, counts
+from marlstone.tables import spread
 
 #: Means at which thresholds are told apart.
 GRID = np.exp(np.linspace(np.log(1e-5), np.log(60.0), 16384))
@@ -70,7 +71,7 @@ def calibrate(documents: DataFrame, targets: dict[str, tuple[float, int]], key:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])], names=["s", "k", "bin", "tokens", "records"])
 
     rows = documents.select(source_name(F.col(source)).alias("s"), _number(key, text, seed).alias("u"), text).filter(F.col("s").isin(list(targets)))
-    cells = rows.mapInArrow(run, "s string, k int, bin int, tokens bigint, records bigint").groupBy("s", "k", "bin").agg(F.sum("tokens").alias("tokens"), F.sum("records").alias("records"))
+    cells = spread(rows).mapInArrow(run, "s string, k int, bin int, tokens bigint, records bigint").groupBy("s", "k", "bin").agg(F.sum("tokens").alias("tokens"), F.sum("records").alias("records"))
     have, n, at = {s: 0 for s in targets}, {s: 0 for s in targets}, {s: np.zeros(len(GRID) + 1) for s in targets}
     for s, k, i, tokens, records in map(tuple, cells.collect()):  # bounded by sources x repeats x grid
         if k < 0:

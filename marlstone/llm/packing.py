@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.tokens import VOCABULARY, counts
-from marlstone.tables import written
+from marlstone.tables import spread, written
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,7 @@ def token_counts(documents: DataFrame, key: str, text: str, vocabulary: str = VO
             yield pa.RecordBatch.from_arrays([b.column(0), n], names=[name, "n_tokens"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias(name), text).mapInArrow(run, f"{name} {kind}, n_tokens bigint")
+    return spread(documents.select(F.col(key).alias(name), text)).mapInArrow(run, f"{name} {kind}, n_tokens bigint")
 
 
 def pack(documents: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

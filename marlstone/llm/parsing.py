@@ -15,6 +15,7 @@ from marlstone.llm.grammars import c, javascript, python
 from marlstone.llm.grammars.peg import Grammar
 from marlstone.llm.grammars.python import Malformed
 from marlstone.llm.licences import repository_of
+from marlstone.tables import spread
 
 LANGUAGES = ("python", "c", "javascript")
 _CONFLICT = re.compile(r"(?m)^(<{7}|={7}|>{7}|\|{7})(?: |$)")
@@ -145,7 +146,7 @@ def broken_files(files: DataFrame, explain: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.string(), pa.string(), pa.int32(), pa.string()])], names=["file_key", "language", "line_no", "cause"])
 
     rows = files.select("file_key", "source_blob", "language").filter(F.col("source_blob").isNotNull() & F.col("language").isin(*LANGUAGES))
-    return rows.mapInArrow(run, _SCHEMA)
+    return spread(rows).mapInArrow(run, _SCHEMA)
 
 
 def rates(files: DataFrame, found: DataFrame) -> DataFrame:

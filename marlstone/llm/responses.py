@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.automaton import SuffixAutomaton
-from marlstone.tables import written
+from marlstone.tables import spread, written
 
 #: A response copies if matches of at least MATCH words (or the whole response) cover this part of its words.
 COPIED, MATCH = 0.9, 8
@@ -205,7 +205,7 @@ def broken_responses(requests: DataFrame) -> DataFrame:
     """
     columns = ["file", "id", "snippet", "qualname", F.col("def.answer").alias("answer"), "blocks"]
     requests = requests.select("file", "id", "snippet", "snippet_ref", "qualname", "def", "blocks")
-    has = requests.filter(F.col("snippet").isNotNull() | F.col("snippet_ref").isNull()).select(*columns)
+    has = spread(requests.filter(F.col("snippet").isNotNull() | F.col("snippet_ref").isNull()).select(*columns))
     lacks = requests.filter(F.col("snippet").isNull() & F.col("snippet_ref").isNotNull())
     wanted = lacks.select(F.col("snippet_ref").alias("id")).distinct()
     carriers = requests.filter("snippet is not null").select("id", "snippet").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("snippet").alias("found"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.responses import STOPWORDS
+from marlstone.tables import spread
 
 STATES = ("prose", "links", "tags", "menu")
 SYMBOLS = ("sentence", "stuffed", "link", "items", "short", "code", "other")
@@ -179,7 +180,7 @@ def line_shares(documents: DataFrame, key: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[s] for r in rows], pa.float64()) for s in STATES)], names=["doc_id", *STATES])
 
     kind = documents.schema[key].dataType.simpleString()
-    out = documents.select(F.col(key).alias("doc_id"), text).mapInArrow(run, _SCHEMA.format(kind))
+    out = spread(documents.select(F.col(key).alias("doc_id"), text)).mapInArrow(run, _SCHEMA.format(kind))
     return out.withColumnRenamed("doc_id", key)
 
 

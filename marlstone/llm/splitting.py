@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.tables import spread
+
 #: How little a source pauses at a cut: between paragraphs at the outermost level, between paragraphs, before an
 #: outermost line, between lines, at white space within a line, anywhere.
 PARAGRAPH_TOP, PARAGRAPH, TOP, LINE, BLANK, ANYWHERE = 0.0, 0.15, 0.3, 0.6, 3.0, 6.0
@@ -170,7 +172,7 @@ def split_records(files: DataFrame, max_size: int, overlap: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
     over = files.select("file_key", "source_blob", "line_ending").filter(F.length("source_blob") > max_size)
-    return over.mapInArrow(run, _PIECES)
+    return spread(over).mapInArrow(run, _PIECES)
 
 
 def found(pieces: DataFrame) -> DataFrame:

@@ -247,10 +247,10 @@ def test_pairs(spark):
 
 def test_functions_are_delimited():
     js = "// adds\nfunction add(a, b) { return '}' + `}${a}` + /[}]/.exec(b); }\nclass A {\n  /** says */\n  say(x) { if (x) { y() } }\n}\nconst z = (a) => { return a; };\n"
-    got = {n: (code, doc) for n, _, _, code, doc in pairs.functions(js, "javascript")}
+    got = {n: (code, doc) for n, _, _, code, doc, _ in pairs.functions(js, "javascript")}
     assert got["add"][0].endswith("exec(b); }") and got["add"][1] == "// adds" and got["say"] == ("say(x) { if (x) { y() } }", "/** says */") and "z" in got
     py = 'class A:\n    def f(self):\n        """Doc."""\n        return "def g(): {"\n\n\ndef h(): pass\n'
-    assert [(n, a, b, d) for n, a, b, _, d in pairs.functions(py, "python")] == [("f", 2, 4, "Doc."), ("h", 7, 7, None)]
+    assert [(n, a, b, d) for n, a, b, _, d, _ in pairs.functions(py, "python")] == [("f", 2, 4, "Doc."), ("h", 7, 7, None)]
 
 
 PROMPT = responses.Prompt(["def load(a, b):\n    # keep the order of things as it was before\n    return merge(a, b) + [x for x in b if x]\n", "Routine is short: comment only what the code does not say.", "load"])
