@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import first_line
 from marlstone.operators import graph
 from marlstone.plans.catalog import query
-from marlstone.tables import table
+from marlstone.tables import table, written
 
 #: The last definition of each (file, qualname), as the operators see it.
 UNIQUE = """u AS (
@@ -47,7 +47,7 @@ CONTRACTS = """, contracts AS (
 
 
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.unique_symbols(table(spark, sf_dir, "symbols"))
+    return written(graph.unique_symbols(table(spark, sf_dir, "symbols")), "symbols")  # read by several branches of a plan
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
