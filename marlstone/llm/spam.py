@@ -51,12 +51,27 @@ _SEPARATOR = re.compile(r"\s*(?:[,;|»›·•‣▪>/~*]|、|・|，|\s-\s|\s
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 
 
+#: A text without any of these, and without a dot before a letter, holds no URL, so it need not be searched for one.
+_MARKS_OF_URLS = ("://", "www", "](", "[.", "(.", " dot", "[dot", "(dot", "<a", "</a", "：", "ttp", "ftp", "xxp", "WWW", "<A")
+_DOTTED = re.compile(r"\.\w")
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _without_urls(text: str) -> str:
+    return _URL.sub(" ", text) if any(x in text for x in _MARKS_OF_URLS) or _DOTTED.search(text) else text
+
+
+def split_words(line: str) -> tuple[list[str], list[str]]:
+    """The words of a line, and those outside of URLs."""
+    ws, bare = words(line), _without_urls(line)
+    return ws, ws if bare is line else words(bare)
+
+
 def _function_share(ws: list[str]) -> float:
-    return sum(w in _FUNCTION or "ぁ" <= w[0] <= "ゟ" for w in ws) / len(ws)
+    return (sum(map(_FUNCTION.__contains__, ws)) + sum("ぁ" <= w[0] <= "ゟ" and w not in _FUNCTION for w in ws if not w.isascii())) / len(ws)
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -84,20 +99,21 @@ def pieces(text: str) -> Iterator[str]:
                 at = end
 
 
-def symbol(line: str, keywords: set[str], fenced: bool = False) -> tuple[str, int]:
-    """What a line looks like, and its words."""
-    ws = words(line)
+def symbol(line: str, keywords: set[str], fenced: bool = False, parts: tuple[list[str], list[str]] | None = None) -> tuple[str, int]:
+    """What a line looks like, and its words; parts: the words of the line, and those outside of URLs, if known."""
+    ws, plain = parts or split_words(line)
     n = len(ws)
     if fenced or line.lstrip().startswith(("```", "~~~")):
         return "code", n
     if not n:
         return "other", 0
-    plain = words(_URL.sub(" ", line))
     if len(plain) < 0.6 * n and not (len(plain) >= 4 and _function_share(plain) >= 0.3):
         return "link", n
     if len(plain) < n:
         ws = plain or ws
     share = _function_share(ws)
+    if share >= 0.3 and not keywords:  # whether code or not: prose
+        return "sentence", n
     if re.match(r"\s*\S*\d\d?:\d\d\b", line) and _CODE.match(line):
         return "code", n
     if keywords and len(ws) > 2 and sum(w in keywords for w in ws) >= STUFFED * len(ws):
@@ -108,7 +124,7 @@ def symbol(line: str, keywords: set[str], fenced: bool = False) -> tuple[str, in
         return "items", n
     if _CODE.match(line):
         return "code", n
-    if len(items) >= 3 and len(words(line)) <= 4.5 * len(items) and share < 0.2:
+    if len(items) >= 3 and n <= 4.5 * len(items) and share < 0.2:
         return "items", n
     if re.match(r"\s*#{1,6}\s|\s*=+\s*$", line) or len(ws) < 2 and line.rstrip()[-1:] in ":.":
         return "other", n
@@ -148,16 +164,19 @@ def labels(symbols: list[str]) -> list[str]:
 
 def shares(text: str) -> dict[str, float]:
     """The share of a text's words in lines of each label; all zero for a text without words."""
-    all_words = words(_URL.sub(" ", text))
-    total = len(all_words)
-    count = Counter(w for w in all_words if w not in _FUNCTION and not "ぁ" <= w[0] <= "ゟ")
-    keywords = {w for w, n in count.most_common(40) if n >= TIMES and n >= KEYWORD * total}
-    if sum(count[w] for w in keywords) < 0.3 * total or total and _function_share(all_words) > PROSE:
-        keywords = set()  # a theme, or sentences that come again
+    lines = list(pieces(text))
+    parts = [split_words(x) for x in lines]
+    all_words = [w for _, plain in parts for w in plain]
+    total, keywords = len(all_words), set()
+    if total and _function_share(all_words) <= PROSE:  # else sentences, though they may come again
+        count = Counter(w for w in all_words if w not in _FUNCTION and not "ぁ" <= w[0] <= "ゟ")
+        keywords = {w for w, n in count.most_common(40) if n >= TIMES and n >= KEYWORD * total}
+        if sum(count[w] for w in keywords) < 0.3 * total:  # a theme, not stuffing
+            keywords = set()
     looks, sizes, fenced = [], [], False
-    for line in pieces(text):
+    for line, known in zip(lines, parts):
         fence = line.lstrip().startswith(("```", "~~~"))
-        s, n = symbol(line, keywords, fenced or fence)
+        s, n = symbol(line, keywords, fenced or fence, known)
         fenced ^= fence
         looks.append(s)
         sizes.append(n)
