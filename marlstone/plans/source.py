@@ -154,3 +154,12 @@ def documentation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = lambda f, q: F.concat(F.col(f), F.lit("\n"), F.col(q))
     levels = graph.dependency_levels(p.select(node("then_file", "then").alias("src"), node("first_file", "first").alias("dst")))
     return levels.select(F.split("node", "\n")[0].alias("file"), F.split("node", "\n")[1].alias("qualname"), "level")
+
+
+@query()
+def structurally_elided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.operators.elision import structurally_elided as elide
+
+    q = queue.latest(table(spark, sf_dir, "requests")).filter(F.col("snippet").isNotNull() & F.col("file").endswith(".py"))
+    e = q.select("file", "id", "snippet", elide(F.col("snippet"), 150).alias("elided"))
+    return e.select("file", "id", "elided", T.estimated_tokens(F.col("snippet")).alias("n_before"), T.estimated_tokens(F.col("elided")).alias("n_after"))

@@ -320,3 +320,14 @@ def test_queries_and_sql_name_the_same():
 def test_extra_columns_do_no_harm(spark):
     d = spark.createDataFrame([Row(i=1, t="a\nb", n_lines=5, prompt="x", reply="old")])
     assert model.generated(d, "prompt").first().reply == "x"
+
+
+def test_structural_elision():
+    from marlstone.operators.elision import collapsed
+
+    text = "def f(a):\n    if a:\n        for x in a:\n            g(x)\n            h(x)\n    else:\n        k(a)\n    return a\n"
+    assert collapsed(text, 999) == text
+    assert collapsed(text, 52) == "def f(a):\n    if a:\n        for x in a:\n            ...  # 2 lines\n    else:\n        k(a)\n    return a\n"
+    small = collapsed("    " + text.replace("\n", "\n    "), 20)
+    assert small.startswith("    def f(a):") and "..." in small and len(small) <= 40
+    assert collapsed("def f(:\n" * 9, 10) == "def f(:\ndef f(:" and collapsed("x" * 99, 5) == ""
