@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "call_edges"
+FLAGSHIP = "merged_answers"
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
