@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from itertools import islice, product
+from collections.abc import Iterator
 
+from marlstone.llm.grammars.conditions import FILE, OPEN_CURLY, Dead, Places, Sets
 from marlstone.llm.grammars.peg import Grammar
 from marlstone.llm.grammars.python import Malformed
 
@@ -82,8 +83,6 @@ _TOKEN = re.compile(
 _NUMBER = re.compile(r"(?:0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+[fFlL]?|(?:\d+\.\d*|\.\d+)(?:[eE][+-]?\d+)?[fFlL]?|\d+[eE][+-]?\d+[fFlL]?|(?:0[xX][0-9a-fA-F]+|0[bB][01]+|0[0-7]*|[1-9]\d*)(?:[uU](?:ll|LL|[lL])?|(?:ll|LL|[lL])[uU]?)?)$")
 _DIRECTIVE = re.compile(r"[ \t]*(?:#|%:)[ \t]*(\w*)[ \t]*(.*)", re.S)
 _ESCAPE = re.compile(r"\\(?:['\"?\\abfnrtv]|[0-7]{1,3}|x[0-9a-fA-F]+|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})")
-#: Settings of the tested macros that are tried in full; beyond that, one macro after the other is set for fewer errors.
-ALL_SETTINGS = 256
 
 
 def grammar() -> Grammar:
@@ -260,6 +259,53 @@ def preprocessed(parts: list[Part], setting: dict[str, bool]) -> list[tuple[int,
 DIRECTIVES = {"define", "undef", "include", "pragma", "line", "error", "warning", "ident", "include_next", "import", ""}
 
 
+def _called(params: list[str], body: str, text: str, pos: int, line: int) -> tuple[str, int] | None:
+    """What a macro with parameters becomes, and where its call ends; None where no call follows."""
+    m = re.compile(r"\s*\(").match(text, pos)
+    if not m:
+        return None
+    i, depth, args, start = m.end(), 1, [], m.end()
+    while i < len(text) and depth:
+        t = _TOKEN.match(text, i)
+        if t is None:
+            raise Malformed(line, "no token")
+        y = t.group()
+        if y in ("(", "[", "{"):
+            depth += 1
+        elif y in (")", "]", "}"):
+            depth -= 1
+        if not depth or y == "," and depth == 1:
+            args.append(text[start:i])
+            start = t.end()
+        i = t.end()
+    if depth:
+        raise Malformed(line, "macro call without end")
+    values = dict(zip(params, args))
+    if params and params[-1] == "__VA_ARGS__":
+        values["__VA_ARGS__"] = ",".join(args[len(params) - 1 :])
+    body = re.sub(r"\#\s*(\w+)", lambda q: '""' if q[1] in values else q.group(), re.sub(r"\s*\#\#\s*", "", body) if not values else body)
+    body = re.sub(r"(\w+)\s*\#\#\s*(\w+)", lambda q: f"{values.get(q[1], q[1]).strip()}{values.get(q[2], q[2]).strip()}", body)
+    return re.sub(r"[^\W\d]\w*", lambda q: f" {values[q.group()]} " if q.group() in values else q.group(), body), i
+
+
+def _directive(d: str, rest: str, line: int, text_of: str) -> tuple[str, tuple | None] | None:
+    """The macro that a directive sets, and its parameters and body, or None for an end of it; Malformed for an error."""
+    if d not in DIRECTIVES or d == "error":
+        raise Malformed(line, "unknown directive" if d != "error" else "#error")
+    if d == "define":
+        m = re.match(r"([^\W\d]\w*)(\(([^()]*)\))?\s*", rest)
+        if not m:
+            raise Malformed(line, "macro without a name")
+        if m[1] in text_of:
+            params = [p.strip() for p in m[3].split(",") if p.strip()] if m[2] else None
+            return m[1], (tuple("__VA_ARGS__" if p == "..." else p for p in params) if m[2] else None, rest[m.end() :])
+    elif d == "undef":
+        return rest.strip(), None
+    elif d == "include" and not re.match(r"<[^>]+>\s*$|\"[^\"]+\"\s*$|[^\W\d]\w*", rest):
+        raise Malformed(line, "nothing included")
+    return None
+
+
 def symbols(runs: list, g: Grammar, places: dict | None = None) -> str:
     """Symbols of preprocessed text; places, if given, gets for each group the lines of its symbols."""
     tok = g.tokens
@@ -267,7 +313,7 @@ def symbols(runs: list, g: Grammar, places: dict | None = None) -> str:
     out: list[str] = []
     at: list[int] = []
     stack: list[tuple] = []
-    macros: dict[str, tuple[list[str] | None, str]] = {}
+    macros: dict[str, tuple[tuple[str, ...] | None, str]] = {}
     scan = _TOKEN.match
 
     def close(x: str, line: int) -> None:
@@ -326,34 +372,13 @@ def symbols(runs: list, g: Grammar, places: dict | None = None) -> str:
         if params is None:
             read(body, line, hidden | {x})
             return pos
-        m = re.compile(r"\s*\(").match(text, pos)
-        if not m:
+        got = _called(params, body, text, pos, line)
+        if got is None:
             out.append(name)
             at.append(line)
             return pos
-        i, depth, args, start = m.end(), 1, [], m.end()
-        while i < len(text) and depth:
-            t = scan(text, i)
-            if t is None:
-                raise Malformed(line, "no token")
-            y = t.group()
-            if y in ("(", "[", "{"):
-                depth += 1
-            elif y in (")", "]", "}"):
-                depth -= 1
-            if not depth or y == "," and depth == 1:
-                args.append(text[start:i])
-                start = t.end()
-            i = t.end()
-        if depth:
-            raise Malformed(line, "macro call without end")
-        values = dict(zip(params, args))
-        if params and params[-1] == "__VA_ARGS__":
-            values["__VA_ARGS__"] = ",".join(args[len(params) - 1 :])
-        body = re.sub(r"\#\s*(\w+)", lambda q: '""' if q[1] in values else q.group(), re.sub(r"\s*\#\#\s*", "", body) if not values else body)
-        body = re.sub(r"(\w+)\s*\#\#\s*(\w+)", lambda q: f"{values.get(q[1], q[1]).strip()}{values.get(q[2], q[2]).strip()}", body)
-        read(re.sub(r"[^\W\d]\w*", lambda q: f" {values[q.group()]} " if q.group() in values else q.group(), body), line, hidden | {x})
-        return i
+        read(got[0], line, hidden | {x})
+        return got[1]
 
     text_of = "\n".join(x for _, x in runs if isinstance(x, str))
     for line, run in runs:
@@ -361,19 +386,11 @@ def symbols(runs: list, g: Grammar, places: dict | None = None) -> str:
             read(run, line)
             continue
         _, d, rest = run
-        if d not in DIRECTIVES or d == "error":
-            raise Malformed(line, "unknown directive" if d != "error" else "#error")
-        if d == "define":
-            m = re.match(r"([^\W\d]\w*)(\(([^()]*)\))?\s*", rest)
-            if not m:
-                raise Malformed(line, "macro without a name")
-            if m[1] in text_of:
-                params = [p.strip() for p in m[3].split(",") if p.strip()] if m[2] else None
-                macros[m[1]] = ["__VA_ARGS__" if p == "..." else p for p in params] if m[2] else None, rest[m.end() :]
-        elif d == "undef":
-            macros.pop(rest.strip(), None)
-        elif d == "include" and not re.match(r"<[^>]+>\s*$|\"[^\"]+\"\s*$|[^\W\d]\w*", rest):
-            raise Malformed(line, "nothing included")
+        told = _directive(d, rest, line, text_of)
+        if told and told[1]:
+            macros[told[0]] = told[1]
+        elif told:
+            macros.pop(told[0], None)
     if stack:
         raise Malformed(stack[-1][3], "bracket without end")
     if places is not None:
@@ -381,74 +398,171 @@ def symbols(runs: list, g: Grammar, places: dict | None = None) -> str:
     return "".join(out)
 
 
-def settings(names: list[str]):
-    """Settings to try: all, where they are few; else the uniform ones first, then each macro alone against them."""
-    if 2 ** len(names) <= ALL_SETTINGS:
-        yield from (dict(zip(names, v)) for v in product((False, True), repeat=len(names)))
-        return
-    for base in (False, True):
-        yield dict.fromkeys(names, base)
-    for base in (False, True):
-        for x in names:
-            yield dict.fromkeys(names, base) | {x: not base}
-    first = names[:8]
-    for v in islice(product((False, True), repeat=len(first)), ALL_SETTINGS):
-        yield dict.fromkeys(names, False) | dict(zip(first, v))
+class _Search:
+    """All settings at once: the places reached, each with the settings that lead there."""
+
+    def __init__(self, parts: list[Part], names: list[str], g: Grammar):
+        self.parts, self.g, self.sets, self.places = parts, g, Sets(), Places(g)
+        self.order = {x: i for i, x in enumerate(names)}
+        self.text_of = "\n".join(_texts(parts))
+        #: of each macro its definitions (None: none), each with the settings under which it holds
+        self.macros: dict[str, dict[tuple | None, int]] = {}
+
+    def valid(self) -> bool:
+        return any(self.places.accepted(frames) for frames in self.walk(self.parts, {(FILE,): 1}, 1))
+
+    def walk(self, ps: list[Part], now: dict[tuple, int], path: int) -> dict[tuple, int]:
+        """The places after the parts, from the places before them; path: all settings that come here."""
+        less, both = self.sets.less, self.sets.both
+        for p in ps:
+            if not now:
+                return now
+            if not p.branches:
+                now = self.text(p.text, now)
+            elif p.branches[0][0] == "directive":
+                try:
+                    told = _directive(*p.branches[0][1:], p.start, self.text_of)
+                except Malformed:
+                    return {}
+                if told:
+                    old = self.macros.get(told[0], {None: 1})
+                    new = {d: x for d, s in old.items() if (x := less(s, path))}
+                    new[told[1]] = self.sets.either(new.get(told[1], 0), path)
+                    self.macros[told[0]] = new
+            else:
+                after: dict[tuple, int] = {}
+                left = path
+                for b in p.branches:
+                    c = True if b[0] == "else" else _condition("if" if b[0] == "elif" else b[0], b[1])
+                    if isinstance(c, bool) or _guards(b, c):
+                        here = int(not isinstance(c, bool) or c)
+                    else:
+                        here = self.sets.where(self.order[c[0]], not c[1])
+                    taken = {f: x for f, s in now.items() if (x := both(s, here))}
+                    self.join(after, self.walk(b[2], taken, both(left, here)))
+                    now = {f: x for f, s in now.items() if (x := less(s, here))}
+                    left = less(left, here)
+                self.join(after, now)
+                now = after
+        return now
+
+    def join(self, into: dict[tuple, int], more: dict[tuple, int]) -> None:
+        for f, s in more.items():
+            into[f] = self.sets.either(into.get(f, 0), s)
+
+    def text(self, text: str, now: dict[tuple, int]) -> dict[tuple, int]:
+        """Reads a run of plain text; where a macro's definition depends on the setting, the places part, and those
+        that come to the same one are joined again at the next such macro."""
+        at: dict[int, dict[tuple, int]] = {0: now}
+        while min(at) < len(text):
+            pos = min(at)
+            for frames, s in at.pop(pos).items():
+                todo = [s]
+                while todo:
+                    s = todo.pop()
+                    try:
+                        end, got = self.read(text, pos, frames, s)
+                    except _Parting as e:
+                        todo += e.sets
+                        continue
+                    except (Malformed, Dead):
+                        continue
+                    self.join(at.setdefault(end, {}), {got: s})
+            if not at:
+                return {}
+        return at[len(text)]
+
+    def definition(self, x: str, s: int) -> tuple | None:
+        """What a macro stands for under the settings."""
+        some = [(d, y) for d, z in self.macros[x].items() if (y := self.sets.both(s, z))]
+        if len(some) > 1:
+            raise _Parting([y for _, y in some])
+        return some[0][0]
+
+    def read(self, text: str, pos: int, frames: tuple, s: int) -> tuple[int, tuple]:
+        """Reads on up to the next macro that depends on the setting, at least a token."""
+        tok, stack, new = self.g.tokens, list(frames), [[] for _ in frames]
+        word, name, scan, macros = tok.get, tok["NAME"], _TOKEN.match, self.macros
+
+        def through(text: str, pos: int, hidden: frozenset) -> int:
+            first = True
+            while pos < len(text):
+                m = scan(text, pos)
+                if m is None:
+                    raise Malformed(0, "no token")
+                k, x, start, pos = m.lastgroup, m.group(), pos, m.end()
+                if k == "w":
+                    if x in macros and x not in hidden:
+                        if not hidden and not first and len(macros[x]) > 1:
+                            return start
+                        d = self.definition(x, s)
+                        if d is not None:
+                            params, body = d
+                            got = (body, pos) if params is None else _called(params, body, text, pos, 0)
+                            if got is None:
+                                new[-1].append(name)
+                            else:
+                                pos = got[1]
+                                through(got[0], 0, hidden | {x})
+                            if not hidden:
+                                return pos
+                            continue
+                    new[-1].append(word(x, name))
+                elif k == "k":
+                    continue
+                elif k == "o":
+                    new[-1].append(tok[x])
+                elif k == "b":
+                    if x in "([{":
+                        stack.append(OPEN_CURLY if x == "{" else ("P" if x == "(" else "B", ""))
+                        new.append([])
+                    else:
+                        if stack[-1][0] != {")": "P", "]": "B", "}": "C"}[x]:
+                            raise Malformed(0, "closing bracket without its opening one")
+                        symbol = self.places.closed(self.places.settled(stack.pop(), "".join(new.pop())))
+                        new[-1].append(symbol)
+                elif k == "n":
+                    if not _NUMBER.match(x):
+                        raise Malformed(0, "no number")
+                    new[-1].append(tok["NUM"])
+                else:
+                    if "\\" in x and _ESCAPE.sub("", x).count("\\"):
+                        raise Malformed(0, "unknown escape")
+                    new[-1].append(tok["STR" if k == "s" else "CHAR"])
+                first = False
+            return pos
+
+        end = through(text, pos, frozenset())
+        return end, tuple(self.places.settled(f, "".join(n)) if n else f for f, n in zip(stack, new))
+
+
+class _Parting(Exception):
+    """A macro's definition differs among the settings."""
+
+    def __init__(self, sets: list[int]):
+        super().__init__()
+        self.sets = sets
+
+
+def _texts(parts: list[Part]) -> Iterator[str]:
+    for p in parts:
+        if not p.branches:
+            yield p.text
+        for b in p.branches or ():
+            if b[0] != "directive":
+                yield from _texts(b[2])
 
 
 def check(text: str, g: Grammar) -> tuple[bool, int, str]:
-    """Whether some setting of the macros tested gives a valid file; else the line of the failure and why."""
+    """Whether some setting of the macros tested gives a valid file; else the line of the failure with none set and why."""
     parts = structure(text)
     names = tested(parts)
-    worst: tuple[int, str] = (-1, "")
-    tried: set[str] = set()
-
-    def attempt(setting: dict[str, bool]) -> bool:
-        nonlocal worst
-        try:
-            s = symbols(preprocessed(parts, setting), g)
-        except Malformed as e:
-            worst = max(worst, (e.at, e.why))
-            return False
-        if s in tried:
-            return False
-        tried.add(s)
-        if g.accepts(s, "file"):
-            return True
-        worst = max(worst, (-1, "grammar"))
-        return False
-
-    for setting in settings(names):
-        if attempt(setting):
+    why: tuple[int, str] = (-1, "grammar")
+    try:
+        if g.accepts(symbols(preprocessed(parts, {}), g), "file"):
             return True, 0, ""
-    if 2 ** len(names) > ALL_SETTINGS:
-        for base in (False, True):
-            setting = _fewest_errors(parts, names, g, base)
-            if attempt(setting):
-                return True, 0, ""
-    return False, worst[0], worst[1] or "grammar"
-
-
-def _fewest_errors(parts: list[Part], names: list[str], g: Grammar, base: bool) -> dict[str, bool]:
-    """Sets one macro after the other the way that leaves fewer external declarations invalid."""
-
-    def errors(setting: dict[str, bool]) -> int:
-        try:
-            s = symbols(preprocessed(parts, setting), g)
-        except Malformed:
-            return 10**9
-        units, wrong = re.split("(?<=[;%s-%s])" % (chr(0x10000), chr(0x6FFFF)), s.replace(g.tokens[";"], ";")), 0
-        at = 0
-        for u in units:
-            at += len(u)
-            wrong += not g.accepts(u.replace(";", g.tokens[";"]), "file")
-        return wrong
-
-    setting = dict.fromkeys(names, base)
-    best = errors(setting)
-    for x in names:
-        other = setting | {x: not setting[x]}
-        e = errors(other)
-        if e < best:
-            setting, best = other, e
-    return setting
+    except Malformed as e:
+        why = e.at, e.why
+    if names and _Search(parts, names, g).valid():
+        return True, 0, ""
+    return False, *why

@@ -46,6 +46,7 @@ class Grammar:
         self.source = parsed
         self.number = {r: i for i, r in enumerate(parsed)}
         self.fn: list = [None] * len(parsed)
+        self.asked: dict[str, list[tuple[int, tuple]]] = {}  # by kind of group: the rules that its contents are asked for
         for r, e in parsed.items():
             self.fn[self.number[r]] = self._memoised(self.number[r], self._build(e))
 
@@ -255,6 +256,7 @@ class Grammar:
             name = f"<{kind}{len(self.fn)}>"
             n = len(self.fn)
             self.number[name] = n
+            self.asked.setdefault(kind, []).append((n, inner))
             self.fn.append(None)
             self.fn[n] = self._build(inner)
             kinds = self

@@ -74,3 +74,58 @@ def test_deep_nesting_and_odd_bytes():
     assert parsing.broken(b"\x00", "python") and not parsing.broken(b"\xef\xbb\xbfint x;\r\n", "c")
     with pytest.raises(Malformed):
         python.decoded(b"# coding: nothing\n")
+
+
+def by_all_settings(text):
+    from itertools import product
+
+    g = parsing._grammar("c")
+    try:
+        parts = c.structure(text)
+    except Malformed:
+        return False
+    names = c.tested(parts)
+    for values in product((False, True), repeat=len(names)):
+        try:
+            if g.accepts(c.symbols(c.preprocessed(parts, dict(zip(names, values))), g), "file"):
+                return True
+        except Malformed:
+            pass
+    return False
+
+
+def test_settings_where_several_macros_have_to_differ():
+    text = "".join(f"#ifdef M{i}\nint a{i};\n#endif\n" for i in range(3, 9)) + "#ifdef M1\n#error\n#endif\n#ifdef M2\n#error\n#endif\n#ifndef M9\n#error\n#endif\n#ifndef M10\n#error\n#endif\n"
+    assert accepts("c", text) and not accepts("c", text + "#ifdef M9\n#error\n#endif\n")
+    body = "".join(f"#ifdef N{i}\n  f(&x[{i}], a);\n#else\n  if (x) {{ y = {i}; }} else\n#endif\n" for i in range(40))
+    table = "".join(f"#ifdef T{i}\n  {{ {i}, A }},\n#else\n  B{i},\n#endif\n" for i in range(40))
+    logs = "".join(f"#ifdef L{i}\n#define LOG{i}(x) f(x);\n#else\n#define LOG{i}(x)\n#endif\n" for i in range(40)) + "void g(void) {\n" + "".join(f"LOG{i}(1)\n" for i in range(40))
+    text = f"int t[] = {{\n{table}}};\nint h(void) {{\n{body}  ;\n}}\n{logs}}}\n"
+    assert accepts("c", text + "#ifdef N3\n)\n#endif\n#ifndef L7\n)\n#endif\n#ifdef T2\n)\n#endif\n")
+    assert not accepts("c", text + "}\n") and not accepts("c", text + "#ifdef N3\n)\n#else\nx y z;\n#endif\n")
+
+
+def test_settings_agree_with_trying_all():
+    rng = random.Random(3)
+    pieces = ["int a;", "int f(void) {", "}", "x = 1;", "if (a) b();", "else", "{", "};", "struct s {", "int m : 2;", "int t[] = {", "1, A,", "{ 2 },", "enum e {", "A = 1,", "f(", "a, b", ");", "#error", "#define BEGIN {", "#define BEGIN", "#define P(x) x;", "#undef BEGIN", "BEGIN", "P(int p)", "P(q())", "case 1:", "a * b, c[3] = {1};", "return x", ";", "do", "while (x);", "int k(a) int a;", "{ a; }", "for (;;)", ","]
+    seen = [0, 0]
+    for _ in range(4000):
+        lines, depth = [], 0
+        for _ in range(rng.randrange(4, 22)):
+            r = rng.random()
+            if r < 0.25:
+                lines.append(f"#if{rng.choice(['def', 'ndef'])} M{rng.randrange(4)}")
+                depth += 1
+            elif r < 0.4 and depth:
+                lines.append(rng.choice(["#else", "#elif defined(M1)"]) if not lines[-1].startswith("#el") else "#endif")
+                depth -= lines[-1] == "#endif"
+            elif r < 0.55 and depth:
+                lines.append("#endif")
+                depth -= 1
+            else:
+                lines.append(rng.choice(pieces))
+        text = "\n".join(lines + ["#endif"] * depth) + "\n"
+        want = by_all_settings(text)
+        seen[want] += 1
+        assert accepts("c", text) == want, text
+    assert min(seen) > 200
