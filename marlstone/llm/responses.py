@@ -1,8 +1,9 @@
 """Broken prompt and response pairs (problem 5).
 
 A suffix automaton of the prompt measures how much of a response is copied; a refusal automaton, a delimiter stack and
-votes of stop words find the other defects. A response cut off within a word is told by the corpus: its last word was
-never seen there as a whole, but longer words that start so were.
+votes of stop words find the other defects. A response cut off within a word is told by the corpus: words that start
+like its last one are seen there, or anywhere, far more often than that word can be expected to end a text there. All
+such rules compare rates by their confidence bounds, so more of the same texts do not change what they say.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.automaton import SuffixAutomaton
@@ -190,12 +191,28 @@ def defect(response: str, prompt: Prompt) -> str | None:
 
 
 _ROWS = "file string, id string, slot string, defect string, before string, last string, n bigint, ended bigint"
-#: A pair of words is missed if so many were to be expected; a word never ends a sentence if it didn't in so many uses.
-EXPECTED, USES = 5, 200
-#: A word that ends this part of its uses without a mark is an ending.
+#: One-sided bounds of confidence, in standard deviations.
+SURE = 1.645
+#: A word never ends a sentence if it surely does so in less than this part of its uses.
+NEVER = 0.015
+#: A word that surely ends this part of its uses without a mark is an ending. A fragment's own uses (or endings) are
+#: less than this part of the uses of the words that start so.
 ENDS = 0.02
 
 
+def _share(x: Column, n: Column, side: int) -> Column:
+    """The upper (side 1) or lower (-1) bound of a share of which x in n were seen: Wilson's."""
+    z2 = SURE * SURE
+    p = x / n
+    bound = (p + z2 / (2 * n) + side * SURE * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    return F.when(n > 0, bound).otherwise(F.lit(1.0 if side > 0 else 0.0))
+
+
+def _count(n: Column) -> Column:
+    """The upper bound of the mean of a count."""
+    return n + SURE * SURE / 2 + SURE * F.sqrt(n + SURE * SURE / 4)
+
+
 def broken_responses(requests: DataFrame) -> DataFrame:
     """(file, id, slot, defect) of the defective answers: one row for each defective slot.
 
@@ -248,15 +265,24 @@ def broken_responses(requests: DataFrame) -> DataFrame:
     words = pairs.groupBy("last").agg(F.sum("n").alias("n_last"), F.sum("ended").alias("n_ended"))
     firsts = pairs.groupBy("before").agg(F.sum("n").alias("n_before"))
     total = pairs.agg(F.sum("n").alias("total"))
-    asked = open_.groupBy("before", "last").agg(F.count("*").alias("n_final"))
+    asked = open_.distinct().groupBy("before", "last").agg(F.count("*").alias("n_final"))
     finals = asked.groupBy("last").agg(F.sum("n_final").alias("n_finals"))
     starts = F.explode(F.expr("transform(sequence(1, greatest(1, length(last) - 1)), k -> substring(last, 1, k))"))
-    longer = pairs.select("before", starts.alias("start"), "last").filter("start <> last").select("before", F.col("start").alias("last")).distinct().withColumn("longer", F.lit(True))
+    longer = pairs.select("before", starts.alias("start"), "last", "n").filter("start <> last").groupBy("before", F.col("start").alias("last")).agg(F.sum("n").alias("n_longer"))
+    anywhere = words.select(starts.alias("start"), "last", "n_last").filter("start <> last").groupBy(F.col("start").alias("last")).agg(F.sum("n_last").alias("n_wider"))
     known = asked.join(pairs.select("before", "last", F.col("n").alias("n_pair")), ["before", "last"], "left").join(longer, ["before", "last"], "left")
-    known = known.join(words, "last", "left").join(firsts, "before", "left").join(finals, "last").join(total)
-    unseen = F.col("n_pair").isNull() & F.col("longer") & (F.col("n_last").isNull() | (F.col("n_last") * F.col("n_before") >= EXPECTED * F.col("total")))
-    never_last = (F.col("n_last") >= USES) & (F.col("n_ended") == 0) & (F.col("n_finals") < ENDS * F.col("n_last"))
-    cut = known.filter(F.coalesce(unseen, F.lit(False)) | F.coalesce(never_last, F.lit(False))).select("before", "last")
+    known = known.join(words, "last", "left").join(anywhere, "last", "left").join(firsts, "before", "left").join(finals, "last").join(total)
+    n = {x: F.coalesce(F.col(x), F.lit(0)).cast("double") for x in ("n_pair", "n_longer", "n_last", "n_ended", "n_wider", "n_before", "n_finals", "total")}
+    others = n["n_finals"] - 1  # responses besides one of these
+    ending = _share(others, others + n["n_last"] + n["n_wider"], -1) >= ENDS
+    # the word is hardly ever seen whole, wherever
+    unknown = (_share(n["n_last"], n["n_last"] + n["n_wider"], 1) < ENDS) & ~ending
+    # to be expected of the word in that place, and how many of its uses end a text at most
+    here = F.least(_count(n["n_pair"]), n["n_pair"] + F.when(n["total"] > 0, n["n_last"] * n["n_before"] / n["total"]).otherwise(0.0))
+    ends = _share(n["n_ended"] + others, n["n_last"] + others, 1)
+    fragment = (n["n_longer"] > 0) & (ends * here < ENDS * n["n_longer"]) & (ends * n["n_last"] < ENDS * n["n_wider"]) & ~ending
+    never_last = (_share(n["n_ended"], n["n_last"], 1) < NEVER) & (_share(others, n["n_last"] + others, 1) < ENDS)
+    cut = known.filter(unknown | fragment | never_last).select("before", "last")
     salted = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     off = open_.withColumn("salt", F.pmod(F.xxhash64("file", "id"), F.lit(SALTS)).cast("int")).join(salted, ["before", "last", "salt"], "left_semi")
     return told.unionByName(off.select("file", "id", "slot", F.lit("truncated").alias("defect"))).distinct()

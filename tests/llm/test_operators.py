@@ -287,6 +287,18 @@ def test_broken_responses(spark):
     assert responses.broken_responses(spark.createDataFrame([], REQUESTS)).count() == 0
 
 
+def test_responses_cut_off_do_not_depend_on_the_size_of_the_corpus(spark):
+    def flagged(times):
+        texts = ["It counts the row in characters and not in bytes.", "It keeps the issue of the row as it is.", "The segment is read before the segments are."] * 150
+        texts += ["It may be char of any kind.", "Each of the rows, and the.", "Keep the segment"] * 2
+        rows = [(f"{k}-{i}", "f.c", None, None, None, "int f;", None, (x,), None, None, None, None, 1, "z", "z") for k in range(times) for i, x in enumerate(texts)]
+        rows += [(f"{x}{k}", "f.c", None, None, None, "int f;", None, (x,), None, None, None, None, 1, "z", "z") for k in range(times) for x in ("It counts the node in char", "It keeps the iss", "It reads the segment")]
+        return {r.id.rstrip("0123456789") for r in responses.broken_responses(spark.createDataFrame(rows, REQUESTS)).collect() if r.defect == "truncated"}
+
+    want = {"It counts the node in char", "It keeps the iss"}
+    assert flagged(1) == want and flagged(20) == want
+
+
 PROSE = "The lock is held until the row was read. It returns nothing if the cache is empty, and the caller still owns the file."
 
 
