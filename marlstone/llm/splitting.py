@@ -6,6 +6,7 @@ imbalance is its squared deviation from equal sizes; the least sum subject to th
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,6 +109,32 @@ def _cut(pos: np.ndarray, cost: np.ndarray, n: int, limit: int, overlap: int, k:
     return value, cuts[::-1]
 
 
+def _bounds(pos: np.ndarray, cost: np.ndarray, n: int, limit: int, room: int) -> tuple[int, float]:
+    """The least number of pieces, 0 where these cuts cannot do, and the least sum of cut penalties for any number."""
+    # of each cut, from the start on: the least pieces before it and the least penalties with it
+    count, paid, lo, at = [], [], 0, pos.tolist()
+    cheap: deque[int] = deque()  # cuts within reach, of rising penalties
+    for j, (x, c) in enumerate(zip([*at, n], [*cost.tolist(), 0.0])):
+        while lo < j and x - at[lo] > room:
+            lo += 1
+        while cheap and cheap[0] < lo:
+            cheap.popleft()
+        if x <= limit:
+            count.append(1)
+            paid.append(c)
+        elif cheap:
+            count.append(next(count[i] for i in range(lo, j) if count[i]) + 1)  # the earliest that can be reached
+            paid.append(c + paid[cheap[0]])
+        else:
+            count.append(0)
+            paid.append(float("inf"))
+        if count[-1]:
+            while cheap and paid[cheap[-1]] >= paid[-1]:
+                cheap.pop()
+            cheap.append(j)
+    return count[-1], paid[-1]
+
+
 def split(blob: bytes, named: str | None, limit: int, overlap: int) -> tuple[list[tuple[int, int, str]], list[int], list[int]]:
     """Pieces (start, end, kind of the cut at the end), lines longer than the limit (1-based), starts of all lines.
 
@@ -119,20 +146,19 @@ def split(blob: bytes, named: str | None, limit: int, overlap: int) -> tuple[lis
         return [(0, n, "end")], [], [0]
     room = limit - overlap
     pos, cost, starts = boundaries(blob, sep, room)
-    least, found = -(-(n - overlap) // room), None
-    k, tried = least, 0
-    while tried < 3 or found is None:
+    least, floor = _bounds(pos, cost, n, limit, room)
+    if not least:  # lines that fill the room leave no other way: cuts anywhere
+        extra = np.arange(max(1, room // 2), n, max(1, room // 4), dtype=np.int64)
+        both = np.concatenate([pos, extra])
+        pos, keep = np.unique(both, return_index=True)
+        cost = np.concatenate([cost, np.full(len(extra), ANYWHERE)])[keep]
+        least, floor = _bounds(pos, cost, n, limit, room)
+    found, k = None, least
+    while found is None or PER_PIECE * k + floor < found[0]:  # no larger number of pieces can be better beyond that
         got = _cut(pos, cost, n, limit, overlap, k)
         if got:
             found = min(found or got, got)
-        tried += 1
         k += 1
-        if tried > 3 and found is None:  # lines that fill the room leave no other way: cuts anywhere
-            extra = np.arange(max(1, room // 2), n, max(1, room // 4), dtype=np.int64)
-            both = np.concatenate([pos, extra])
-            pos, keep = np.unique(both, return_index=True)
-            cost = np.concatenate([cost, np.full(len(extra), ANYWHERE)])[keep]
-            k = least if tried == 4 else k
     pieces, at = [], 0
     for i in found[1]:
         pieces.append((at, int(pos[i]), KINDS[float(cost[i])]))

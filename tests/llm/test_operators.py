@@ -133,6 +133,15 @@ def test_splitting_is_optimal_on_small_records():
             assert got is None and want == float("inf") or abs(got[0] - want) < 1e-9
 
 
+def test_splitting_takes_as_many_pieces_as_pay():
+    lines = b"\n".join([b"x = " + b"ab " * 1498 + b"z"] * 10)
+    pieces, _, starts = splitting.split(lines, "lf", 8000, 400)
+    assert len(pieces) == 10 and {e for _, e, _ in pieces[:-1]} == set(starts[1:])
+    short = b"\n".join([b"  y" * 200] * 60)  # the least number by bytes can't be had between lines
+    pieces, _, starts = splitting.split(short, "lf", 1010, 10)
+    assert {e for _, e, _ in pieces[:-1]} <= set(starts)
+
+
 def test_split_records(spark):
     long = b"y" * 130 + b"\n" + b"a b\n" * 30
     rows = [("k", long, None, "c"), ("k", long, None, "c"), ("n", None, "lf", "c"), ("s", b"x", "lf", None), (None, long, "lf", None)]
