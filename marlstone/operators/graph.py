@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,17 +94,21 @@ def documentation_sites(symbols: DataFrame) -> DataFrame:
     return j.select("name", "decl_file", F.when(once, F.col("def_file")).alias("def_file"), once.alias("redirected"))
 
 
-def dependency_levels(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+#: Rounds whose levels are put into one table.
+TOGETHER = 32
+
+
+def dependency_levels(edges: DataFrame) -> DataFrame:
     """(node, level): leaves have level 0, any other node one more than the highest it depends on.
 
     edges: (src, dst), src depends on dst. Nodes on a cycle, and those that depend on one, get their level once no
     leaf is left to peel: the nodes of least level bound are freed together, so every round settles at least one node.
-    Rounds read and write tables; no graph is held in one place. Raises RuntimeError if the rounds run out.
+    Rounds read and write tables; no graph is held in one place. There are as many rounds as levels.
     """
     e = written(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).filter("src <> dst").distinct(), "edges")
     left = written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
     done = None
-    for level in range(most_rounds):
+    for level in count():
         waiting = e.select(F.col("src").alias("node")).distinct()
         free = left.join(waiting, "node", "left_anti")
         if free.isEmpty():
@@ -111,9 +117,10 @@ def dependency_levels(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
             free = left.join(_cycle_members(e), "node", "left_semi")
         free = written(free.withColumn("level", F.lit(level)), "level")
         done = free if done is None else done.unionByName(free)
+        if level % TOGETHER == TOGETHER - 1:  # a plan holds only so many tables
+            done = written(done, "levels")
         left = written(left.join(free, "node", "left_anti"), "nodes")
         e = written(e.join(free.select(F.col("node").alias("dst")), "dst", "left_anti").join(free.select(F.col("node").alias("src")), "src", "left_anti"), "edges")
-    raise RuntimeError("rounds ran out")
 
 
 def _cycle_members(edges: DataFrame) -> DataFrame:

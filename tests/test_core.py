@@ -159,6 +159,15 @@ def test_dependency_levels(spark):
     assert graph.dependency_levels(e.filter("src = 'core'")).count() == 2
 
 
+def test_dependency_levels_have_no_cap(spark, monkeypatch):
+    import inspect
+
+    assert list(inspect.signature(graph.dependency_levels).parameters) == ["edges"]
+    monkeypatch.setattr(graph, "TOGETHER", 2)
+    e = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(5)], "src string, dst string").coalesce(1)
+    assert {r.node: r.level for r in graph.dependency_levels(e).collect()} == {f"n{i}": i for i in range(6)}
+
+
 REQUEST = sources.REQUEST + ", issued_at timestamp_ntz, received_at timestamp_ntz"
 
 
