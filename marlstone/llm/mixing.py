@@ -53,7 +53,11 @@ class Mix:
 
 
 def calibrate(documents: DataFrame, targets: dict[str, tuple[float, int]], key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, seed: int = SEED) -> Mix:
-    """The mean of each source, so that the mixture is as large as the caps allow and its shares are as asked."""
+    """The mean of each source, so that the mixture is as large as the caps allow and its shares are as asked.
+
+    Sources that can give no tokens are not drawn and do not bound the size; the others keep their shares to one another, which
+    thereby grow in proportion.
+    """
     most = {s: m for s, (_, m) in targets.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,12 +82,12 @@ def calibrate(documents: DataFrame, targets: dict[str, tuple[float, int]], key:
             have[s], n[s] = tokens, records
         else:
             at[s][i] += tokens
-    wanted = [s for s, (share, _) in targets.items() if share > 0]
+    wanted = [s for s, (share, most_) in targets.items() if share > 0 and most_ * have[s] > 0]
     size = min((most[s] * have[s] / targets[s][0] for s in wanted), default=0)
     means = {}
     for s in targets:
         aim, got = targets[s][0] * size, np.cumsum(at[s][:-1])
-        if targets[s][0] <= 0 or not have[s]:
+        if s not in wanted:
             means[s] = 0.0
         elif aim >= most[s] * have[s] * (1 - 1e-12):
             means[s] = float("inf")

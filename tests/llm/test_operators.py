@@ -225,6 +225,14 @@ def test_mixing(spark):
     assert {r.share for r in mixing.shares(empty, mixing.calibrate(empty, targets)).collect()} == {0.0}
 
 
+def test_mixing_without_one_of_the_sources(spark):
+    d = documents(spark, [(i, "word " * 20, "ab"[i % 2]) for i in range(2000)] + [(3000, None, "c")])
+    m = mixing.calibrate(d, {"a": (0.45, 1), "b": (0.3, 1), "c": (0.15, 2), "gone": (0.1, 2)})
+    got = {r.source: r for r in mixing.shares(d, m).collect()}
+    assert abs(got["a"].share - 0.6) < 0.01 and abs(got["b"].share - 0.4) < 0.01 and got["a"].n_draws == 1000
+    assert got["c"].share == got["gone"].share == 0 and got["gone"].target_share == 0.1
+
+
 @pytest.mark.parametrize(
     "doc, told",
     [
