@@ -7,36 +7,57 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from marlstone.operators import braces
 from marlstone.operators.patch import is_blank, is_comment
 
-_SCHEMA = "file string, name string, start_line int, end_line int, code string, own_doc string, calls array<struct<name:string,kind:string,line:int>>"
+_CALLS = "array<struct<name:string,kind:string,line:int>>"
+_SCHEMA = f"file string, name string, qualname string, kind string, signature string, start_line int, end_line int, depth int, parent_qualname string, code string, own_doc string, calls {_CALLS}"
+SYMBOL = ("file", "qualname", "kind", "signature", "start_line", "end_line", "depth", "parent_qualname", "existing_doc", "calls")
 
 
-def lexed_functions(files: DataFrame, languages: tuple[str, ...] = braces.LANGUAGES) -> DataFrame:
-    """All functions that lexing finds: file, name, start_line, end_line, code, own_doc and calls.
+def lexed_definitions(files: DataFrame, languages: tuple[str, ...] = braces.LANGUAGES) -> DataFrame:
+    """All definitions that lexing finds: name, qualname, kind, signature, lines, depth, parent, code, own_doc and calls.
 
-    Sources that don't parse give what their brackets allow. A null blob or another language gives none.
+    Sources that don't parse give what their brackets allow. A null blob or another language gives none. A file that is
+    delivered twice gives its rows twice.
     """
-    call = pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("line", pa.int32())]))
-    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), call]
-    names = ["file", "name", "start_line", "end_line", "code", "own_doc", "calls"]
+    arrow = to_arrow_schema(StructType.fromDDL(_SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for key, blob, language in zip(*(b.column(i).to_pylist() for i in range(3))):
                 text = blob.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
-                for name, first, last, code, doc, calls in braces.functions(text, language):
-                    rows.append((key, name, first, last, code, doc, [dict(zip(("name", "kind", "line"), c)) for c in calls]))
-            cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                for d in braces.definitions(text, language):
+                    calls = [dict(zip(("name", "kind", "line"), c)) for c in d.calls]
+                    rows.append((key, d.name, d.qualname, d.kind, d.signature, d.start_line, d.end_line, d.depth, d.parent, d.code, d.own_doc, calls))
+            cols = list(zip(*rows)) or [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], names=arrow.names)
 
     rows = files.select("file_key", "source_blob", "language").filter(F.col("source_blob").isNotNull() & F.col("language").isin(*languages))
     return rows.mapInArrow(run, _SCHEMA)
 
 
+def source_symbols(files: DataFrame) -> DataFrame:
+    """The symbols of sources of all languages, in the columns of a symbols table; a row for each definition.
+
+    Python files are parsed and give nothing where they don't parse; C and JavaScript files are lexed. A C prototype is
+    left out where its own file defines the routine. A docstring or comment that is not there is null. Rows are distinct
+    by (file, qualname, start_line), so files delivered twice count once.
+    """
+    from marlstone.operators.parse import python_definitions
+
+    py = python_definitions(files).select("file", "qualname", "kind", "signature", F.col("def_line").alias("start_line"), "end_line", "depth", "parent_qualname", "existing_doc", "calls")
+    lexed = lexed_definitions(files, ("c", "javascript")).withColumnRenamed("own_doc", "existing_doc").select(*SYMBOL).dropDuplicates(["file", "qualname", "start_line"])
+    prototypes = lexed.filter("kind = 'declaration'")
+    defined = lexed.filter("kind = 'function'").select("file", "qualname").distinct()
+    rest = lexed.filter("kind <> 'declaration'").unionByName(prototypes.join(defined, ["file", "qualname"], "left_anti"))
+    return py.dropDuplicates(["file", "qualname", "start_line"]).unionByName(rest)
+
+
 def comments_above(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file, qualname, start_line, first_comment): where the comment lines right above a definition begin.
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,13 +44,44 @@ def _calls(node: ast.AST) -> list[dict]:
     return out
 
 
-def definitions(source: bytes) -> list[tuple]:
-    """(qualname, kind, start, end, depth, parent, doc, calls) of a Python source; none if it does not parse."""
+class _WithoutDocs(ast.NodeTransformer):
+    def _plain(self, node: ast.AST) -> ast.AST:
+        self.generic_visit(node)
+        first = node.body[0] if node.body else None
+        if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
+            node.body = node.body[1:] or [ast.Pass()]
+        return node
+
+    visit_FunctionDef = visit_AsyncFunctionDef = visit_ClassDef = visit_Module = _plain
+
+
+def node_signature(node: ast.AST) -> str:
+    """The first 12 hex digits of the SHA-256 of a definition's tree, whose docstrings are taken out: comments, layout and
+    docs don't change it. It depends on the interpreter's version, so it is not kept beyond a run."""
+    return hashlib.sha256(ast.dump(node).encode("utf-8", "surrogatepass")).hexdigest()[:12]
+
+
+def _header(node: ast.AST) -> str:
+    types = f"[{', '.join(map(ast.unparse, node.type_params))}]" if getattr(node, "type_params", None) else ""
+    if isinstance(node, ast.ClassDef):
+        bases = [ast.unparse(x) for x in (*node.bases, *node.keywords)]
+        return f"class {node.name}{types}" + (f"({', '.join(bases)})" if bases else "")
+    a = node.args
+    plain = not (a.defaults or a.kwonlyargs or a.vararg or a.kwarg or a.posonlyargs or any(x.annotation for x in a.args))
+    args = ", ".join(x.arg for x in a.args) if plain else ast.unparse(a)
+    return f"{_kind(node)} {node.name}{types}({args})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
+
+
+def definitions(source: bytes, signed: bool = False) -> list[tuple]:
+    """(qualname, kind, start, end, depth, parent, doc, calls, def line, signature, node signature, inline) of a Python
+    source; none if it does not parse. The start is that of the first decorator; inline: the body shares the header's line.
+    The node signature is worked out only if asked for."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     out, todo = [], [(tree, None, 0)]
+    nodes: dict[int, ast.AST] = {}
     while todo:
         node, parent, depth = todo.pop()
         for n in ast.iter_child_nodes(node):
@@ -56,10 +89,14 @@ def definitions(source: bytes) -> list[tuple]:
                 role = _accessor(n)
                 plain = f"{parent}.{n.name}" if parent else n.name
                 start = min([n.lineno, *(d.lineno for d in n.decorator_list)])
-                out.append((f"{plain}.{role}" if role else plain, _kind(n), start, n.end_lineno, depth, parent, ast.get_docstring(n), _calls(n)))
+                out.append((f"{plain}.{role}" if role else plain, _kind(n), start, n.end_lineno, depth, parent, ast.get_docstring(n), _calls(n), n.lineno, _header(n), None, n.body[0].lineno == n.lineno))
+                nodes[len(out) - 1] = n
                 todo.append((n, plain, depth + 1))
             else:
                 todo.append((n, parent, depth))
+    if signed:
+        _WithoutDocs().visit(tree)
+        out = [(*x[:10], node_signature(nodes[i]), x[11]) for i, x in enumerate(out)]
     return sorted(out, key=lambda x: (x[2], x[0]))
 
 
@@ -110,7 +147,7 @@ def statements(source: bytes) -> list[tuple]:
 
 
 _CALL = "array<struct<name:string,kind:string,line:int>>"
-_DEF = f"file string, qualname string, kind string, start_line int, end_line int, depth int, parent_qualname string, existing_doc string, calls {_CALL}"
+_DEF = f"file string, qualname string, kind string, start_line int, end_line int, depth int, parent_qualname string, existing_doc string, calls {_CALL}, def_line int, signature string, node_sig string, inline boolean"
 
 
 def _mapped(files: DataFrame, find, schema: str) -> DataFrame:
@@ -132,9 +169,12 @@ def _mapped(files: DataFrame, find, schema: str) -> DataFrame:
     return python.mapInArrow(run, schema)
 
 
-def python_definitions(files: DataFrame) -> DataFrame:
-    """Definitions of all Python files, with their calls and docstrings; none of files that don't parse."""
-    return _mapped(files, definitions, _DEF)
+def python_definitions(files: DataFrame, signed: bool = False) -> DataFrame:
+    """Definitions of all Python files, with their calls, docstrings and signatures; none of files that don't parse.
+
+    start_line is the first decorator's, def_line that of the `def` or `class` itself.
+    """
+    return _mapped(files, partial(definitions, signed=signed), _DEF)
 
 
 def python_imports(files: DataFrame) -> DataFrame:

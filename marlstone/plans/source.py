@@ -116,22 +116,34 @@ def located_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.located_drafts(spark.sql(f"SELECT * FROM {_ENTRIES}"), spark.sql(f"SELECT * FROM {_DRAFTS}"))
 
 
+@query()
+def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return definitions.source_symbols(table(spark, sf_dir, "run_files"))
+
+
 @query()
 def lexed_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return definitions.lexed_functions(table(spark, sf_dir, "run_files").dropDuplicates(["file_key"]), ("c", "javascript")).select("file", "name", "start_line", "end_line", "own_doc", "calls")
+    found = definitions.lexed_definitions(table(spark, sf_dir, "run_files"), ("c", "javascript"))
+    return found.select("file", "qualname", "kind", "signature", "start_line", "end_line", "own_doc", "calls").dropDuplicates(["file", "qualname", "start_line"])
 
 
 @query()
 def definition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "run_files").dropDuplicates(["file_key"])
-    symbols = table(spark, sf_dir, "symbols")
-    keys = ["file", "qualname", "start_line"]
-    py = definitions.scores(parse.python_definitions(files), symbols.filter(F.col("file").endswith(".py")), keys).withColumn("language", F.lit("python"))
-    name = F.regexp_extract("qualname", r"([^.]+)$", 1)
-    lexed = definitions.lexed_functions(files, ("c", "javascript"))
-    own = symbols.filter(~F.col("file").endswith(".py") & ~F.col("kind").isin("class", "declaration")).withColumn("name", name)
-    rest = definitions.scores(lexed, own, ["file", "name", "start_line"]).withColumn("language", F.lit("c and javascript"))
-    return py.unionByName(rest)
+    """How far the definitions read from sources are those of the symbols table, over the files that have symbols.
+
+    Lines with several definitions (minified sources, which the table leaves out) count on neither side.
+    """
+    symbols = table(spark, sf_dir, "symbols").select("file", "qualname", "kind", "start_line").distinct()
+    own = definitions.source_symbols(table(spark, sf_dir, "run_files")).select("file", "qualname", "kind", "start_line")
+    crowded = own.groupBy("file", "start_line").agg(F.count("*").alias("n")).filter("n > 1")
+    own = own.join(symbols.select("file").distinct(), "file", "left_semi").join(crowded, ["file", "start_line"], "left_anti")
+    symbols = symbols.join(crowded, ["file", "start_line"], "left_anti")
+    out = None
+    for language, ending in (("python", r"\.py$"), ("c", r"\.[ch]$"), ("javascript", r"\.[cm]?js$")):
+        of = F.col("file").rlike(ending)
+        one = definitions.scores(own.filter(of), symbols.filter(of), ["file", "qualname", "kind", "start_line"]).withColumn("language", F.lit(language))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()

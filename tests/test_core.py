@@ -246,9 +246,99 @@ def test_python_definitions():
     assert parse.definitions(b"def f(:") == [] and parse.imports(b"import a as b\nfrom .c import d\n") == [(1, "a as b"), (2, "d from .c")]
 
 
-def test_lexed_functions():
-    c = "/** Adds. */\nstatic int add(int a) { return f(a) + '}'; }\nint g(void);\n"
-    assert [(n, a, b, doc, calls) for n, a, b, _, doc, calls in braces.functions(c, "c")] == [("add", 2, 2, "/** Adds. */", [("f", "free", 2)])]
+def lexed(text, language):
+    return {d.qualname: d for d in braces.definitions(text, language)}
+
+
+def test_c_definitions():
+    c = """/** Adds. */
+static int add(int a) { return f(a) + '}'; }
+int g(void);
+struct s { int (*cb)(int); } one = { 0 };
+#ifdef A
+int pick(int a) {
+#else
+int pick(long a) {
+#endif
+    if (a) { x.call(a); } /* { */ return h("{", a);
+}
+extern "C" {
+const char *
+name(void)
+{ return 0; }
+}
+typedef int (*fn)(int);
+int (*pointer)(int);
+static int *table(int n), other;
+int value = call(3);
+"""
+    d = lexed(c, "c")
+    assert {k: (x.kind, x.start_line, x.end_line) for k, x in d.items()} == {"add": ("function", 2, 2), "g": ("declaration", 3, 3), "pick": ("function", 6, 11), "name": ("function", 13, 15)}
+    assert d["add"].own_doc == "/** Adds. */" and d["add"].calls == [("f", "free", 2)] and d["name"].signature == "const char * name(void)" and [x[0] for x in d["pick"].calls] == ["h"]
+
+
+def test_javascript_definitions():
+    js = """// Gives one.
+export default async function one(a = {b: 1}) { const inner = () => two(); function deep() { return 1; } return this.x(deep()); }
+const f = async (a) => {
+  return `a ${b + `}${c}`} {` + /[/'"{]/.test(a) + g(a);
+};
+const e = x => h(x), z = 1;
+let v = function named(q) { if (q) { r(); } };
+/** A class. */
+class K extends Base {
+  /* Says. */
+  static async say(a) { super.say(); this.go(a); }
+  get size() { return 1 / 2; }
+}
+const box = {
+  // Opens.
+  open(a) { return a; },
+  shut: function (a) { return a; },
+  slip: (a) => a + 1,
+  n: 3,
+};
+if (a) { call(function () { nothing(); }); }
+"""
+    d = lexed(js, "javascript")
+    want = {"one": ("function", 2, 2), "one.inner": ("var_arrow", 2, 2), "one.deep": ("function", 2, 2), "f": ("var_arrow", 3, 5), "e": ("var_arrow", 6, 6), "v": ("var_func", 7, 7), "K": ("class", 9, 13), "K.say": ("method", 11, 11), "K.size": ("method", 12, 12), "box.open": ("obj_method", 16, 16), "box.shut": ("obj_method", 17, 17), "box.slip": ("obj_method", 18, 18)}
+    assert {k: (x.kind, x.start_line, x.end_line) for k, x in d.items()} == want
+    assert d["one"].own_doc == "// Gives one." and d["K.say"].own_doc == "/* Says. */" and d["K"].own_doc == "/** A class. */"
+    assert d["one"].calls == [("x", "self", 2), ("deep", "free", 2)] and d["f"].calls == [("test", "method", 4), ("g", "free", 4)] and d["e"].code == "const e = x => h(x)"
+
+
+def test_python_definitions_by_lexing():
+    d = lexed(SOURCE.decode() + "# end\n\ndef last(a,\n  b='):'): return call(a)\n", "python")
+    assert list(d) == ["clamp", "Acc", "Acc.add", "Acc.store", "Acc.store.inner", "Acc.size", "last"]
+    assert (d["Acc"].start_line, d["Acc"].end_line, d["Acc.store"].end_line) == (5, 18, 14) and d["last"].calls == [("call", "free", 22)]
+    assert d["last"].signature == "def last(a, b='):')" and d["Acc.store"].calls == []
+
+
+@pytest.mark.parametrize("language", braces.LANGUAGES)
+def test_lexing_takes_anything(language):
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["def f(a):\n", "int f(a) {", "}", "{", "(", ")", "`", "${", "'", '"', "\n", "#if 0\n", "#else\n", "#endif\n", "/*", "*/", "//", "/", "class A", " => ", "x = ", "\\", ";"]) for _ in range(40))
+        x = braces.lexed(text, language)
+        assert len(x.code) == len(text) and [i for i, c in enumerate(x.code) if c == "\n"] == [i for i, c in enumerate(text) if c == "\n"]
+        for d in braces.definitions(text, language):
+            assert 1 <= d.start_line <= d.end_line <= text.count("\n") + 1
+
+
+def test_source_symbols(spark):
+    rows = [("a.py", SOURCE, "python"), ("a.py", SOURCE, "python"), ("b.c", b"int f(void);\nint f(void) { return g(); }\nint h(int a);\n", "c"), ("c.js", b"function k() {}", "javascript"), ("d.py", b"def (", "python"), ("e.py", None, "python"), ("f", b"x", None)]
+    got = definitions.source_symbols(spark.createDataFrame([(*r, 1) for r in rows], "file_key string, source_blob binary, language string, kind int"))
+    assert got.columns == list(definitions.SYMBOL)
+    found = {(r.file, r.qualname): r for r in got.collect()}
+    assert len(found) == got.count() == 9 and found["b.c", "f"].kind == "function" and found["b.c", "h"].kind == "declaration" and found["c.js", "k"].existing_doc is None
+    assert found["a.py", "Acc.size.getter"].start_line == 17 and found["a.py", "clamp"].signature == "def clamp(x)"
+
+
+def test_node_signatures():
+    sig = lambda s: parse.definitions(s, True)[0][10]
+    assert sig(b"def f(a):\n    return a") == sig(b'def f( a ):\n    """Doc."""\n    # note\n    return a') != sig(b"def f(a):\n    return b")
+    x = parse.definitions(b"@d\nclass A(B, m=1):\n    async def f(self, *a, b: int = 1) -> str: return 1")
+    assert [(r[2], r[8], r[9], r[11]) for r in x] == [(1, 2, "class A(B, m=1)", False), (3, 3, "async def f(self, *a, b: int=1) -> str", True)]
 
 
 def test_context_window(spark):
