@@ -15,10 +15,10 @@ _PAIRS = {")": "(", "]": "[", "}": "{"}
 #: What the machine stops at while in code.
 _STOP = {"python": re.compile(r"[#'\"()\[\]{}]"), "c": re.compile(r"[/#'\"()\[\]{}]"), "javascript": re.compile(r"[/`'\"()\[\]{}]")}
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'")
-_TRIPLE = re.compile(r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*(?:'''|\Z)|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*(?:\"\"\"|\Z)")
+_TRIPLE = re.compile(r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*\\?(?:'''|\Z)|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\\?(?:\"\"\"|\Z)")
 _COMMENT = {"python": re.compile(r"#[^\n]*"), "c": re.compile(r"//(?:[^\n\\]|\\\n?)*|/\*[\s\S]*?(?:\*/|\Z)"), "javascript": re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)")}
 _DIRECTIVE = re.compile(r"#(?:[^\n\\/]|\\[\s\S]|/(?![/*]))*")
-_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?P<end>`|\$\{|\Z)")
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*\\?(?P<end>`|\$\{|\Z)")
 _REGEX = re.compile(r"/(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
 _LAST_WORD = re.compile(r"[\w$]+$")
 #: Words after which a slash begins a regular expression.
