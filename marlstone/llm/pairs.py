@@ -1,7 +1,8 @@
 """Functions paired with their documentation (problem 4).
 
-A string- and comment-aware lexer masks what is no code, matched brackets delimit functions, and the comment right above
-a function (in Python the docstring) is its documentation. Documentation that tells a reader nothing is dropped.
+A state machine that knows strings and comments lexes each source, matched brackets (in Python indents) delimit its
+functions, and the comment right above a function, or its docstring, is attached to it. What is attached is judged by
+what it says beyond the function's name and signature; documentation that tells a reader nothing is dropped.
 """
 
 from __future__ import annotations
@@ -18,13 +19,28 @@ from pyspark.sql import functions as F
 from marlstone.operators.braces import LANGUAGES, functions
 from marlstone.tables import spread
 
-#: Words that say nothing of a routine by themselves.
-FILLERS = set(
-    "a an the this that it its is of for to and or in on with by function functions func method methods routine procedure subroutine helper constructor implementation "
-    "return returns returned returning param params parameter parameters arg args argument arguments rtype type types raise raises throw throws yields yield value values result results input inputs output outputs "
-    "void int integer integers float double long short char unsigned signed bool boolean str string strings number object any none null undefined array list dict tuple bytes optional promise const static self cls async def "
-    "todo fixme xxx tbd tba hack docstring docs doc document documentation documented undocumented description describe summary missing add here write written me be later placeholder fill in insert n".split()
+#: English function words; alone they say nothing.
+PLAIN = set(
+    "a an the this that these those it its itself he she they them their we us our you your i me my is are was were be been being am do does did done doing has have had having can could may might must shall should will would "
+    "of for to and or in on with by as at from into onto over under up down out off about than then so if else when while where which who whom whose what how why not no nor neither either both all any each every some such only just also too very "
+    "but because since until unless though although there here now more most less least much many few other another same own per via etc".split()
 )
+#: Words for parts of code, and for what every routine does.
+STRUCTURE = set(
+    "function functions func method methods routine procedure subroutine helper constructor implementation implements implemented return returns returned returning param params parameter parameters arg args argument arguments "
+    "rtype type types raise raises throw throws yields yield value values result results input inputs output outputs void int integer integers float double long short char unsigned signed bool boolean str string strings number "
+    "object none null undefined array list dict tuple bytes optional promise const static self cls async def n".split()
+)
+#: Words about documentation itself, its absence, or how little a routine needs any.
+EMPTY = set(
+    "todo fixme xxx tbd tba hack wip docstring docs doc document documents documentation documented undocumented describe describes described description summary comment comments placeholder stub boilerplate template "
+    "missing pending later soon coming come comes follow follows following available unavailable needed needs need written explain explains explained explanation explanatory obvious obviously clear clearly trivial trivially "
+    "straightforward simple simply plain evident exactly thing things stuff nothing something whatever anything see look read refer says say said suggests suggest implies imply means mean name names named title expected usual usually "
+    "standard behaviour behavior behaves version code source above below before previous elsewhere details detail info information ditto idem inherited inherits inherit equivalent counterpart analogous identical like similar self yet "
+    "know known sorry unknown unclear unspecified progress".split()
+)
+#: What placeholders ask a writer to do; said of anything but documentation it is an action like others.
+ASKING = set("add insert write fill put complete provide update finish document describe explain".split())
 #: Instructions and tags for tools.
 TOOLS = re.compile(
     r"(?i)(?:noqa|nosec|pylint|flake8|mypy|pyright|isort|yapf|fmt|black|ruff|bandit|type:\s*ignore|pragma:|coverage:|nolint|clang-format|clang-tidy|cppcheck|lint|splint|coverity|istanbul|c8\b|v8 ignore|eslint|jshint|jslint|tslint|prettier|"
@@ -90,6 +106,25 @@ def parameters(signature: str | None) -> list[str]:
     return re.findall(r"[^\W\d]\w*", " ".join(parts))
 
 
+def _says(words: list[str], own: set[str]) -> bool:
+    """Whether words hold anything beyond the routine's own names, function words, words for code and empty ones."""
+    asks, empty, rest = 0, 0, 0
+    for w in words:
+        low = w.lower().strip("_")
+        stem = _stem(low)
+        if low in ASKING:
+            asks += stem not in own
+        elif low in EMPTY:
+            empty += 1
+        elif len(low) < 2 or low in PLAIN or low in STRUCTURE or stem in own:
+            rest += low in STRUCTURE
+        else:
+            parts = _split(w)
+            if not parts or not all(p in own or p in STRUCTURE or p in PLAIN for p in parts):
+                return True
+    return asks > 0 and not empty and rest > 0
+
+
 def tells(qualname: str | None, signature: str | None, doc: str | None) -> bool:
     """Whether documentation tells a reader anything about the routine.
 
@@ -117,9 +152,9 @@ def tells(qualname: str | None, signature: str | None, doc: str | None) -> bool:
         return False
     if len(lines) == 1 and _POINTER.match(lines[0].rstrip(".!")):
         words = [w.lower() for w in _WORD.findall(re.sub(r"`[^`]*`|\{@\w+[^}]*\}|\S*[_/.:]\w\S*", "", lines[0]))][1:]
-        if all(w in _POINTED or _stem(w) in own for w in words) or len(words) <= 1:
+        if all(w in _POINTED or w in EMPTY or w in PLAIN or w in STRUCTURE or _stem(w) in own for w in words) or len(words) <= 1:
             return False
-    said, tagged = set(), False
+    tagged = False
     for x in lines:
         if TOOLS.match(x) and len(x.split()) <= 4:
             continue
@@ -130,60 +165,76 @@ def tells(qualname: str | None, signature: str | None, doc: str | None) -> bool:
         elif tagged:
             m = re.match(r"\s*[-*]?\s*`?(\w+)`?\s*(?:\([^)]*\))?\s*:", x)
             x = re.sub(rf"\b{m[1]}\b", " ", x[m.end() :]) if m else x
-        for w in re.findall(r"[^\W\d]\w*", x):
-            low = w.lower()
-            if low in FILLERS or _stem(low) in own:
-                continue
-            parts = _split(w)
-            if parts and all(p in own or p in FILLERS for p in parts):
-                continue
-            said.add(low)
-    return bool(said)
+        if _says(re.findall(r"[^\W\d]\w*", x), own):
+            return True
+    return False
 
 
-def _tells(qualname: pd.Series, signature: pd.Series, doc: pd.Series) -> pd.Series:
-    return pd.Series([tells(*x) for x in zip(qualname.tolist(), signature.tolist(), doc.tolist())])
+_FUNCTIONS = "file string, name string, start_line int, told boolean, qualname string, signature string, code string, description string"
 
 
-def documented(symbols: DataFrame) -> DataFrame:
-    """Functions and methods whose documentation tells something: file, qualname, start_line, signature, existing_doc.
+def extracted(files: DataFrame, with_code: bool = True) -> DataFrame:
+    """Every function that a source shows: (file, name, start_line, told, qualname, signature, code, description).
 
-    Kinds `class` and `declaration` are left out, also rows of a null kind. Rows delivered twice come out once. A null
-    signature has no parameters to repeat.
+    told: whether the documentation attached to it tells something. The last four are null where it doesn't, and code and
+    description also without with_code, so that no text travels in vain. Rows of files delivered twice come twice.
     """
-    rows = symbols.select("file", "qualname", "start_line", "kind", "signature", "existing_doc")
-    rows = rows.filter(~F.col("kind").isin("class", "declaration") & F.col("existing_doc").isNotNull() & (F.length(F.trim("existing_doc")) > 0))
-    return spread(rows).filter(F.pandas_udf(_tells, "boolean")("qualname", "signature", "existing_doc")).drop("kind").dropDuplicates(["file", "qualname", "start_line"])
-
-
-_FUNCTIONS = "file string, name string, start_line int, end_line int, code string, own_doc string"
-
-
-def extracted(files: DataFrame) -> DataFrame:
-    """All functions of the source files: file, name, start_line, end_line, code, own_doc (null where there is none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _FUNCTIONS.split(", ")]
-        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+        types = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string()]
         for b in batches:
             rows = []
             for key, blob, language in zip(*(b.column(i).to_pylist() for i in range(3))):
                 text = blob.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
-                rows += [(key, *f[:5]) for f in functions(text, language)]
-            cols = list(zip(*rows)) or [()] * 6
+                for f in functions(text, language, with_calls=False):
+                    told = tells(f.qualname, f.signature, f.own_doc)
+                    more = (f.qualname, f.signature, f.code, unwrapped(f.own_doc)) if told and with_code else (None,) * 4
+                    rows.append((key, f.name, f.start_line, told, *more))
+            cols = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     rows = files.select("file_key", "source_blob", "language").filter(F.col("source_blob").isNotNull() & F.col("language").isin(*LANGUAGES))
     return spread(rows).mapInArrow(run, _FUNCTIONS)
 
 
+def _told(qualname: pd.Series, signature: pd.Series, doc: pd.Series) -> pd.Series:
+    return pd.Series([tells(*x) for x in zip(qualname.tolist(), signature.tolist(), doc.tolist())], dtype=bool)
+
+
+_KEY = ["file", "start_line", "name"]
+
+
+def documented(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Functions and methods of the symbols whose documentation tells something: file, qualname, start_line, name,
+    signature, existing_doc, shown.
+
+    The documentation is what the lexer attaches to the function in its source. Where the source doesn't show the
+    function (the file is gone or broken), shown is false and the symbol's own existing_doc is judged. Symbols without
+    documentation, of the kinds `class` and `declaration`, or of a null kind are left out. Rows delivered twice come out
+    once. A null signature has no parameters to repeat.
+    """
+    s = symbols.select("file", "qualname", "start_line", "kind", "signature", "existing_doc")
+    s = s.filter(~F.col("kind").isin("class", "declaration") & F.col("existing_doc").isNotNull() & (F.length(F.trim("existing_doc")) > 0))
+    s = s.withColumn("name", F.regexp_extract("qualname", r"([^.]+)$", 1)).dropDuplicates(["file", "qualname", "start_line"])
+    shown = extracted(files, with_code=False).groupBy(*_KEY).agg(F.max("told").alias("told"))
+    j = s.join(shown, _KEY, "left")
+    alone = F.pandas_udf(_told, "boolean")("qualname", "signature", F.when(F.col("told").isNull(), F.col("existing_doc")))
+    j = j.withColumn("alone", alone).filter("coalesce(told, alone)")
+    return j.select("file", "qualname", "start_line", "name", "signature", "existing_doc", F.col("told").isNotNull().alias("shown"))
+
+
 def pairs(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file, qualname, start_line, signature, code, description) of the documented functions.
 
-    The code is delimited in the source, found by file, line and name; a function that the source doesn't show there
-    (its file is gone, or it does not parse) has a null code.
+    Every function that a source shows comes with its code and the documentation attached to it, whether the symbols
+    have it or not (then under the lexer's name); a symbol that no source shows has a null code.
     """
-    told = documented(symbols).withColumn("name", F.regexp_extract("qualname", r"([^.]+)$", 1))
-    found = extracted(files).dropDuplicates(["file", "start_line", "name"]).select("file", "start_line", "name", "code")
-    clean = F.pandas_udf(lambda s: s.map(unwrapped), "string")
-    return told.join(found, ["file", "start_line", "name"], "left").select("file", "qualname", "start_line", "signature", "code", clean("existing_doc").alias("description"))
+    found = extracted(files).filter("told").dropDuplicates(_KEY)
+    s = symbols.select("file", "qualname", "start_line", "kind", F.col("signature").alias("known"))
+    s = s.filter(~F.col("kind").isin("class", "declaration")).withColumn("name", F.regexp_extract("qualname", r"([^.]+)$", 1)).dropDuplicates(["file", "qualname", "start_line"])
+    named = s.withColumnRenamed("qualname", "said").drop("kind")
+    of_sources = found.join(named, _KEY, "left").select("file", F.coalesce("said", "qualname").alias("qualname"), "start_line", F.coalesce("known", "signature").alias("signature"), "code", "description")
+    clean = F.pandas_udf(lambda x: x.map(unwrapped), "string")
+    alone = documented(files, symbols).filter("not shown").select("file", "qualname", "start_line", "signature", F.lit(None).cast("string").alias("code"), clean("existing_doc").alias("description"))
+    return of_sources.unionByName(alone)

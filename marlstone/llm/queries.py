@@ -44,7 +44,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.documented(table(spark, sf_dir, "symbols")).select("file", "qualname", "start_line")
+    return pairs.documented(table(spark, sf_dir, "run_files"), table(spark, sf_dir, "symbols")).select("file", "qualname", "start_line")
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
