@@ -41,6 +41,22 @@ DECLARES = (
 STATES = (("spdx", "licence", "identifier"), ("licenced", "under"), ("governed", "by"))
 
 
+#: Words that speak of what may be done with a file; a sentence with one can declare its terms.
+DECLARING = set(
+    "licence licences licenced licensing use used uses using distribute distributed distribution redistribute redistributed redistribution release released publish published copy copied copying provide provided available offer offered "
+    "share shared permit permitted permission govern governed cover covered subject terms conditions provisions grant granted choose chose elect elected applies apply dedicated modify modified made rights spdx".split()
+)
+#: What leads from there to a licence's name, and the words one of which then comes right before; none: any.
+LINKS = {
+    "under": (), "per": (), "choose": (), "chose": (), "elect": (), "by": ("governed", "covered", "permitted", "granted", "licenced", "available"), "to": ("according", "subject", "pursuant", "dedicated"), "with": ("accordance",),
+    "as": ("released", "licenced", "published", "distributed", "provided", "available", "shared", "offered"), "of": ("terms", "conditions", "provisions", "rules"), "is": ("licence", "licences"), "are": ("terms", "conditions"),
+}
+#: Words that make a sentence speak of other files, or of what does not hold.
+CONTRAST = set("not no never unlike without except neither nor instead rather formerly previously old older other others than compatible incompatible similar such".split())
+_ARTICLES = ("the", "a", "an", "either", "both")
+_SENTENCE_END = re.compile(r"[.;!?](?:\s|\Z)|\n\W*\n")
+
+
 class Templates:
     """The known licences, prepared once for each Python worker."""
 
@@ -150,21 +166,51 @@ _POINTER = {"file", "files", "copying", "see", "accompanying", "found", "root",
 def _context(words: list[str], spans: list[tuple[int, int]], text: str, at: int) -> tuple[str, ...] | None:
     """The declaring words right before a position, if any."""
     i = at
-    while i and words[i - 1] in ("the", "a", "an", "either", "both") and at - i < 3:
+    while i and words[i - 1] in _ARTICLES and at - i < 3:
         i -= 1
     for c in DECLARES:
         if tuple(words[max(0, i - len(c)) : i]) == c:
             return c
-    if i and words[i - 1] == "licence":
+    if i and words[i - 1] == "licence" and i < len(words):
         a, b = spans[i - 1]
-        between = text[b : spans[i][0]] if i < len(spans) else ""
+        between = text[b : spans[i][0]]
         if ":" in between or "=" in between or text[max(0, a - 1) : a] in ("@", "\\"):
             return ("licence",)
     return None
 
 
+def _declared(words: list[str], spans: list[tuple[int, int]], text: str, at: int) -> bool:
+    """Whether the sentence around a licence's name that begins here declares it: it speaks of what may be done, leads to
+    the name by a link, and neither denies it nor speaks of others."""
+    i = at
+    while i and words[i - 1] in _ARTICLES and at - i < 3:
+        i -= 1
+    if not i:
+        return False
+    start = i
+    while start and not (start < len(words) and _SENTENCE_END.search(text[spans[start - 1][1] : spans[start][0]])):
+        start -= 1
+    if start == i:
+        return False
+    before = words[start:i]
+    if CONTRAST.intersection(before):
+        return False
+    gap = text[spans[i - 1][1] : spans[i][0]]
+    if (":" in gap or "=" in gap) and "licence" in before[-3:]:
+        return True
+    link = before[-1]
+    if link not in LINKS or not DECLARING.intersection(before):
+        return False
+    near = before[:-1] if link in ("is", "are") else before[-3:-1]
+    return not LINKS[link] or bool(set(near).intersection(LINKS[link]))
+
+
 def statements(text: str, t: Templates) -> list[tuple[frozenset[str], bool]]:
-    """What a comment declares: sets of ids, and whether each set is a choice; {'unknown'} for terms not known."""
+    """What a comment declares: sets of ids, and whether each set is a choice; {'unknown'} for terms not known.
+
+    A known name counts where its own sentence declares it, or right after a fixed declaring phrase; a phrase that states
+    terms without a known name states unknown ones.
+    """
     words, spans = t.words(text)
     if not words:
         return []
@@ -174,12 +220,8 @@ def statements(text: str, t: Templates) -> list[tuple[frozenset[str], bool]]:
     out += [(frozenset([t.ids[k]]), False) for k in bodies]
     names, low, i = t.names(stats), text.lower().replace("license", "licence"), 0
     while i < len(words):
-        context = _context(words, spans, low, i)
-        if not context:
-            i += 1
-            continue
-        got = names.get(i)
-        if got:
+        got, context = names.get(i), _context(words, spans, low, i)
+        if got and (context == ("licence",) or _declared(words, spans, low, i) or context and not _denied(words, spans, low, i)):
             ids, choice, joined = [t.ids[got[1]]], False, False
             i = got[0]
             while i < len(words):
@@ -197,18 +239,27 @@ def statements(text: str, t: Templates) -> list[tuple[frozenset[str], bool]]:
                 choice, joined, i = choice or link == "or", joined or link == "and", more[0]
             out += [(frozenset(ids), True)] if choice and not joined else [(frozenset([x]), False) for x in ids]
             continue
-        after = [w for w in words[i : i + 8]]
-        named = context in STATES or context == ("licence",)
-        if context == ("terms", "of"):
-            named = tuple(words[max(0, i - 6) : i])[-6:-2] in {("be", "used", "under", "the")} or tuple(words[max(0, i - 5) : i - 1])[-5:] == ("be", "used", "under", "the", "terms")
-        if named and after and words[i] not in _SKIP and words[i] not in ("or", "and") and not (_POINTER & set(after[:5])) and (context[0] == "spdx" or len(after) > 1):
-            out.append((frozenset([UNKNOWN]), False))
+        if context and not got:
+            after = [w for w in words[i : i + 8]]
+            named = context in STATES or context == ("licence",)
+            if context == ("terms", "of"):
+                named = tuple(words[max(0, i - 6) : i])[-6:-2] in {("be", "used", "under", "the")} or tuple(words[max(0, i - 5) : i - 1])[-5:] == ("be", "used", "under", "the", "terms")
+            if named and after and words[i] not in _SKIP and words[i] not in ("or", "and") and not (_POINTER & set(after[:5])) and (context[0] == "spdx" or len(after) > 1):
+                out.append((frozenset([UNKNOWN]), False))
         i += 1
     if not out and rest >= TERMS_WORDS:
         out.append((frozenset([UNKNOWN]), False))
     return out
 
 
+def _denied(words: list[str], spans: list[tuple[int, int]], text: str, at: int) -> bool:
+    """Whether the sentence before a name denies or speaks of others."""
+    start = at
+    while start and not _SENTENCE_END.search(text[spans[start - 1][1] : spans[start][0]] if start < len(words) else ""):
+        start -= 1
+    return bool(CONTRAST.intersection(words[start:at]))
+
+
 def leading_comment(blob: bytes, language: str) -> str:
     """The comments before the first code; '#!' lines and byte order marks are left out."""
     i, n, parts = 3 if blob[:3] == b"\xef\xbb\xbf" else 0, len(blob), []

@@ -113,42 +113,48 @@ def token_counts(documents: DataFrame, key: str, text: str, vocabulary: str = VO
     return spread(documents.select(F.col(key).alias(name), text)).mapInArrow(run, f"{name} {kind}, n_tokens bigint")
 
 
-def pack(documents: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+#: Parts that the documents of one length are ranked in.
+SALTS = 64
+
+
+def sizes(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The token counts (text_key, n_tokens) as a table, for one packing or several."""
+    return written(token_counts(documents, key, text, vocabulary), "token-counts")
+
+
+def pack(documents: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, sized: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
     """Every document's place: (key, piece_no, token_start, n_tokens, container_id, container_offset).
 
     A document of more than `capacity` tokens alone is cut into pieces of `capacity` tokens and a rest; all others
     stay whole. Rows without tokens (null or empty text) need no room: container_id is null, n_tokens 0. Rows with a
     null key are packed too. Every input row is placed once: repeated rows count as often as they come.
+    What reaches the driver, and is sent to the executors, is the histogram of lengths and its plan: at most `capacity`
+    lengths, whatever the corpus or the number of partitions. sized: the documents' `sizes`, if they are known already.
     Raises ValueError for a capacity below 1.
     """
     if capacity < 1:
         raise ValueError("the capacity has to be at least 1")
     spark = documents.sparkSession
-    sized = written(token_counts(documents, key, text, vocabulary), "token-counts")
+    sized = sizes(documents, key, text, vocabulary) if sized is None else sized
     pieces = sized.withColumn("piece_no", F.explode(F.expr(f"sequence(0L, greatest(0L, cast(ceil(n_tokens / {capacity}) as bigint) - 1))")))
     pieces = pieces.select("text_key", F.col("piece_no").cast("int").alias("piece_no"), (F.col("piece_no") * capacity).alias("token_start"), F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - F.col("piece_no") * capacity).alias("n_tokens"))
     # one length may hold most rows: ranks are counted within salts of a length, and shifted by the salts before
-    salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("text_key", "piece_no"), F.lit(salts)).cast("int"))
     full = pieces.filter("n_tokens > 0")
-    cells = full.groupBy("n_tokens", "salt").count().collect()  # bounded by the capacity times the salts
-    histogram: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for length, salt, n in sorted(map(tuple, cells)):
-        before[length, salt] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + n
-    planned = spark.sparkContext.broadcast((plan(histogram, capacity), before))
+    cells = written(full.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")), "length-cells")
+    histogram = {length: n for length, n in cells.groupBy("n_tokens").agg(F.sum("n")).collect()}  # at most `capacity` rows
+    planned = spark.sparkContext.broadcast(plan(histogram, capacity))
 
     @F.pandas_udf("container_id bigint, container_offset bigint")
-    def take(length: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        p, shift = planned.value
-        ranks = rank.to_numpy() + np.array([shift[k] for k in zip(length.tolist(), salt.tolist())], dtype=np.int64)
-        container, offset = place(p, length.to_numpy(), ranks)
+    def take(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        container, offset = place(planned.value, length.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"container_id": container, "container_offset": offset})
 
+    earlier = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # at most `salts` rows
+    shift = cells.select("n_tokens", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     # rows that neither hash nor key tells apart are alike, so any order of them gives the same result
     ranked = full.withColumn("rank", F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("text_key", "piece_no")) - 1)
-    placed = ranked.withColumn("at", take("n_tokens", "salt", F.col("rank").cast("bigint")))
+    placed = ranked.join(shift, ["n_tokens", "salt"]).withColumn("at", take("n_tokens", F.col("rank").cast("bigint") + F.col("before")))
     columns = [F.col("text_key").alias(key), "piece_no", "token_start", "n_tokens"]
     none = pieces.filter("n_tokens = 0").select(*columns, F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("bigint").alias("container_offset"))
     return placed.select(*columns, "at.container_id", "at.container_offset").unionByName(none)

@@ -36,8 +36,8 @@ EMPTY = set(
     "todo fixme xxx tbd tba hack wip docstring docs doc document documents documentation documented undocumented describe describes described description summary comment comments placeholder stub boilerplate template "
     "missing pending later soon coming come comes follow follows following available unavailable needed needs need written explain explains explained explanation explanatory obvious obviously clear clearly trivial trivially "
     "straightforward simple simply plain evident exactly thing things stuff nothing something whatever anything see look read refer says say said suggests suggest implies imply means mean name names named title expected usual usually "
-    "standard behaviour behavior behaves version code source above below before previous elsewhere details detail info information ditto idem inherited inherits inherit equivalent counterpart analogous identical like similar self yet "
-    "know known sorry unknown unclear unspecified progress".split()
+    "expect expects standard behaviour behavior behaves version code source above below before previous elsewhere details detail info information ditto idem inherited inherits inherit equivalent counterpart analogous identical like similar self yet "
+    "know known please sorry unknown unclear unspecified progress".split()
 )
 #: What placeholders ask a writer to do; said of anything but documentation it is an action like others.
 ASKING = set("add insert write fill put complete provide update finish document describe explain".split())

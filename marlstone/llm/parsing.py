@@ -18,12 +18,14 @@ from marlstone.llm.licences import repository_of
 from marlstone.tables import spread
 
 LANGUAGES = ("python", "c", "javascript")
+#: Frames of the matcher: Python keeps them on its heap, so that only memory bounds how deep a source may be nested.
+FRAMES = 100_000_000
 _CONFLICT = re.compile(r"(?m)^(<{7}|={7}|>{7}|\|{7})(?: |$)")
 
 
 @lru_cache(maxsize=3)
 def _grammar(language: str) -> Grammar:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
     return {"python": python, "c": c, "javascript": javascript}[language].grammar()
 
 
@@ -63,18 +65,13 @@ def exactly_valid(blob: bytes) -> bool:
 
 def broken(blob: bytes, language: str) -> bool:
     """Whether a source is not valid: refused by its grammar and, for Python, by the compiler as well."""
-    try:
-        if valid(blob, language):
-            return False
-    except RecursionError:  # nested deeper than the machine goes: not shown to be invalid, but for Python's compiler
-        return language == "python" and not exactly_valid(blob)
-    return language != "python" or not exactly_valid(blob)
+    return not valid(blob, language) and (language != "python" or not exactly_valid(blob))
 
 
 def _deepest(g: Grammar, symbol: str, index: int, places: dict, symbols: str) -> int:
     """Follows a failure into the group it lies in; the place of the furthest symbol."""
     place = 0
-    for _ in range(1000):
+    while True:
         at = places.get(symbol) or []
         if not at:
             break
@@ -115,8 +112,6 @@ def failure(blob: bytes, language: str) -> tuple[int, str]:
         except Malformed as e:
             line = e.at + 1 if language == "c" else text.count("\n", 0, e.at) + 1
             ended = "without end" in e.why or e.why == "#if without #endif"
-        except RecursionError:
-            pass
     finally:
         g.known, g.diagnose = known, False
     if len({m[1][0] for m in _CONFLICT.finditer(text)} & set("<>=")) >= 2:
@@ -129,11 +124,11 @@ def failure(blob: bytes, language: str) -> tuple[int, str]:
 _SCHEMA = "file_key string, language string, line_no int, cause string"
 
 
-def broken_files(files: DataFrame, explain: bool = True) -> DataFrame:
+def broken_files(files: DataFrame) -> DataFrame:
     """(file_key, language, line_no, cause) of the records that are not valid in their language.
 
     Reads file_key, source_blob and language. Rows without a blob or with another language or none are left out. A
-    record delivered twice comes out twice, with equal rows. Without explain, line_no and cause are null.
+    record delivered twice comes out twice, with equal rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +136,7 @@ def broken_files(files: DataFrame, explain: bool = True) -> DataFrame:
             rows = []
             for key, blob, language in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if broken(blob, language):
-                    rows.append((key, language, *(failure(blob, language) if explain else (None, None))))
+                    rows.append((key, language, *failure(blob, language)))
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.string(), pa.string(), pa.int32(), pa.string()])], names=["file_key", "language", "line_no", "cause"])
 

@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.broken_files(table(spark, sf_dir, "run_files"), explain=False).select("file_key").distinct()
+    return parsing.broken_files(table(spark, sf_dir, "run_files")).select("file_key").distinct()
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,20 +67,21 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     documents, out = table(spark, sf_dir, "documents"), []
+    sized = packing.sizes(documents)
     for name in ("pack_short", "pack_long"):
         capacity = _limit(spark, sf_dir, name)[0]
-        out.append(packing.fill_report(packing.pack(documents, capacity), capacity).withColumn("limit_id", F.lit(name)))
+        out.append(packing.fill_report(packing.pack(documents, capacity, sized=sized), capacity).withColumn("limit_id", F.lit(name)))
     return out[0].unionByName(out[1])
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, mixing.Mix]:
-    documents = table(spark, sf_dir, "documents")
+    sized = mixing.sizes(table(spark, sf_dir, "documents"))
     targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_targets").collect()}  # a small table that does not grow
-    return documents, mixing.calibrate(documents, targets)
+    return sized, mixing.calibrate(sized, targets)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.draw(*_mix(spark, sf_dir)).select("doc_id", "mix_copy", "mix_order", "source", "text")
+    return mixing.draw(table(spark, sf_dir, "documents"), _mix(spark, sf_dir)[1]).select("doc_id", "mix_copy", "mix_order", "source", "text")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ such rules compare rates by their confidence bounds, so more of the same texts d
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,36 +24,66 @@ from marlstone.tables import spread, written
 COPIED, MATCH = 0.9, 8
 SALTS = 8
 
-#: Phrases of responses that decline, apologise or ask for more instead of answering.
-REFUSALS = (
-    "i cannot", "i cant", "i can not", "i am not able", "im not able", "i am unable", "im unable", "i am afraid", "im afraid", "as an ai", "as a language model", "i must decline", "i have to decline", "i decline", "i must refuse",
-    "i dont feel able", "i do not feel able", "i dont feel comfortable", "i wont", "i will not", "i would need", "i need more", "i dont have", "i do not have", "i lack", "i only see", "i apologise", "i apologize", "my apologies", "apologies but",
-    "im sorry", "i am sorry", "we are sorry", "sorry but", "sorry i", "sorry no", "sorry we", "sorry this", "no comment can be produced", "my guidelines", "goes beyond what i", "outside of what i", "beyond what i", "unknown to me",
-    "not enough context was provided", "too little information here", "i have to leave", "is there any chance to get", "i am stuck", "let me know if you have more", "let me know if you need", "please provide", "please share", "please ask", "please give me",
-    "could you share", "could you provide", "could you please", "can you share", "can you provide", "would you share", "happy to help but", "ask the author instead", "ask a maintainer instead", "without seeing", "without more context", "unable to help", "unable to assist", "unable to comply", "cant help with", "cannot help with that", "cannot assist",
+#: The words by which a refusal shows, by class; texts without any of TRIGGERS are not read further.
+CLASSES = {
+    "me": "i im ive id me my myself we us our",
+    "cannot": "cannot cant couldnt wont unable decline declined refuse refused wouldnt",
+    "explain": "describe explain comment document summarise summarize annotate answer help assist say tell judge review comply complete respond reply clarify discuss continue proceed interpret elaborate offer advise write generate give provide produce determine guess speculate",
+    "give": "share provide send give show post paste attach supply upload specify clarify tell point include forward add",
+    "more": "context information info details detail code file files snippet source definition callers rest background input material",
+    "lacking": "enough insufficient little limited missing without more additional further full complete whole remaining surrounding",
+    "limit": "guidelines policy policies instructions rules permissions capabilities ability scope training",
+}
+TRIGGERS = set("i im ive id me my sorry apologies apologise apologize regret afraid please could can would cannot cant unable unfortunately ai assistant help know enough insufficient instead beyond outside unknown".split())
+_W = {k: f"(?:{'|'.join(v.split())})" for k, v in CLASSES.items()}
+_NOT = r"(?:not|never|neither)"
+#: The automaton: words in order, `.` the end of a sentence, x quoted text. Each line is one way to decline.
+REFUSAL = re.compile(
+    "|".join(
+        (
+            rf"\b(?:i|ive|im) (?:\w+ )?{_W['cannot']}\b", rf"\b(?:i|im) (?:\w+ )?(?:am |do |can |could |will |would |may |have )?{_NOT} (?:\w+ )?(?:able|allowed|permitted|comfortable|confident|certain|sure|position|qualified|going|feel|have|know|see|understand|explain|describe|comment|help|assist|say|tell|do|give|provide|want|wish)\b",
+            rf"\bi (?:dont|didnt|havent|lack|am afraid|need to|would rather|only see|only have|can only see|see only|have no|have only)\b", rf"\b(?:im|i am) (?:afraid|sorry|stuck|unsure|not)\b", rf"\bi (?:must|have to|had to|had better) (?:\w+ )?(?:decline|refuse|leave|pass|stop|abstain)\b", rf"\b(?:we|they) {_W['cannot']} {_W['explain']}\b",
+            rf"(?:^|\. )(?:unfortunately |regrettably |sadly |well |no )?(?:cannot|cant|unable to|not able to|impossible to|declined? to|refuse to|refusing to) (?:be )?{_W['explain']}\b", rf"(?:^|\. )(?:no answer|no comment|request declined|declined|refused|skipped on request)(?: \.|$)",
+            rf"\b(?:sorry|apologies) (?:\.|but|i|im|we|no|about|for|this|that|it|there|cannot|cant|unable)\b", r"\bsorry \.", r"\b(?:my|our|sincere) apologies\b", r"\b(?:i|we) (?:\w+ )?(?:apologi[sz]e|regret)\b", r"\bas an? (?:ai|language model|assistant|large language model)\b", r"\b(?:im|i am) (?:just |only )?an (?:ai|assistant)\b",
+            rf"\b(?:could|can|would|will|might|may) (?:you|someone|anyone|somebody) (?:please |kindly |perhaps |also )?{_W['give']}\b", rf"\bplease (?:do |kindly |first |also )?(?:{_W['give']}|ask|contact|consult|refer|try|rephrase|resubmit|let me)\b(?!\w)", r"\blet me know\b", rf"\bi (?:would |will |d |do )?(?:need|require|want)\b", rf"\bid (?:need|require|have to|rather|prefer not)\b", rf"\b(?:could|would|can) you mind \w+ing\b", r"\b(?:impossible|hard|difficult) for me to\b",
+            rf"\b(?:is there|any) (?:any )?(?:chance|way) (?:to get|of getting|you)\b", rf"\b(?:(?:not|isnt|arent|wasnt|werent) enough|insufficient|too little|no) (?:\w+ )?{_W['more']} (?:\w+ )?(?:was|were|is|are|here|provided|given|available|to|for me)\b", rf"\b(?:beyond|outside|outside of|exceeds|above) (?:what i|my|the scope of what i|what an ai)\b", rf"\bmy (?:own )?{_W['limit']}\b",
+            r"\b(?:unknown|unclear|not clear|not known|unfamiliar) to me\b", rf"\b(?:happy|glad) to help (?:\. )?(?:but|if|once|as soon|when)\b", rf"\bask (?:the|a|an|someone|somebody|your|its|another) \w+(?: \w+){{0,4}} instead\b", rf"\b(?:can|could|may) i (?:see|have|get)\b",
+        )
+    )
 )
 
-#: Stop words by language.
+#: Function words by language, accents left out; words of content are none.
 STOPWORDS = {
     "en": "the a an and or of to in is are was were be been it its this that these those with for on at by from as but not no if when while before after so than then only each every both neither nor any all some once per until unless into out up has have had does do did will would can could may must never since because there here which who what how why whatever other still used set skip keep fall back note without",
-    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war wird werden wurde wenn weil damit dass für mit von vom zum zur auf aus bei nach vor über unter noch nur auch sonst bis wie sich wir ihr sie er es ohne erst aber im am als so hat haben sollte gibt liest",
-    "fr": "le la les un une des du de et ou mais ne pas est sont était sera si parce que qui quoi pour avec dans sur sous par au aux ce cette ces il elle nous vous ils sans plus encore aussi après avant lit après depuis seulement jusqu son sa ses leur reste tout toutes",
-    "es": "el la los las un una unos unas de del y o pero no es son era fue si porque que quien para con en sobre por al este esta estos su sus se nos sin más todavía también tras desde hasta solo lee cuando después antes aún resto todo como lo",
-    "pt": "o a os as um uma de do da dos das e ou mas não é são era foi se porque que quem para com em no na nos nas por ao este esta seu sua sem mais ainda também após desde até só lê quando depois antes os outros outras ficheiro já como",
-    "it": "il lo la i gli le un uno una di del della dei e o ma non è sono era se perché che chi per con in nel nella su da al questo questa suo sua si senza più ancora anche dopo da fino solo legge quando prima altri altre resto tutte come",
-    "nl": "de het een en of maar niet is zijn was wordt worden als omdat dat die wie voor met in op van uit bij naar om te er dit deze zich we wij zonder meer nog ook na sinds tot alleen leest wanneer eerst daarna overige ander rest pas hebben heeft",
-    "pl": "i w z na do nie jest są był była było się że który które która dla od po przy przez pod nad za oraz ale lub jeśli gdy jak tak też jeszcze już tylko bez czyta reszta resztę pozostaje dawniej zanim więc aby czy nadal zwraca wersji dlaczego",
-    "sv": "och i att det som en på är av för med till den har de inte om ett men var sig så från vid när kan utan eller bara efter innan läser resten ännu även sedan",
-    "da": "og i at det som en på er af for med til den har de ikke om et men var sig så fra ved når kan uden eller kun efter før læser resten endnu også siden",
-    "no": "og i at det som en på er av for med til den har de ikke om et men var seg så fra ved når kan uten eller bare etter før leser resten ennå også siden",
-    "fi": "ja on ei se että tai mutta kun jos niin myös vain ennen jälkeen ilman kuin ovat oli sen tämä joka jotka vielä",
-    "cs": "a v na se je že do z pro s o i jako po ale není jsou byl byla bylo který která které když nebo jen ještě bez čte zbytek také od aby už",
-    "tr": "ve bir bu için ile da de değil olarak daha çok ne ama ancak kadar sonra önce gibi her veya ise yalnızca",
-    "ro": "și în de la cu pe nu este sunt un o care din pentru că mai dar sau dacă după fără doar până când",
+    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war wird werden wurde wenn weil damit dass fur mit von vom zum zur auf aus bei nach vor uber unter noch nur auch sonst bis wie sich wir ihr sie er es ohne erst im am als hat haben sollte gibt durch wieder schon",
+    "fr": "le la les un une des du de et ou mais ne pas est sont etait sera si parce que qui quoi pour avec dans sur sous par au aux ce cette ces il elle nous vous ils sans plus encore aussi apres avant depuis seulement son sa ses leur tout toutes quand lorsque deja chaque",
+    "es": "el la los las un una unos unas de del y o pero no es son era fue si porque que quien para con en sobre por al este esta estos su sus se nos sin mas todavia tambien tras desde hasta solo cuando despues antes aun todo como lo ya cada hay",
+    "pt": "o a os as um uma de do da dos das e ou mas nao sao era foi se porque que quem para com em no na nos nas por ao este esta seu sua sem mais ainda tambem apos desde ate so quando depois antes ja como cada pelo pela",
+    "it": "il lo la i gli le un uno una di del della dei e o ma non sono era se perche che chi per con in nel nella su da al questo questa suo sua si senza piu ancora anche dopo fino solo quando prima altri altre tutte come ogni gia",
+    "nl": "de het een en of maar niet is zijn was wordt worden als omdat dat die wie voor met in op van uit bij naar om te er dit deze zich we wij zonder meer nog ook na sinds tot alleen wanneer eerst daarna pas hebben heeft door alle",
+    "pl": "i w z na do nie jest sa byl byla bylo sie ze ktory ktora ktore dla od po przy przez pod nad za oraz ale lub jesli gdy jak tak tez jeszcze juz tylko bez zanim wiec aby czy nadal dlaczego kiedy co",
+    "sv": "och i att det som en pa ar av for med till den har de inte om ett men var sig sa fran vid nar kan utan eller bara efter innan annu aven sedan alla",
+    "da": "og i at det som en pa er af for med til den har de ikke om et men var sig sa fra ved nar kan uden eller kun efter for endnu ogsa siden alle",
+    "fi": "ja on ei se etta tai mutta kun jos niin myos vain ennen jalkeen ilman kuin ovat oli sen tama joka jotka viela ole",
+    "cs": "a v na se je ze do z pro s o jako po ale neni jsou byl byla bylo ktery ktera ktere kdyz nebo jen jeste bez take od aby uz pri",
+    "tr": "ve bir bu icin ile da de degil olarak daha cok ne ama ancak kadar sonra once gibi her veya ise yalnizca olan",
+    "ro": "si in de la cu pe nu este sunt un o care din pentru ca mai dar sau daca dupa fara doar pana cand nici",
+    "hu": "a az es nem hogy egy van volt csak meg ha de is mint vagy ezt azt el ki be fel le minden utan elott nelkul amely amikor mert",
+    "id": "yang dan di ke dari untuk dengan ini itu tidak akan pada adalah atau jika karena oleh sebagai dalam sudah belum hanya juga telah saat setelah sebelum tanpa bila agar",
+    "vi": "va la cua co khong cho duoc trong voi cac mot nay do khi neu de tu ra vao da se dang chi sau truoc nhung hoac boi",
+    "ga": "an na agus is ni ta ar le do go sa ag air as nach mar ach no roimh tar eis gan chun seo sin bhi leis",
+    "ca": "el la els les un una de del i o pero no es son per amb en que si com mes tambe sense fins quan despres abans nomes ja hi",
+    "hr": "i u na se je da ne za od sa su koji koja koje ali ili ako kad kada jer samo bez nakon prije vec jos nije bio kao",
+    "sw": "na ya wa kwa ni katika hii hiyo hiki si la za cha kama au lakini baada kabla bila tu pia",
+    "et": "ja on ei see et voi aga kui siis ka ainult enne parast ilma mis kes oli ning veel selle",
+    "lt": "ir yra ne tai kad ar bet jei kai tik prie po be kuris kuri buvo dar su is nuo iki kaip",
+    "lv": "un ir ne tas ka vai bet ja kad tikai pirms pec bez kas bija vel ar no lidz ka",
+    "tl": "ang ng sa na ay mga ito hindi at para kung may o pero lamang bago matapos walang kapag",
+    "af": "die en nie is van n het in op te vir met dat wat sal word as maar of slegs voor na sonder nog ook",
 }
 _VOTES: dict[str, tuple[str, ...]] = {}
 for _lang, _words in STOPWORDS.items():
-    for _w in set(_words.split()):
+    for _w in set(_words.split()) if _lang == "en" else set(_words.split()) - set(STOPWORDS["en"].split()):
         _VOTES[_w] = (*_VOTES.get(_w, ()), _lang)
 
 #: Words that an English sentence does not end with.
@@ -63,22 +94,30 @@ _LETTERS = re.compile(r"[^\W\d_]")
 _PLACES = {"(": ")", "[": "]", "{": "}"}
 
 
-@lru_cache(maxsize=1)
-def _refusals():
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for x in REFUSALS:
-        a.add_word(f" {x} ", x)
-    a.make_automaton()
-    return a
+_QUOTED = re.compile(r"```.*?```|`[^`]*`|\"[^\"\n]*\"|“[^”\n]*”|(?<!\w)'[^'\n]*'(?!\w)", re.S)
+_UNIT = re.compile(r"\w+|[.!?;:,—–](?=\s|$)|\s-\s")
 
 
 def refuses(text: str) -> bool:
-    """Whether a phrase of the refusal automaton occurs outside of quoted code."""
-    plain = re.sub(r"```.*?```|`[^`]*`", " x ", text, flags=re.S).lower().replace("'", "").replace("’", "")
-    plain = f" {' '.join(re.findall(r'\w+', plain))} "
-    return next(_refusals().iter(plain), None) is not None
+    """Whether the refusal automaton finds a way of declining in what is said, not in what is quoted.
+
+    It reads words by class: who speaks and cannot, asks for more, apologises, or names a limit of their own.
+    """
+    plain = _QUOTED.sub(" x ", text)
+    first = _LETTERS.search(plain)
+    if first and first.group().isupper():  # where sentences have capitals, a small i is a name
+        plain = re.sub(r"\bi\b", "x", plain)
+    plain = plain.lower().replace("'", "").replace("’", "").replace("/", "")
+    units = _UNIT.findall(plain)
+    if TRIGGERS.isdisjoint(units):
+        return False
+    return REFUSAL.search(" ".join("." if not x[0].isalnum() else x for x in units if x != ",")) is not None
+
+
+@lru_cache(maxsize=65536)
+def folded(w: str) -> str:
+    """A word without its accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)).replace("ł", "l").replace("ø", "o").replace("đ", "d")
 
 
 def foreign(text: str) -> bool:
@@ -92,7 +131,7 @@ def foreign(text: str) -> bool:
     votes: dict[str, float] = {}
     strange = 0
     for w in re.findall(r"[^\W\d_]+", plain.lower()):
-        for lang in _VOTES.get(w, ()):
+        for lang in _VOTES.get(w if w.isascii() else folded(w), ()):
             votes[lang] = votes.get(lang, 0) + 1
         strange += not w.isascii()
     english = votes.pop("en", 0)
@@ -264,14 +303,14 @@ def broken_responses(requests: DataFrame) -> DataFrame:
     pairs = all_.filter("slot is null").groupBy("before", "last").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
     words = pairs.groupBy("last").agg(F.sum("n").alias("n_last"), F.sum("ended").alias("n_ended"))
     firsts = pairs.groupBy("before").agg(F.sum("n").alias("n_before"))
-    total = pairs.agg(F.sum("n").alias("total"))
+    total = all_.filter("slot is null").agg(F.sum("n")).first()[0] or 0  # one number
     asked = open_.distinct().groupBy("before", "last").agg(F.count("*").alias("n_final"))
     finals = asked.groupBy("last").agg(F.sum("n_final").alias("n_finals"))
     starts = F.explode(F.expr("transform(sequence(1, greatest(1, length(last) - 1)), k -> substring(last, 1, k))"))
     longer = pairs.select("before", starts.alias("start"), "last", "n").filter("start <> last").groupBy("before", F.col("start").alias("last")).agg(F.sum("n").alias("n_longer"))
     anywhere = words.select(starts.alias("start"), "last", "n_last").filter("start <> last").groupBy(F.col("start").alias("last")).agg(F.sum("n_last").alias("n_wider"))
     known = asked.join(pairs.select("before", "last", F.col("n").alias("n_pair")), ["before", "last"], "left").join(longer, ["before", "last"], "left")
-    known = known.join(words, "last", "left").join(anywhere, "last", "left").join(firsts, "before", "left").join(finals, "last").join(total)
+    known = known.join(words, "last", "left").join(anywhere, "last", "left").join(firsts, "before", "left").join(finals, "last").withColumn("total", F.lit(total))
     n = {x: F.coalesce(F.col(x), F.lit(0)).cast("double") for x in ("n_pair", "n_longer", "n_last", "n_ended", "n_wider", "n_before", "n_finals", "total")}
     others = n["n_finals"] - 1  # responses besides one of these
     ending = _share(others, others + n["n_last"] + n["n_wider"], -1) >= ENDS

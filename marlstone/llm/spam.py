@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.responses import STOPWORDS
+from marlstone.llm.responses import STOPWORDS, folded
 from marlstone.tables import spread
 
 STATES = ("prose", "links", "tags", "menu")
@@ -35,8 +35,9 @@ SHARE = 0.5
 PIECE = 30
 #: A keyword makes up this part of a text's words and comes this often; stuffed lines consist of keywords by half.
 KEYWORD, TIMES, STUFFED = 0.035, 4, 0.45
-#: Texts with more stop words than this are not read for keywords.
-PROSE = 0.37
+#: Keywords are stuffing, not a theme, if they make up this part of a text's words, or this part of its words other than
+#: stop words; the second also makes a line stuffed, so stop words between the keywords are no disguise.
+MASS, CONTENT = 0.3, 0.6
 
 _FUNCTION = {w for ws in STOPWORDS.values() for w in ws.split()}
 _WORD = re.compile(r"[ぁ-ゟ]+|[゠-ヿー]+|[一-鿿々]+|[^\W_ぁ-ヿ一-鿿]+")
@@ -70,8 +71,13 @@ def split_words(line: str) -> tuple[list[str], list[str]]:
     return ws, ws if bare is line else words(bare)
 
 
+def _plain(w: str) -> bool:
+    """Whether a word is a stop word of some language, or of Hiragana."""
+    return w in _FUNCTION or not w.isascii() and ("ぁ" <= w[0] <= "ゟ" or folded(w) in _FUNCTION)
+
+
 def _function_share(ws: list[str]) -> float:
-    return (sum(map(_FUNCTION.__contains__, ws)) + sum("ぁ" <= w[0] <= "ゟ" and w not in _FUNCTION for w in ws if not w.isascii())) / len(ws)
+    return (sum(map(_FUNCTION.__contains__, ws)) + sum("ぁ" <= w[0] <= "ゟ" or folded(w) in _FUNCTION for w in ws if not w.isascii())) / len(ws)
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -112,16 +118,17 @@ def symbol(line: str, keywords: set[str], fenced: bool = False, parts: tuple[lis
     if len(plain) < n:
         ws = plain or ws
     share = _function_share(ws)
+    if ("#" in line or "[" in line) and share < 0.5 and sum(len(words(m.group())) for m in _MARKED.finditer(line)) >= 0.7 * len(ws):
+        return "items", n
     if share >= 0.3 and not keywords:  # whether code or not: prose
         return "sentence", n
     if re.match(r"\s*\S*\d\d?:\d\d\b", line) and _CODE.match(line):
         return "code", n
-    if keywords and len(ws) > 2 and sum(w in keywords for w in ws) >= STUFFED * len(ws):
-        return "stuffed", n
+    if keywords and len(ws) > 2:
+        stuffing = sum(w in keywords for w in ws)
+        if stuffing >= STUFFED * len(ws) or stuffing > 1 and stuffing >= CONTENT * sum(not _plain(w) for w in ws):
+            return "stuffed", n
     items = [x for x in _SEPARATOR.split(line.strip(" .*-•|\t")) if x.strip()]
-    marked = sum(len(words(m.group())) for m in _MARKED.finditer(line))
-    if marked >= 0.7 * len(ws) and share < 0.3:
-        return "items", n
     if _CODE.match(line):
         return "code", n
     if len(items) >= 3 and n <= 4.5 * len(items) and share < 0.2:
@@ -162,17 +169,24 @@ def labels(symbols: list[str]) -> list[str]:
     return [STATES[i] for i in reversed(out)]
 
 
+def _keywords(words_: Iterable[str]) -> set[str]:
+    """The keywords of a text's words, if they are stuffing; else none."""
+    all_words = list(words_)
+    total = len(all_words)
+    count = Counter(w for w in all_words if not _plain(w))
+    out = {w for w, n in count.items() if n >= TIMES and n >= KEYWORD * total}
+    mass = sum(count[w] for w in out)
+    return out if mass >= MASS * total or mass and mass >= CONTENT * count.total() else set()
+
+
 def shares(text: str) -> dict[str, float]:
     """The share of a text's words in lines of each label; all zero for a text without words."""
     lines = list(pieces(text))
     parts = [split_words(x) for x in lines]
-    all_words = [w for _, plain in parts for w in plain]
-    total, keywords = len(all_words), set()
-    if total and _function_share(all_words) <= PROSE:  # else sentences, though they may come again
-        count = Counter(w for w in all_words if w not in _FUNCTION and not "ぁ" <= w[0] <= "ゟ")
-        keywords = {w for w, n in count.most_common(40) if n >= TIMES and n >= KEYWORD * total}
-        if sum(count[w] for w in keywords) < 0.3 * total:  # a theme, not stuffing
-            keywords = set()
+    keywords = _keywords(w for _, plain in parts for w in plain)
+    if keywords:  # sentences that come again are no stuffing: of each, numbers aside, one counts
+        distinct = {re.sub(r"\d+", "0", x.strip().lower()): x for line in lines for x in _SENTENCE.split(line)}
+        keywords = _keywords(w for x in distinct.values() for w in split_words(x)[1])
     looks, sizes, fenced = [], [], False
     for line, known in zip(lines, parts):
         fence = line.lstrip().startswith(("```", "~~~"))

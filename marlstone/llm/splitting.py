@@ -6,6 +6,7 @@ imbalance is its squared deviation from equal sizes; the least sum subject to th
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -136,10 +137,11 @@ def _bounds(pos: np.ndarray, cost: np.ndarray, n: int, limit: int, room: int) ->
 
 
 def split(blob: bytes, named: str | None, limit: int, overlap: int) -> tuple[list[tuple[int, int, str]], list[int], list[int]]:
-    """Pieces (start, end, kind of the cut at the end), lines longer than the limit (1-based), starts of all lines.
+    """Pieces (start, end, kind of the cut at the end), lines that had to be cut (1-based), starts of all lines.
 
     Every piece but the first starts exactly `overlap` bytes before the end of the one before it, and none is longer
-    than the limit. A line longer than the limit is always cut.
+    than the limit. A line had to be cut if a cut falls within it and it alone is longer than the limit; no pieces
+    within the limit leave such a line whole.
     """
     n, sep = len(blob), ending_of(blob, named)
     if n <= limit:
@@ -165,7 +167,8 @@ def split(blob: bytes, named: str | None, limit: int, overlap: int) -> tuple[lis
         at = int(pos[i]) - overlap
     pieces.append((at, n, "end"))
     ends = [*(x - len(sep) for x in starts[1:]), n]
-    long = [i + 1 for i, (a, b) in enumerate(zip(starts, ends)) if b - a > limit]
+    cut = {bisect_right(starts, end) - 1 for _, end, _ in pieces[:-1]}
+    long = [i + 1 for i in sorted(cut) if ends[i] - starts[i] > limit and any(starts[i] < end < ends[i] for _, end, _ in pieces)]
     return pieces, long, starts
 
 
@@ -176,8 +179,8 @@ def split_records(files: DataFrame, max_size: int, overlap: int) -> DataFrame:
     """Pieces of every record whose source_blob has more than max_size bytes: one row for each piece, in order.
 
     Reads file_key, source_blob and line_ending; other columns are left out. start_line and end_line are 1-based;
-    cut says what the source does where the piece ends; long_lines, in the first piece, lists the lines that alone
-    are longer than max_size. A null blob, or one within the limit, has no pieces; a null or unknown line_ending is
+    cut says what the source does where the piece ends; long_lines, in the first piece, lists the lines that had to
+    be cut, since they alone are longer than max_size. A null blob, or one within the limit, has no pieces; a null or unknown line_ending is
     taken from the bytes. A record delivered twice gives its pieces once (the rows are distinct by content).
     Raises ValueError unless 0 <= overlap < max_size.
     """
@@ -202,7 +205,7 @@ def split_records(files: DataFrame, max_size: int, overlap: int) -> DataFrame:
 
 
 def found(pieces: DataFrame) -> DataFrame:
-    """Of the pieces: file_key with line_no 0 for each record that was cut, and each line that alone is too long."""
+    """Of the pieces: file_key with line_no 0 for each record that came out in several, and each line that had to be cut."""
     first = pieces.filter(F.col("piece_no") == 0)
     lines = F.concat(F.array(F.lit(0)), F.coalesce("long_lines", F.array().cast("array<int>")))
     return first.select("file_key", F.explode(lines).alias("line_no")).distinct()

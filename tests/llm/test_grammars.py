@@ -129,3 +129,11 @@ def test_settings_agree_with_trying_all():
         seen[want] += 1
         assert accepts("c", text) == want, text
     assert min(seen) > 200
+
+
+@pytest.mark.parametrize("depth", [3_000, 20_000])
+def test_deep_nesting_is_judged(depth):
+    a = lambda x, y, z: x * depth + y + z * depth
+    assert parsing.broken(b"x = " + a(b"[", b"1 2", b"]") + b";\n", "javascript") and not parsing.broken(b"x = " + a(b"[", b"1", b"]") + b";\n", "javascript")
+    assert parsing.broken(b"int x = " + a(b"(", b"1 2", b")") + b";\n", "c") and not parsing.broken(b"int x = " + a(b"(", b"1", b")") + b";\n", "c")
+    assert parsing.broken(b"if (a) b(); else " * depth + b"c() d;\n", "javascript")

@@ -20,6 +20,19 @@ LICENCES = [
 ]
 
 
+@pytest.mark.parametrize(
+    "text, ids",
+    [
+        ("Use of this file is permitted according to the Aspen Licence, version 1.", {"AA-1.0"}), ("License terms: Birch Terms", {"BB"}), ("May be redistributed per AA-1.0.", {"AA-1.0"}), ("We choose the Aspen v1.", {"AA-1.0"}), ("The licence of this file is BB.", {"BB"}),
+        ("Copying is allowed in accordance with the Birch Terms.", {"BB"}), ("Offered under Aspen v1 to anyone.", {"AA-1.0"}), ("You can use this, subject to the Birch Terms.", {"BB"}),
+        ("Unlike files under the terms of the Birch Terms, this file is private.", set()), ("This file is not licensed under the Birch Terms.", set()), ("Reads headers and reports tags such as BB.", set()), ("Tells Birch Terms texts from drafts.", set()), ("Formerly released under Aspen v1.", set()), ("Checks whether other files are used under the Birch Terms.", set()),
+    ],
+)
+def test_licences_declared_in_other_words(text, ids):
+    t = licences.Templates(tuple((i, a, tuple(o or ()), n or "", b) for i, a, o, n, b in LICENCES))
+    assert set().union(*(x for x, _ in licences.statements(text, t))) == ids
+
+
 def licence_table(spark):
     return spark.createDataFrame(LICENCES, "licence_id string, title string, other_names array<string>, notice string, body string")
 
@@ -142,6 +155,12 @@ def test_splitting_takes_as_many_pieces_as_pay():
     assert {e for _, e, _ in pieces[:-1]} <= set(starts)
 
 
+def test_lines_that_had_to_be_cut_come_from_the_cuts():
+    blob = b"a" * 150 + b"\n" + b"b\n" * 20 + b"c" * 99 + b"\n" + b"d" * 101
+    pieces, long, starts = splitting.split(blob, "lf", 100, 10)
+    assert long == [1, 23] and all(any(starts[n - 1] < e < starts[n - 1] + 100 for _, e, _ in pieces) for n in long)
+
+
 def test_split_records(spark):
     long = b"y" * 130 + b"\n" + b"a b\n" * 30
     rows = [("k", long, None, "c"), ("k", long, None, "c"), ("n", None, "lf", "c"), ("s", b"x", "lf", None), (None, long, "lf", None)]
@@ -209,10 +228,11 @@ def test_mixing(spark):
     rows = [(i, "word " * rng.randrange(1, 40), rng.choice(["a", "A", " a", "b-x", "B X", "c", None, "other"])) for i in range(4000)]
     rows += [(None, "no key", "a"), (5000, None, "a"), (5001, "", "b_x")]
     d, targets = documents(spark, rows), {"a": (0.5, 1), "b_x": (0.3, 3), "c": (0.2, 2), "gone": (0.0, 4)}
-    m = mixing.calibrate(d, targets)
+    z = mixing.sizes(d)
+    m = mixing.calibrate(z, targets)
     drawn = mixing.draw(d, m).collect()
     assert [r.mix_order for r in drawn] == sorted(r.mix_order for r in drawn)
-    got = {r.source: r for r in mixing.shares(d, m).collect()}
+    got = {r.source: r for r in mixing.shares(z, m).collect()}
     for s, (share, most) in targets.items():
         assert abs(got[s].share - share) < 0.01 and got[s].most_copies <= most
     copies = {}
@@ -221,14 +241,21 @@ def test_mixing(spark):
     assert max(copies.values()) <= 3 and sum(r.n_draws for r in got.values()) == len(drawn)
     assert any(x == float("inf") for x in m.means.values())  # the mixture is as large as the caps allow
     empty = documents(spark, [])
-    assert mixing.draw(empty, mixing.calibrate(empty, targets)).count() == 0
-    assert {r.share for r in mixing.shares(empty, mixing.calibrate(empty, targets)).collect()} == {0.0}
+    none = mixing.sizes(empty)
+    assert mixing.draw(empty, mixing.calibrate(none, targets)).count() == 0
+    assert {r.share for r in mixing.shares(none, mixing.calibrate(none, targets)).collect()} == {0.0}
+
+
+def test_mixing_takes_large_caps():
+    m = mixing.grid(150)
+    assert m[-1] > 290 and 0 <= mixing._cdf(149, m[-1]) < 1e-9 and abs(float(mixing._cdf(0, 2.0)) - 0.1353352832) < 1e-9
 
 
 def test_mixing_without_one_of_the_sources(spark):
     d = documents(spark, [(i, "word " * 20, "ab"[i % 2]) for i in range(2000)] + [(3000, None, "c")])
-    m = mixing.calibrate(d, {"a": (0.45, 1), "b": (0.3, 1), "c": (0.15, 2), "gone": (0.1, 2)})
-    got = {r.source: r for r in mixing.shares(d, m).collect()}
+    z = mixing.sizes(d)
+    m = mixing.calibrate(z, {"a": (0.45, 1), "b": (0.3, 1), "c": (0.15, 2), "gone": (0.1, 2)})
+    got = {r.source: r for r in mixing.shares(z, m).collect()}
     assert abs(got["a"].share - 0.6) < 0.01 and abs(got["b"].share - 0.4) < 0.01 and got["a"].n_draws == 1000
     assert got["c"].share == got["gone"].share == 0 and got["gone"].target_share == 0.1
 
@@ -254,20 +281,36 @@ def test_pairs(spark):
     s = lambda q, kind, line, doc, sig=None: ("/srv/t/r/a.c", q, kind, sig, line, line, 0, None, doc, None, t, "x", "y")
     rows = [s("f", "function", 3, "/* Tells what the caller owns. */"), s("f", "function", 3, "/* Tells what the caller owns. */"), s("A", "class", 1, "Tells much."), s("g", None, 9, "Tells much."), s("h", "function", 7, None), (None, None, "def", None, None, None, None, None, "Tells a lot here.", None, None, None, None)]
     d = spark.createDataFrame(rows, SYMBOLS)
-    assert {(r.file, r.qualname) for r in pairs.documented(d).collect()} == {("/srv/t/r/a.c", "f"), (None, None)}
-    code = b"int x;\n/* Tells what the caller owns. */\nstatic int f(int a) {\n  char *s = \"}\"; // }\n  return a;\n}\n"
-    got = {r.qualname: r for r in pairs.pairs(run_files(spark, [("/srv/t/r/a.c", code, "lf", "c")]), d).collect()}
+    code = b"int x;\n/* Tells what the caller owns. */\nstatic int f(int a) {\n  char *s = \"}\"; // }\n  return a;\n}\n/** Closes the door. */ int g(void) { return 0; }\n\n// Opens the door.\nint k(void) { return 1; }\n"
+    files = run_files(spark, [("/srv/t/r/a.c", code, "lf", "c")] * 2)
+    assert {(r.file, r.qualname) for r in pairs.documented(files, d).collect()} == {("/srv/t/r/a.c", "f"), (None, None)}
+    got = {r.qualname: r for r in pairs.pairs(files, d).collect()}
+    assert set(got) == {"f", "k", None} and got["k"].description == "Opens the door."
     assert got["f"].code.startswith("static int f") and got["f"].code.endswith("}") and got["f"].description == "Tells what the caller owns."
-    assert got[None].code is None
-    assert pairs.documented(d.limit(0)).count() == 0
+    assert got[None].code is None and got[None].description == "Tells a lot here."
+    assert pairs.documented(files, d.limit(0)).count() == 0 and pairs.documented(files.limit(0), d).count() == 2
+    # what the source attaches counts: a symbol's doc that the source doesn't show there tells nothing
+    bare = run_files(spark, [("/srv/t/r/a.c", b"\n\nstatic int f(int a) { return a; }\n", "lf", "c")])
+    assert {r.qualname for r in pairs.documented(bare, d).collect()} == {None}
+
+
+@pytest.mark.parametrize(
+    "doc, told",
+    [
+        ("Not documented yet.", False), ("See the C version for details.", False), ("Name says it all.", False), ("Trivial helper.", False), ("Please document me!", False), ("What you would expect.", False), ("Documented elsewhere.", False), ("Self evident", False), ("Stub.", False), ("As above", False),
+        ("Add rows to the queue.", True), ("Insert the key.", True), ("Puts the rows back in order.", True), ("Write the header first.", True), ("Never blocks.", True), ("Expects an open socket.", True), ("Frees the rows.", True), ("Counts bytes, not characters.", True), ("Thread-safe.", True), ("Caller owns the result.", True),
+    ],
+)
+def test_documentation_in_other_words(doc, told):
+    assert pairs.tells("parse_row", "int parse_row(int a)", doc) is told
 
 
 def test_functions_are_delimited():
     js = "// adds\nfunction add(a, b) { return '}' + `}${a}` + /[}]/.exec(b); }\nclass A {\n  /** says */\n  say(x) { if (x) { y() } }\n}\nconst z = (a) => { return a; };\n"
-    got = {n: (code, doc) for n, _, _, code, doc, _ in pairs.functions(js, "javascript")}
+    got = {f.name: (f.code, f.own_doc) for f in pairs.functions(js, "javascript")}
     assert got["add"][0].endswith("exec(b); }") and got["add"][1] == "// adds" and got["say"] == ("say(x) { if (x) { y() } }", "/** says */") and "z" in got
     py = 'class A:\n    def f(self):\n        """Doc."""\n        return "def g(): {"\n\n\ndef h(): pass\n'
-    assert [(n, a, b, d) for n, a, b, _, d, _ in pairs.functions(py, "python")] == [("f", 2, 4, "Doc."), ("h", 7, 7, None)]
+    assert [(f.name, f.start_line, f.end_line, f.own_doc) for f in pairs.functions(py, "python")] == [("f", 2, 4, "Doc."), ("h", 7, 7, None)]
 
 
 PROMPT = responses.Prompt(["def load(a, b):\n    # keep the order of things as it was before\n    return merge(a, b) + [x for x in b if x]\n", "Routine is short: comment only what the code does not say.", "load"])
@@ -327,6 +370,7 @@ PROSE = "The lock is held until the row was read. It returns nothing if the cach
         (f"{PROSE} See https://a.example/x/y and https://b.example/z.", False), ("a-" * 40_000, False),
         ("\n".join(f"https://www.a.example/x/y{i}.html" for i in range(30)), True), ("\n".join(f'<a href="http://a.example/{i}">row key</a>' for i in range(20)), True), ("\n".join(f"hxxp://a[.]example[.]test/x{i}" for i in range(20)), True), ("\n".join(f"- [row key](https://a.example/{i})" for i in range(20)), True),
         ("code linter, doc builder, " * 40, True), ("best code linter free code linter buy code linter online " * 20, True), ("[ivory] [pool] [official deal] " * 30, True), ("#row\n#key\n#lock\n#cache\n" * 10, True), ("Profile pro » Filter top » Window discount » " * 15, True), ("\n".join(f"Row key | SKU {i}123 | black | XL | {i}.99" for i in range(20)), True),
+        ("The best shoes are the shoes that you want. If you want the best shoes, buy the best shoes at the shop for shoes, as the shoes are the best of the shoes. " * 3, True),
         ("整形 ツール 格安; コード 検査 無料; " * 30, True), (PROSE + "\n\n" + "code linter | doc builder | " * 60, True), (PROSE * 8 + "\n\ncode linter | doc builder | code linter", False),
     ],
 )
@@ -335,6 +379,20 @@ def test_spam(text, spam_):
     assert (s["links"] + s["tags"] + s["menu"] > spam.SHARE) is spam_
 
 
+def test_packing_shifts_are_no_driver_matter(spark, monkeypatch):
+    d = documents(spark, [(i, "word " * (1 + i % 7), None) for i in range(900)])
+    want = packing.fill_report(packing.pack(d, 16), 16).first()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        sized = packing.sizes(d)
+        for salts in (1, 3, 64):
+            p = packing.pack(d, 16, sized=sized, salts=salts)
+            assert packing.fill_report(p, 16).first() == want and p.select("container_id", "container_offset").distinct().count() == 900
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_spam_on_tables(spark):
     d = documents(spark, [(1, "code linter, doc builder, " * 40, None), (2, None, None), (3, "", None), (None, "#a #b #c\n" * 9, None), (1, "code linter, doc builder, " * 40, None)])
     assert sorted((r.doc_id or 0) for r in spam.flagged(d).collect()) == [0, 1, 1]
@@ -349,3 +407,36 @@ def test_broken_files(spark):
     rate = {(r.repo, r.language): (r.n_files, r.n_invalid, r.rate) for r in parsing.rates(files.filter("file_key is not null"), bad).collect()}
     assert rate == {("r", "c"): (1, 1, 1.0), ("r", "python"): (1, 0, 0.0)}
     assert parsing.broken_files(run_files(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I'm not in a position to comment on this.", "There isn't enough information for me to say anything useful.", "I'd rather not guess what this does.", "Without the callers I can't say.", "I do not understand this routine well enough.", "Would you mind sharing the header first?", "This is outside my area, sorry.",
+        "I need to see the rest before I can comment.", "It's impossible for me to tell from this fragment.", "Apologies, but no.", "We are unable to say more, sorry.", "Can someone send the rest of the file?", "Unable to describe `load`.", "I have no access to the callers.",
+    ],
+)
+def test_refusals_in_other_words(text):
+    assert responses.refuses(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Prints 'please provide a path' and exits with status 2.", "Skips to the footer without seeing the header rows.", 'Returns "I cannot open the file" as the message.', "Callers cannot help but hold the lock.", "Sorry entries are skipped.", "We cannot hold the lock here, since the pool may block.", "Refuses a request that has not enough rows.",
+        "Asks the caller for more context lines.", "The I/O thread cannot be stopped.", "Let the caller know that the row was dropped.", "More details are in the header.", "Requests without enough information are rejected.", "The policy decides which rows are kept.", "Index i must not pass n.",
+    ],
+)
+def test_descriptions_that_speak_of_refusing(text):
+    assert not responses.refuses(text)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Fungsi ini mengembalikan baris yang sudah dibaca dan tidak menutup berkas.", True), ("Leann an fheidhm seo ar aghaidh go dti an deireadh agus ni stopann si.", True), ("Visszaadja a sort, ha meg nem olvastak be, es nem zarja le a fajlt.", True), ("Tra ve dong da doc va khong dong tep.", True), ("Funkcija vraca redak ako nije procitan.", True), ("Geeft de regel terug als die nog niet gelezen is.", True),
+        ("Keeps a café key.", False), ("The naïve façade is kept.", False), ("Return a row.", False), ("We use la and de as labels of rows.", False), ("Note: i, u and z are axes.", False), ("no data", False), ("Merges rows; drops stale ones", False),
+    ],
+)
+def test_languages_in_other_words(text, want):
+    assert responses.foreign(text) is want
