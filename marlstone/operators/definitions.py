@@ -58,16 +58,20 @@ def source_symbols(files: DataFrame) -> DataFrame:
     return py.dropDuplicates(["file", "qualname", "start_line"]).unionByName(rest)
 
 
+def comment_flags(lines: Column, language: Column) -> Column:
+    """Of each line whether it is a comment line."""
+    return F.transform(lines, lambda x: ~is_blank(x) & is_comment(x, language))
+
+
 def comments_above(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file, qualname, start_line, first_comment): where the comment lines right above a definition begin.
 
-    Definitions without any are left out. A run is unbroken: a blank or code line ends it, so code between two block
-    comments is never taken for a comment. Rows of symbols that repeat come out once.
+    files: (file_key, comment), each file once, with its `comment_flags`. Definitions without any comment are left out.
+    A run is unbroken: a blank or code line ends it, so code between two block comments is never taken for a comment.
+    Rows of symbols that repeat come out once.
     """
     s = symbols.select("file", "qualname", "start_line").filter("start_line > 1").distinct()
-    f = files.select(F.col("file_key").alias("file"), F.col("language"), "source_lines").filter("language is not null and source_lines is not null")
-    plain = F.transform("source_lines", lambda x: ~is_blank(x) & is_comment(x, F.col("language")))
-    f = f.select("file", plain.alias("comment"))
+    f = files.select(F.col("file_key").alias("file"), "comment").filter("comment is not null")
     above = F.reverse(F.slice("comment", 1, F.least(F.col("start_line") - 1, F.size("comment"))))
     run = F.array_position(above, False)
     n = F.when(run == 0, F.size(above)).otherwise(run - 1)

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.tables import written
-
 #: Callee notes that a caller gets at most, in call order.
 NOTES = 6
 
 
-def unique_symbols(symbols: DataFrame) -> DataFrame:
-    """One row for each (file, qualname): the last definition, of rows delivered twice the last delivery."""
-    order = F.struct("start_line", "loaded_at")
-    columns = [c for c in symbols.columns if c not in ("file", "qualname")]
-    return symbols.groupBy("file", "qualname").agg(F.max_by(F.struct(*columns), order).alias("r")).select("file", "qualname", "r.*")
+def unique_symbols(symbols: DataFrame, *columns: str) -> DataFrame:
+    """(file, qualname, columns): one row for each (file, qualname), the last definition, of rows delivered twice the
+    last delivery; without columns, all of them. Columns that are not named are neither read nor shuffled."""
+    rows = symbols.select("file", "qualname", F.struct("start_line", "loaded_at").alias("order"), F.struct(*(columns or [c for c in symbols.columns if c not in ("file", "qualname")])).alias("r"))
+    return rows.groupBy("file", "qualname").agg(F.max_by("r", "order").alias("r")).select("file", "qualname", "r.*")
 
 
 def call_sites(symbols: DataFrame) -> DataFrame:
@@ -94,58 +90,6 @@ def documentation_sites(symbols: DataFrame) -> DataFrame:
     return j.select("name", "decl_file", F.when(once, F.col("def_file")).alias("def_file"), once.alias("redirected"))
 
 
-#: Rounds whose levels are put into one table.
-TOGETHER = 32
-
-
-def dependency_levels(edges: DataFrame) -> DataFrame:
-    """(node, level): leaves have level 0, any other node one more than the highest it depends on.
-
-    edges: (src, dst), src depends on dst. Nodes on a cycle, and those that depend on one, get their level once no
-    leaf is left to peel: the nodes of least level bound are freed together, so every round settles at least one node.
-    Rounds read and write tables; no graph is held in one place. There are as many rounds as levels.
-    """
-    e = written(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).filter("src <> dst").distinct(), "edges")
-    left = written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
-    done = None
-    for level in count():
-        waiting = e.select(F.col("src").alias("node")).distinct()
-        free = left.join(waiting, "node", "left_anti")
-        if free.isEmpty():
-            if left.isEmpty():
-                return done.select("node", "level")
-            free = left.join(_cycle_members(e), "node", "left_semi")
-        free = written(free.withColumn("level", F.lit(level)), "level")
-        done = free if done is None else done.unionByName(free)
-        if level % TOGETHER == TOGETHER - 1:  # a plan holds only so many tables
-            done = written(done, "levels")
-        left = written(left.join(free, "node", "left_anti"), "nodes")
-        e = written(e.join(free.select(F.col("node").alias("dst")), "dst", "left_anti").join(free.select(F.col("node").alias("src")), "src", "left_anti"), "edges")
-
-
-def _cycle_members(edges: DataFrame) -> DataFrame:
-    """One node of every cycle that depends on no other: the least name in it.
-
-    Such a node reaches no lesser name, and all it reaches reach it again, so no least name beyond its own.
-    """
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    least = _spread(edges, nodes.withColumn("value", F.col("node")), F.min, F.least)
-    most = _spread(edges, least, F.max, F.greatest).withColumnRenamed("value", "most")
-    return least.join(most, "node").filter("node = value and value = most").select("node")
-
-
-def _spread(edges: DataFrame, values: DataFrame, among, of_two) -> DataFrame:
-    """For each node the extreme of the values (node, value) that it reaches, its own included; a round an edge."""
-    values = written(values.select("node", "value"), "reach")
-    while True:
-        via = edges.join(values.select(F.col("node").alias("dst"), F.col("value").alias("via")), "dst").groupBy(F.col("src").alias("node")).agg(among("via").alias("via"))
-        new = values.join(via, "node", "left").select("node", of_two("value", "via").alias("new"), F.col("value").alias("old"))
-        new = written(new.select("node", F.col("new").alias("value"), (F.col("new") != F.col("old")).alias("changed")), "reach")
-        values = new.select("node", "value")
-        if new.filter("changed").isEmpty():
-            return values
-
-
 def file_edges(edges: DataFrame) -> DataFrame:
     """Distinct dependencies between files: (src, dst)."""
     return edges.filter("file <> callee_file").select(F.col("file").alias("src"), F.col("callee_file").alias("dst")).distinct()

@@ -28,10 +28,14 @@ def line_ending(blob: Column) -> Column:
     return F.when(crlf > F.greatest(cr, lf), "crlf").when(cr > lf, "cr").otherwise("lf")
 
 
-def delivered_once(files: DataFrame) -> DataFrame:
-    """One row for each file_key: the last delivery."""
-    columns = [c for c in files.columns if c != "file_key"]
-    return files.groupBy("file_key").agg(F.max_by(F.struct(*columns), F.struct("loaded_at", "path")).alias("r")).select("file_key", "r.*")
+def delivered_once(files: DataFrame, *values: Column | str) -> DataFrame:
+    """(file_key, values): of each file_key the values of its last delivery; without values, all columns.
+
+    Values are worked out row by row before deliveries are compared, so only they are shuffled and the scan reads no more
+    than they need. Name what a query needs; whole sources should not travel.
+    """
+    rows = files.select("file_key", "loaded_at", "path", F.struct(*(values or [c for c in files.columns if c != "file_key"])).alias("r"))
+    return rows.groupBy("file_key").agg(F.max_by("r", F.struct("loaded_at", "path")).alias("r")).select("file_key", "r.*")
 
 
 #: A pattern, the language it votes for and its weight; languages in the order of their rules.
@@ -48,15 +52,16 @@ VOTES = (
 )
 
 
-def guessed_languages(files: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, language, votes): what the lines of a text vote for; a known shebang decides alone.
+def guessed_languages(files: DataFrame, keys: str | list[str], text: Column) -> DataFrame:
+    """(keys, language, votes): what the lines of a text vote for; a known shebang decides alone.
 
     Of equal votes the language that got its first vote earliest wins (by line, then in the order of the rules);
     `text` where nothing votes. Lines are voted on within the row, so nothing is shuffled. A null text is `text`.
     """
     names = list(dict.fromkeys(v[1] for v in VOTES))
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), strip), lambda x: x != "")
-    t = files.select(F.col(key), lines.alias("lines"))
+    keys = [keys] if isinstance(keys, str) else keys
+    t = files.select(*keys, lines.alias("lines"))
     first = F.lower(F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit("")))
     shebang = F.when(first.startswith("#!"), F.when(first.contains("python"), "python").when(first.contains("bash") | first.endswith("/sh"), "sh").when(first.contains("node"), "js"))
 
@@ -72,9 +77,9 @@ def guessed_languages(files: DataFrame, key: str, text: Column) -> DataFrame:
         since = F.coalesce(F.array_position(F.transform(f"v_{name}", lambda v: v > 0), True), F.lit(0))
         columns.append(F.struct(total.alias("votes"), (-since).alias("since"), F.lit(-rank).alias("rank"), F.lit(name).alias("language")))
     best = F.array_max(F.array(*columns))
-    t = t.select(key, shebang.alias("shebang"), best.alias("best"))
+    t = t.select(*keys, shebang.alias("shebang"), best.alias("best"))
     known = F.when(F.col("shebang").isNotNull(), F.col("shebang")).when(F.col("best.votes") > 0, F.col("best.language")).otherwise("text")
-    return t.select(key, known.alias("language"), F.when(F.col("shebang").isNull(), F.col("best.votes")).otherwise(0).alias("votes"))
+    return t.select(*keys, known.alias("language"), F.when(F.col("shebang").isNull(), F.col("best.votes")).otherwise(0).alias("votes"))
 
 
 def run_files(targets: DataFrame, references: DataFrame) -> DataFrame:

@@ -13,11 +13,14 @@ def blank(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "") == ""
 
 
-def latest(requests: DataFrame) -> DataFrame:
-    """One row for each (file, id): the first delivery. Rows without received_at come last."""
-    columns = [c for c in requests.columns if c not in ("file", "id")]
+def first_deliveries(requests: DataFrame, *columns: str) -> DataFrame:
+    """(file, id, columns): of each (file, id) the first delivery; without columns, all of them.
+
+    Rows without received_at come last. Name the columns that a query needs: the others are neither read nor shuffled.
+    """
     order = F.struct(F.col("received_at").isNull(), F.col("received_at"), F.col("issued_at").isNull(), F.col("issued_at"))
-    return requests.groupBy("file", "id").agg(F.min_by(F.struct(*columns), order).alias("r")).select("file", "id", "r.*")
+    rows = requests.select("file", "id", order.alias("order"), F.struct(*(columns or [c for c in requests.columns if c not in ("file", "id")])).alias("r"))
+    return rows.groupBy("file", "id").agg(F.min_by("r", "order").alias("r")).select("file", "id", "r.*")
 
 
 def slots(requests: DataFrame) -> DataFrame:

@@ -16,8 +16,13 @@ COMMENT = "((language = 'python' AND regexp_matches(h, '^(20|09)*(23)')) OR (lan
 LINES = f"WITH {ONCE}, l AS (SELECT file_key, coalesce(language, '') AS language, generate_subscripts(source_lines, 1) AS line_no, hex(unnest(source_lines)) AS h FROM f)"
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loading.delivered_once(table(spark, sf_dir, "run_files"))
+def _files(spark: SparkSession, sf_dir: str, *values) -> DataFrame:
+    return loading.delivered_once(table(spark, sf_dir, "run_files"), *values)
+
+
+def _lined(value):
+    """A value that is null where a file has no lines."""
+    return F.when(F.size("source_lines") > 0, value)
 
 
 @query(
@@ -55,16 +60,15 @@ def gathered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (NOT regexp_matches(h, {BLANK}) AND {COMMENT}) AS n_comment, CAST(max(length(h) // 2) AS INTEGER) AS longest FROM l GROUP BY file_key"""
 )
 def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir).filter("size(source_lines) > 0")
     n = lambda keep: F.size(F.filter("source_lines", keep)).cast("long")
     language = F.coalesce("language", F.lit(""))
-    return f.select(
-        "file_key",
+    profile = F.struct(
         F.size("source_lines").cast("long").alias("n_lines"),
         n(patch.is_blank).alias("n_blank"),
         n(lambda x: ~patch.is_blank(x) & patch.is_comment(x, language)).alias("n_comment"),
         F.array_max(F.transform("source_lines", F.octet_length)).alias("longest"),
     )
+    return _files(spark, sf_dir, _lined(profile).alias("p")).filter("p is not null").select("file_key", "p.*")
 
 
 @query(
@@ -72,10 +76,9 @@ def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM l WHERE NOT regexp_matches(h, {BLANK}) AND NOT {COMMENT} GROUP BY file_key"""
 )
 def code_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir)
     language = F.coalesce("language", F.lit(""))
     code = patch.code_lines(F.col("source_lines"), language)
-    out = f.select("file_key", F.size(code).cast("long").alias("n_code"), patch.code_signature(F.col("source_lines"), language).alias("signature"))
+    out = _files(spark, sf_dir, F.size(code).cast("long").alias("n_code"), patch.code_signature(F.col("source_lines"), language).alias("signature"))
     return out.filter("n_code > 0")
 
 
@@ -84,9 +87,9 @@ def code_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file_key, CASE WHEN line AND NOT block THEN 'line' ELSE 'block' END AS style FROM c"""
 )
 def comment_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir).filter("language in ('c', 'javascript') and size(source_lines) > 0")
     any_ = lambda p: F.exists("source_lines", lambda x: F.hex(x).rlike(p))
-    return f.select("file_key", F.when(any_("^(20|09)*2F2F") & ~any_("^(20|09)*2F2A"), "line").otherwise("block").alias("style"))
+    style = F.when(any_("^(20|09)*2F2F") & ~any_("^(20|09)*2F2A"), "line").otherwise("block")
+    return _files(spark, sf_dir, _lined(F.when(F.col("language").isin("c", "javascript"), style)).alias("style")).filter("style is not null")
 
 
 @query(
@@ -94,10 +97,10 @@ def comment_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file_key, CAST(first_code - 1 AS INTEGER) AS zone_end FROM z"""
 )
 def header_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir).filter("language = 'python' and size(source_lines) > 0")
     code = F.transform("source_lines", lambda x: ~patch.is_blank(x) & ~patch.is_comment(x, F.lit("python")))
     at = F.array_position(code, True)
-    return f.select("file_key", F.when(at > 0, at - 1).otherwise(F.size("source_lines")).cast("int").alias("zone_end"))
+    end = F.when(at > 0, at - 1).otherwise(F.size("source_lines")).cast("int")
+    return _files(spark, sf_dir, _lined(F.when(F.col("language") == "python", end)).alias("zone_end")).filter("zone_end is not null")
 
 
 @query(
@@ -106,13 +109,13 @@ def header_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file_key, CAST(min(line_no) AS INTEGER) AS first_line, CAST(max(line_no) AS INTEGER) AS last_line FROM g WHERE NOT blank GROUP BY file_key, run"""
 )
 def line_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir).filter("size(source_lines) > 0")
     n = F.size("source_lines")
     blank = lambda i: F.coalesce(patch.is_blank(F.try_element_at("source_lines", i)), F.lit(True))
-    numbers = F.sequence(F.lit(1), n)
+    numbers = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     starts = F.filter(numbers, lambda i: ~blank(i) & ((i == 1) | blank(F.greatest(i - 1, F.lit(1)))))
     ends = F.filter(numbers, lambda i: ~blank(i) & ((i == n) | blank(F.least(i + 1, n))))
-    return f.select("file_key", F.explode(F.arrays_zip(starts.alias("first_line"), ends.alias("last_line"))).alias("b")).select("file_key", "b.first_line", "b.last_line")
+    f = _files(spark, sf_dir, _lined(F.arrays_zip(starts.alias("first_line"), ends.alias("last_line"))).alias("bands"))
+    return f.select("file_key", F.explode("bands").alias("b")).select("file_key", "b.first_line", "b.last_line")
 
 
 @query(
@@ -120,8 +123,7 @@ def line_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT f.file_key, f.content_sha, k.n_files, f.file_key = k.first_key AS computes FROM f JOIN k ON k.content_sha = f.content_sha"""
 )
 def content_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "run_files").select("file_key", "path", "content_sha", "loaded_at")
-    f = f.groupBy("file_key").agg(F.max_by("content_sha", F.struct("loaded_at", "path")).alias("content_sha")).filter("content_sha is not null")
+    f = _files(spark, sf_dir, "content_sha").filter("content_sha is not null")
     k = f.groupBy("content_sha").agg(F.count("*").alias("n_files"), F.min("file_key").alias("first_key"))
     return f.join(k, "content_sha").select("file_key", "content_sha", "n_files", (F.col("file_key") == F.col("first_key")).alias("computes"))
 
@@ -143,35 +145,46 @@ def project_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.join(best, "above").groupBy("dir").agg(F.min_by("doc.file_key", "level").alias("project_doc"))
 
 
-@query()
+#: The votes once more, as conditions on a line x: language, rank of the language, weight and condition.
+_BALLOT = (
+    ("c", 0, 2, "regexp_matches(x, '^(#include|#define )')"), ("c", 0, 2, "regexp_matches(x, '^(extern|static)') AND ends_with(x, ';') AND NOT regexp_matches(x, '^(extern|static).*(public|final)')"),
+    ("cpp", 1, 2, "regexp_matches(x, '^(extern|static)') AND ends_with(x, ';') AND NOT regexp_matches(x, '^(extern|static).*(public|final)')"), ("cpp", 1, 3, "contains(x, 'using namespace') OR starts_with(x, 'template<')"), ("cpp", 1, 2, "regexp_matches(x, '^(public|private|protected):')"),
+    ("python", 2, 3, "regexp_matches(x, '^(def |class )') AND ends_with(x, ':')"), ("python", 2, 2, "regexp_matches(x, '^(import |from ).*[^;]$')"),
+    ("js", 3, 2, "regexp_matches(x, '^(function|export|const|let|var) ')"), ("js", 3, 2, "regexp_matches(x, '^import .* from .*;$')"), ("js", 3, 3, "contains(x, 'document.') OR contains(x, 'window.') OR contains(x, 'console.') OR contains(x, 'JSON.') OR contains(x, '=>')"), ("js", 3, 1, "contains(x, 'class ') AND ends_with(x, '{')"),
+    ("java", 4, 1, "contains(x, 'class ') AND ends_with(x, '{')"), ("java", 4, 3, "starts_with(x, 'package ')"), ("java", 4, 3, "regexp_matches(x, '^import javax?\\.')"), ("java", 4, 3, "starts_with(x, 'public class ')"), ("java", 4, 3, "contains(x, 'System.out.') OR contains(x, 'public static void main')"),
+    ("go", 5, 2, "starts_with(x, 'package ')"), ("go", 5, 3, "starts_with(x, 'import (') OR starts_with(x, 'func ')"), ("go", 5, 2, "contains(x, 'fmt.') OR starts_with(x, 'go ')"),
+    ("sh", 6, 2, "starts_with(x, 'echo ') OR x IN ('fi', 'done', 'esac')"), ("vb", 7, 3, "regexp_matches(upper(x), '^(SUB|FUNCTION|DIM|PRINT) ')"), ("vb", 7, 2, "regexp_matches(upper(x), '^(MODULE |IMPORTS |PUBLIC CLASS )')"),
+)
+_BALLOTS = ", ".join(f"{{'n': '{n}', 'r': {r}, 'w': CASE WHEN {c} THEN {w} ELSE 0 END}}" for n, r, w, c in _BALLOT)
+
+
+@query(
+    f"""WITH b AS (SELECT file_key, arg_max({{'v': source_blob}}, (loaded_at, path)).v AS b FROM run_files GROUP BY file_key),
+t AS (SELECT file_key, coalesce(decode(unhex(replace(regexp_replace(regexp_replace(hex(b), '(..)', '\\1 ', 'g'), '[89A-F]. ', '3F ', 'g'), ' ', ''))), '') AS t FROM b),
+s AS (SELECT file_key, list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|\\r|\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS lines FROM t),
+h AS (SELECT file_key, lines, CASE WHEN NOT starts_with(coalesce(lines[1], ''), '#!') THEN NULL WHEN contains(lower(lines[1]), 'python') THEN 'python' WHEN contains(lower(lines[1]), 'bash') OR ends_with(lower(lines[1]), '/sh') THEN 'sh' WHEN contains(lower(lines[1]), 'node') THEN 'js' END AS bang FROM s),
+l AS (SELECT file_key, generate_subscripts(lines, 1) AS k, unnest(lines) AS x FROM h WHERE bang IS NULL),
+v AS (SELECT file_key, k, unnest([{_BALLOTS}]) AS v FROM l),
+n AS (SELECT file_key, v.n AS language, v.r AS rank, sum(v.w) AS votes, min(k) AS since FROM v WHERE v.w > 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_key ORDER BY votes DESC, since, rank) AS place FROM n)
+SELECT h.file_key, coalesce(bang, r.language, 'text') AS language, CAST(coalesce(r.votes, 0) AS INTEGER) AS votes FROM h LEFT JOIN r ON r.file_key = h.file_key AND place = 1"""
+)
 def guessed_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "run_files").dropDuplicates(["file_key"])
-    return loading.guessed_languages(f, "file_key", loading.carried(F.col("source_blob")))
+    f = table(spark, sf_dir, "run_files")
+    voted = loading.guessed_languages(f, ["file_key", "loaded_at", "path"], loading.carried(F.col("source_blob")))
+    return loading.delivered_once(voted, "language", "votes")
 
 
 @query()
 def python_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.python_definitions(table(spark, sf_dir, "run_files").dropDuplicates(["file_key"]))
+    return parse.python_definitions(table(spark, sf_dir, "run_files")).dropDuplicates(["file", "qualname", "def_line"])
 
 
 @query()
 def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.python_imports(table(spark, sf_dir, "run_files").dropDuplicates(["file_key"]))
+    return parse.python_imports(table(spark, sf_dir, "run_files")).distinct()
 
 
 @query()
 def python_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.paragraphs(table(spark, sf_dir, "run_files").dropDuplicates(["file_key"]))
-
-
-@query()
-def annotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marlstone.operators import queue
-
-    f = _files(spark, sf_dir)
-    found = table(spark, sf_dir, "symbols").select("file", "qualname", "start_line").distinct()
-    answers = queue.slots(queue.latest(table(spark, sf_dir, "requests"))).filter("slot = 'def'").filter(~queue.blank(F.col("answer")) & ~T.declines(F.col("answer")))
-    ids = answers.select("file", F.regexp_extract("id", r"^fn:(.*):[^:]*$", 1).alias("qualname"), "answer").groupBy("file", "qualname").agg(F.min("answer").alias("text"))
-    first = found.groupBy("file", "qualname").agg(F.min("start_line").alias("line_no"))
-    notes = ids.join(first, ["file", "qualname"]).select(F.col("file").alias("file_key"), "line_no", "text")
-    return patch.annotated(f, notes).select("file_key", "n_inserted", "preserved", F.size("source_lines").alias("n_lines"))
+    return parse.paragraphs(table(spark, sf_dir, "run_files"))

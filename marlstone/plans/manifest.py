@@ -20,33 +20,32 @@ BLANK = "regexp_replace(coalesce({}, ''), '\\s+', '', 'g') = ''"
 WAITS = f"((def IS NOT NULL AND {BLANK.format('def.answer')}) OR coalesce(len(list_filter(blocks.chunks, lambda c: {BLANK.format('c.answer')})) > 0, false))"
 
 
-def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.latest(table(spark, sf_dir, "requests"))
+def _latest(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
+    return queue.first_deliveries(table(spark, sf_dir, "requests"), *columns)
 
 
 @query(SLOTS + " SELECT file, id, slot, answer FROM s")
 def answer_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.slots(_latest(spark, sf_dir)).select("file", "id", "slot", "answer")
+    return queue.slots(_latest(spark, sf_dir, "def", "blocks")).select("file", "id", "slot", "answer")
 
 
 @query(SLOTS + f" SELECT count(*) AS n_slots, count(*) FILTER ({BLANK.format('answer')}) AS n_unfilled, count(DISTINCT file) AS n_files FROM s")
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = queue.slots(_latest(spark, sf_dir)).select("file", queue.blank(F.col("answer")).alias("open"))
+    s = queue.slots(_latest(spark, sf_dir, "def", "blocks")).select("file", queue.blank(F.col("answer")).alias("open"))
     by_file = s.groupBy("file").agg(F.count("*").alias("n"), F.count_if("open").alias("open"))
     return by_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_slots"), F.coalesce(F.sum("open"), F.lit(0)).alias("n_unfilled"), F.count("*").alias("n_files"))
 
 
 @query(SLOTS + f" SELECT id || ':' || slot AS label, file FROM s WHERE {BLANK.format('answer')}")
 def unfilled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = queue.slots(_latest(spark, sf_dir)).filter(queue.blank(F.col("answer")))
+    s = queue.slots(_latest(spark, sf_dir, "def", "blocks")).filter(queue.blank(F.col("answer")))
     return s.select(F.concat("id", F.lit(":"), "slot").alias("label"), "file")
 
 
 @query(f"WITH {LATEST} SELECT count(*) FILTER (fragment IS NOT NULL) AS n_claimed, count(*) FILTER (fragment IS NOT NULL AND {WAITS}) AS n_outstanding, count(DISTINCT fragment) AS n_fragments FROM q")
 def outstanding_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _latest(spark, sf_dir)
-    waits = queue.unfilled(F.col("def"), F.col("blocks"))
-    return q.agg(F.count("fragment").alias("n_claimed"), F.count_if(F.col("fragment").isNotNull() & waits).alias("n_outstanding"), F.countDistinct("fragment").alias("n_fragments"))
+    q = _latest(spark, sf_dir, "fragment", queue.unfilled(F.col("def"), F.col("blocks")).alias("waits"))
+    return q.agg(F.count("fragment").alias("n_claimed"), F.count_if(F.col("fragment").isNotNull() & F.col("waits")).alias("n_outstanding"), F.countDistinct("fragment").alias("n_fragments"))
 
 
 @query(
@@ -54,12 +53,12 @@ def outstanding_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file, id, rank, CAST((rank - 1) // 8 AS BIGINT) AS batch FROM w"""
 )
 def claim_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.batches(_latest(spark, sf_dir), 8)
+    return queue.batches(_latest(spark, sf_dir, "def", "blocks", "fragment", "issued_at"), 8)
 
 
 @query(f"WITH {LATEST} SELECT file, id, CASE WHEN NOT {WAITS} THEN fragment END AS fragment FROM q")
 def released_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.released(_latest(spark, sf_dir)).select("file", "id", "fragment")
+    return queue.released(_latest(spark, sf_dir, "def", "blocks", "fragment")).select("file", "id", "fragment")
 
 
 @query(
@@ -67,7 +66,7 @@ def released_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o.file, o.id, CASE WHEN k.k.id = o.id AND k.k.file = o.file THEN o.snippet END AS snippet, CASE WHEN NOT (k.k.id = o.id AND k.k.file = o.file) THEN k.k.id END AS snippet_ref FROM o JOIN k ON k.snippet = o.snippet"""
 )
 def shared_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.shared_snippets(_latest(spark, sf_dir))
+    return queue.shared_snippets(_latest(spark, sf_dir, "snippet"))
 
 
 @query(
@@ -77,7 +76,7 @@ SELECT q.file, q.id, coalesce(q.snippet, k.found) AS snippet FROM q LEFT JOIN k
 def inlined_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "requests")
     k = r.filter("snippet is not null").groupBy(F.col("id").alias("snippet_ref")).agg(F.min("snippet").alias("found"))
-    q = _latest(spark, sf_dir).select("file", "id", "snippet", "snippet_ref")
+    q = _latest(spark, sf_dir, "snippet", "snippet_ref")
     return q.join(k, "snippet_ref", "left").select("file", "id", F.coalesce("snippet", "found").alias("snippet"))
 
 
@@ -107,7 +106,7 @@ def rebound_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT s.file, s.id, CAST(s.ordinal AS INTEGER) AS ordinal, s.line, i.text FROM s JOIN i ON i.file = s.file AND i.id = s.id AND TRY_CAST(i.key AS INTEGER) = s.line"""
 )
 def statement_insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.statement_insertions(_latest(spark, sf_dir))
+    return queue.statement_insertions(_latest(spark, sf_dir, "blocks"))
 
 
 @query(
@@ -115,7 +114,7 @@ def statement_insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
   substr(sha256(snippet), 1, 16) AS text_hash FROM q"""
 )
 def request_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _latest(spark, sf_dir)
+    q = _latest(spark, sf_dir, "qualname", "sig_hash", "snippet")
     rid = T.request_id(F.col("qualname"), F.col("sig_hash"))
     return q.select("file", "id", rid.alias("request_id"), (F.col("id") == rid).alias("same"), T.text_hash(F.col("snippet")).alias("text_hash"))
 
@@ -126,7 +125,7 @@ SELECT file, id, slot, head LIKE 'NONE%' AS declines,
   a IN ('ok', 'okay', 'understood', 'ready', 'sure', 'yes', 'done', 'got it', 'acknowledged') OR (NOT contains(answer, chr(10)) AND length(a) < 60 AND regexp_matches(a, '^(understood|acknowledged|okay|ok,|ok |got it)')) AS acknowledges,
   CASE WHEN regexp_extract(answer, '[0-9]', 0) = '' THEN 2 ELSE least(3, greatest(1, CAST(regexp_extract(answer, '[0-9]', 0) AS INTEGER))) END AS score FROM t""")
 def reply_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = queue.slots(_latest(spark, sf_dir)).filter("answer is not null")
+    s = queue.slots(_latest(spark, sf_dir, "def", "blocks")).filter("answer is not null")
     a = F.col("answer")
     return s.select("file", "id", "slot", T.declines(a).alias("declines"), T.acknowledges(a).alias("acknowledges"), T.score(a).alias("score"))
 
@@ -137,7 +136,7 @@ p AS (SELECT file, id, 'Document the routine.' AS s, u, a FROM m)"""
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    q = _latest(spark, sf_dir)
+    q = _latest(spark, sf_dir, "snippet", "def")
     return q.select("file", "id", F.array(m("system", F.lit(" Document the routine. ")), m("user", F.col("snippet")), m("assistant", F.col("def.answer")), m("tool", F.lit("x")), m("user", F.lit("Shorter."))).alias("messages"))
 
 
@@ -182,6 +181,6 @@ SELECT w.file, w.id, w.slot, string_agg(word, ',' ORDER BY word) AS ungrounded F
 def ungrounded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.operators.grounding import ungrounded
 
-    s = queue.slots(_latest(spark, sf_dir))
+    s = queue.slots(_latest(spark, sf_dir, "def", "blocks"))
     corpus = table(spark, sf_dir, "requests").filter("snippet is not null").select("snippet")
     return ungrounded(s, ["file", "id", "slot"], "answer", corpus, "snippet")

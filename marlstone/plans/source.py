@@ -14,10 +14,6 @@ from marlstone.plans.manifest import LATEST, WAITS
 from marlstone.tables import table
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loading.delivered_once(table(spark, sf_dir, "run_files"))
-
-
 @query(
     f"""WITH {ONCE}, l AS (SELECT file_key, language, len(source_lines) AS n, generate_subscripts(source_lines, 1) AS line_no, hex(unnest(source_lines)) AS h FROM f WHERE language IS NOT NULL
 ), s AS (SELECT DISTINCT file, qualname, start_line FROM symbols WHERE start_line > 1
@@ -25,7 +21,9 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file, qualname, start_line, CAST(coalesce(stop, 0) + 1 AS INTEGER) AS first_comment FROM c WHERE coalesce(stop, 0) + 1 < start_line"""
 )
 def comments_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return definitions.comments_above(_files(spark, sf_dir), table(spark, sf_dir, "symbols"))
+    plain = F.when(F.col("language").isNotNull(), definitions.comment_flags(F.col("source_lines"), F.col("language")))
+    files = loading.delivered_once(table(spark, sf_dir, "run_files"), plain.alias("comment"))
+    return definitions.comments_above(files, table(spark, sf_dir, "symbols"))
 
 
 @query(
@@ -36,7 +34,7 @@ def comments_above(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file, id, bidx, CAST(least(greatest(1, a - 8), coalesce(up, greatest(1, a - 8))) AS INTEGER) AS first, CAST(least(len(lines), b + 8) AS INTEGER) AS last FROM o"""
 )
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = queue.latest(table(spark, sf_dir, "requests")).filter("snippet is not null")
+    q = queue.first_deliveries(table(spark, sf_dir, "requests"), "snippet", "blocks").filter("snippet is not null")
     c = q.select("file", "id", F.split("snippet", "\n").alias("lines"), F.explode("blocks.chunks").alias("c"))
     w = definitions.context_window(F.col("lines"), F.col("c.lines")[0], F.col("c.lines")[1])
     return c.select("file", "id", F.col("c.bidx").alias("bidx"), w.alias("w")).select("file", "id", "bidx", "w.first", "w.last")
@@ -45,7 +43,7 @@ def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LATEST}, {ONCE} SELECT f.file_key, count(*) AS n_requests, count(*) FILTER ({WAITS}) AS n_waiting FROM f JOIN q ON q.file = f.file_key GROUP BY 1")
 def requests_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     waits = queue.unfilled(F.col("def"), F.col("blocks"))
-    n = queue.latest(table(spark, sf_dir, "requests")).groupBy(F.col("file").alias("file_key")).agg(F.count("*").alias("n_requests"), F.count_if(waits).alias("n_waiting"))
+    n = queue.first_deliveries(table(spark, sf_dir, "requests"), waits.alias("waits")).groupBy(F.col("file").alias("file_key")).agg(F.count("*").alias("n_requests"), F.count_if("waits").alias("n_waiting"))
     return n.join(table(spark, sf_dir, "run_files").select("file_key").distinct(), "file_key", "left_semi")
 
 
@@ -59,9 +57,10 @@ def targets_without_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {LATEST} SELECT file, qualname, sig_hash, count(*) AS n_requests, bool_or(def IS NOT NULL) AS has_def, CAST(coalesce(sum(len(blocks.chunks)), 0) AS BIGINT) AS n_chunks, min(id) AS id FROM q GROUP BY ALL"""
 )
 def merged_routines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = queue.latest(table(spark, sf_dir, "requests"))
-    n = F.sum(F.when(F.col("blocks.chunks").isNotNull(), F.size("blocks.chunks")))
-    return q.groupBy("file", "qualname", "sig_hash").agg(F.count("*").alias("n_requests"), F.max(F.col("def").isNotNull()).alias("has_def"), F.coalesce(n, F.lit(0)).cast("long").alias("n_chunks"), F.min("id").alias("id"))
+    has, chunks = F.col("def").isNotNull().alias("has"), F.when(F.col("blocks.chunks").isNotNull(), F.size("blocks.chunks")).alias("chunks")
+    q = queue.first_deliveries(table(spark, sf_dir, "requests"), "qualname", "sig_hash", has, chunks)
+    n = F.sum("chunks")
+    return q.groupBy("file", "qualname", "sig_hash").agg(F.count("*").alias("n_requests"), F.max("has").alias("has_def"), F.coalesce(n, F.lit(0)).cast("long").alias("n_chunks"), F.min("id").alias("id"))
 
 
 @query(
@@ -86,9 +85,8 @@ SELECT file, id, n_tokens, 512 - 200 - 40 AS budget, n_tokens > 512 - 200 - 40 A
 )
 def snippet_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     budget = model.snippet_budget(512, "paragraph", 40)
-    q = queue.latest(table(spark, sf_dir, "requests")).filter("snippet is not null")
-    n = T.estimated_tokens(F.col("snippet"))
-    return q.select("file", "id", n.alias("n_tokens"), F.lit(budget).alias("budget"), (n > budget).alias("over"))
+    q = queue.first_deliveries(table(spark, sf_dir, "requests"), T.estimated_tokens(F.col("snippet")).alias("n_tokens")).filter("n_tokens is not null")
+    return q.select("file", "id", "n_tokens", F.lit(budget).alias("budget"), (F.col("n_tokens") > budget).alias("over"))
 
 
 _MODELS = "(VALUES ('Qwen2.5-7B.gguf'), ('Meta-Llama-3-8B.gguf'), ('llama-2-13b.gguf'), ('mistral-7b.gguf'), ('Mixtral-8x7B.gguf'), ('Phi-3-mini.gguf'), ('other.gguf')) AS m(model)"
@@ -153,25 +151,16 @@ def file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def drafted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = queue.latest(table(spark, sf_dir, "requests")).filter(queue.unfilled(F.col("def"), F.col("blocks")))
+    q = queue.first_deliveries(table(spark, sf_dir, "requests"), "snippet", "def", "blocks").filter(queue.unfilled(F.col("def"), F.col("blocks")))
     m = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     p = chat.prompt(F.array(m("system", F.lit("Document the routine.")), m("user", F.col("snippet"))), "chatml")
     return model.generated(q.select("file", "id", p.alias("prompt")), "prompt").select("file", "id", "reply")
 
 
-@query()
-def documentation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = graph.unique_symbols(table(spark, sf_dir, "symbols"))
-    p = graph.precedence(s, graph.call_edges(s))
-    node = lambda f, q: F.concat(F.col(f), F.lit("\n"), F.col(q))
-    levels = graph.dependency_levels(p.select(node("then_file", "then").alias("src"), node("first_file", "first").alias("dst")))
-    return levels.select(F.split("node", "\n")[0].alias("file"), F.split("node", "\n")[1].alias("qualname"), "level")
-
-
 @query()
 def structurally_elided(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.operators.elision import structurally_elided as elide
 
-    q = queue.latest(table(spark, sf_dir, "requests")).filter(F.col("snippet").isNotNull() & F.col("file").endswith(".py"))
+    q = queue.first_deliveries(table(spark, sf_dir, "requests"), "snippet").filter(F.col("snippet").isNotNull() & F.col("file").endswith(".py"))
     e = q.select("file", "id", "snippet", elide(F.col("snippet"), 150).alias("elided"))
     return e.select("file", "id", "elided", T.estimated_tokens(F.col("snippet")).alias("n_before"), T.estimated_tokens(F.col("elided")).alias("n_after"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import chat
 from marlstone.functions import text as T
-from marlstone.operators import braces, definitions, graph, grounding, headers, loading, model, parse, patch, queue, windows
+from marlstone.operators import braces, definitions, graph, grounding, headers, loading, model, order, parse, patch, queue, windows
 from marlstone.plans import catalog
 from marlstone.sources import files as sources
 from marlstone.streaming import intake
@@ -151,21 +151,52 @@ def test_callee_notes_are_capped(spark):
     assert r.n_notes == 3 and r.notes.split("\n") == ["f0: does", "f1: does", "f2: does"]
 
 
-def test_dependency_levels(spark):
-    e = spark.createDataFrame([("core", "util"), ("util", "base"), ("app", "core"), ("app", "util"), ("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("n", "n")], "src string, dst string")
-    got = {r.node: r.level for r in graph.dependency_levels(e).collect()}
-    assert got["base"] == 0 and got["util"] == 1 and got["core"] == 2 and got["app"] == 3
-    assert {"x", "y", "z", "w"} <= set(got) and got["w"] > got["x"]
-    assert graph.dependency_levels(e.filter("src = 'core'")).count() == 2
+def levels(df):
+    return {r.node: (r.component, r.level) for r in df.collect()}
 
 
-def test_dependency_levels_have_no_cap(spark, monkeypatch):
-    import inspect
+ORDER = [("core", "util"), ("util", "base"), ("app", "core"), ("app", "util"), ("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("n", "n"), ("x", "base"), (None, "a"), ("core", "util")]
 
-    assert list(inspect.signature(graph.dependency_levels).parameters) == ["edges"]
-    monkeypatch.setattr(graph, "TOGETHER", 2)
-    e = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(5)], "src string, dst string").coalesce(1)
-    assert {r.node: r.level for r in graph.dependency_levels(e).collect()} == {f"n{i}": i for i in range(6)}
+
+@pytest.mark.parametrize("local", [0, 3, 1000])
+def test_dependency_order(spark, local):
+    e = spark.createDataFrame(ORDER, "src string, dst string")
+    want = {"base": ("base", 0), "util": ("util", 1), "core": ("core", 2), "app": ("app", 3), "x": ("x", 1), "y": ("x", 1), "z": ("x", 1), "w": ("w", 2)}
+    assert levels(order.dependency_order(e, local)) == want
+    assert order.dependency_order(e.limit(0), local).count() == 0
+
+
+def test_dependency_order_of_long_chains_and_cycles(spark):
+    chain = [(f"n{i + 1}", f"n{i}") for i in range(1000)] + [(f"c{i:02}", f"c{(i + 1) % 50:02}") for i in range(50)] + [("c07", "n500"), ("last", "c31")]
+    got = levels(order.dependency_order(spark.createDataFrame(chain, "src string, dst string")))
+    assert got["n1000"] == ("n1000", 1000) and {got[f"c{i:02}"] for i in range(50)} == {("c00", 501)} and got["last"][1] == 502
+
+
+def test_components_by_rounds_and_in_one_task_agree(spark):
+    rng = random.Random(4)
+    for k in range(2):
+        e = spark.createDataFrame([(f"v{rng.randrange(14)}", f"v{rng.randrange(14)}") for _ in range(22)], "src string, dst string")
+        a, b = ({(r.node, r.component) for r in order.components(e, local).collect()} for local in (0, 1000))
+        assert a == b
+
+
+def test_ordered_items(spark):
+    items = spark.createDataFrame([("f", "a", 1), ("f", "b", 2), ("f", "c", 3), ("f", "c", 4)], "file string, name string, line int")
+    first = spark.createDataFrame([("f", "c", 1), ("f", "a", 2), ("g", "b", 1)], "file string, name string, pos int")
+    got = {(r.name, r.line): r.position for r in order.ordered_items(items, first, "name", ["file"], ["line"]).collect()}
+    assert got == {("c", 3): 1, ("c", 4): 2, ("a", 1): 3, ("b", 2): 4}
+
+
+def test_scans_are_narrow():
+    """What the plans of queries read: sources never twice over, requests without their snippets where none are asked for."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    read = lambda name: " ".join(x for x in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in x)
+    for name in ("line_profile", "code_signatures", "header_zones", "comment_styles", "line_bands"):
+        assert "source_lines" in read(name) and not any(x in read(name) for x in ("source_blob", "content_sha", "repo", "scanned_at")), name
+    assert not any(x in read("completeness") for x in ("snippet", "sig_hash", "kind"))
+    assert "source" not in read("content_cache").replace("/source", "") and "signature" not in read("deepest_first")
 
 
 REQUEST = sources.REQUEST + ", issued_at timestamp_ntz, received_at timestamp_ntz"
@@ -207,7 +238,8 @@ def test_patches_never_change_code(spark):
     assert got["k"].preserved and got["k"].n_inserted == 4 and [x for x in new if x in lines] == lines
     assert new[3:6] == [b"// Gives x.", b"// Never fails.", b"int f(void)"] and new[7] == b"    // note" and new[-1] == b"// end"
     s = spark.createDataFrame([("k", "f", 4), ("k", "g", 2)], "file string, qualname string, start_line int")
-    assert {(r.qualname, r.first_comment) for r in definitions.comments_above(d, s).collect()} == {("g", 1)}
+    flags = d.select("file_key", definitions.comment_flags(F.col("source_lines"), F.col("language")).alias("comment"))
+    assert {(r.qualname, r.first_comment) for r in definitions.comments_above(flags, s).collect()} == {("g", 1)}
 
 
 def test_line_endings_and_languages(spark):
