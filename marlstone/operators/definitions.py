@@ -79,6 +79,22 @@ def comments_above(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return s.join(f, "file").filter(inside).select("file", "qualname", "start_line", (F.col("start_line") - n).cast("int").alias("first_comment")).filter("first_comment < start_line")
 
 
+def routine_hashes(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file, qualname, start_line, text_hash): of each live definition the hash of its lines, joined by line feeds: the
+    first 16 hex digits of the SHA-256 of its bytes.
+
+    files: (file_key, source_lines), each file once. A definition whose lines the file does not have is left out. The
+    definitions of a file meet its lines as one array, so no line travels twice.
+    """
+    spans = symbols.select("file", "qualname", "start_line", "end_line").filter("start_line >= 1 and end_line >= start_line").distinct()
+    spans = spans.groupBy("file").agg(F.collect_list(F.struct("qualname", "start_line", "end_line")).alias("spans"))
+    f = files.select(F.col("file_key").alias("file"), "source_lines").filter("source_lines is not null")
+    text = lambda x: F.array_join(F.transform(F.slice("source_lines", x["start_line"], x["end_line"] - x["start_line"] + 1), lambda b: F.decode(b, "ISO-8859-1")), "\n")
+    within = F.filter("spans", lambda x: x["end_line"] <= F.size("source_lines"))
+    hashed = F.transform(within, lambda x: F.struct(x["qualname"].alias("qualname"), x["start_line"].alias("start_line"), F.substring(F.sha2(F.encode(text(x), "ISO-8859-1"), 256), 1, 16).alias("text_hash")))
+    return spans.join(f, "file").select("file", F.explode(hashed).alias("h")).select("file", "h.*")
+
+
 def context_window(lines: Column, first: Column, last: Column, around: int = 8, reach: int = 24) -> Column:
     """struct(first, last): the lines around a range, and upwards to the nearest line of smaller indent within reach."""
     indent = lambda x: F.length(x) - F.length(F.ltrim(x))

@@ -63,4 +63,4 @@ def annotated(files: DataFrame, notes: DataFrame) -> DataFrame:
     f = f.withColumn("new", F.when(F.col("notes").isNull(), F.col("source_lines")).otherwise(spliced(F.col("source_lines"), texts)))
     same = F.col("language").isNull() | (code_signature(F.col("new"), F.col("language")) == code_signature(F.col("source_lines"), F.col("language")))
     ok = F.coalesce(same, F.lit(False))
-    return f.select("file_key", "language", F.when(ok, F.col("new")).otherwise(F.col("source_lines")).alias("source_lines"), F.when(ok, F.size("new") - F.size("source_lines")).otherwise(0).alias("n_inserted"), ok.alias("preserved"))
+    return f.select("file_key", "language", F.when(ok, F.col("new")).otherwise(F.col("source_lines")).alias("source_lines"), F.coalesce(F.when(ok, F.size("new") - F.size("source_lines")), F.lit(0)).alias("n_inserted"), ok.alias("preserved"))

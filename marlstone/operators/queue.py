@@ -68,6 +68,25 @@ def shared_snippets(requests: DataFrame) -> DataFrame:
     return j.select("file", "id", F.when(keeps, F.col("snippet")).alias("snippet"), F.when(~keeps, F.col("k.id")).alias("snippet_ref"))
 
 
+#: Parts of the rows that refer to one snippet.
+SALTS = 16
+
+
+def inlined_snippets(requests: DataFrame, carriers: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(file, id, snippet): a null snippet is looked up by snippet_ref among the carriers' ids; null where it leads nowhere.
+
+    Requests with a snippet of their own are not joined. Very many requests may refer to one id, so they are spread over
+    salts, and each wanted carrier comes once for each salt.
+    """
+    own = requests.filter(F.col("snippet").isNotNull() | F.col("snippet_ref").isNull()).select("file", "id", "snippet")
+    lacks = requests.filter(F.col("snippet").isNull() & F.col("snippet_ref").isNotNull()).select("file", "id", "snippet_ref")
+    wanted = lacks.select(F.col("snippet_ref").alias("id")).distinct()
+    k = carriers.filter("snippet is not null").select("id", "snippet").join(wanted, "id", "left_semi").groupBy(F.col("id").alias("snippet_ref")).agg(F.min("snippet").alias("snippet"))
+    k = k.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = lacks.withColumn("salt", F.pmod(F.xxhash64("file", "id"), F.lit(salts)).cast("int")).join(k, ["snippet_ref", "salt"], "left")
+    return own.unionByName(found.select("file", "id", "snippet"))
+
+
 def merged_answers(requests: DataFrame) -> DataFrame:
     """(file, id, slot, answer): the first answer that isn't blank wins; the master's rows (no fragment) come first,
     fragments by name. A slot that nobody filled has a null answer."""
@@ -82,13 +101,16 @@ def released(requests: DataFrame) -> DataFrame:
 
 
 def rebound(requests: DataFrame, live: DataFrame) -> DataFrame:
-    """Answers of definitions bound to live symbols by (file, qualname): each request to the first live one only.
+    """Answers of definitions bound to live ones by (file, qualname, hash): (file, qualname, start_line, answer).
 
-    Of several requests with the same key the last (by issued_at, id) counts. (file, qualname, start_line, answer)
+    live: (file, qualname, start_line, text_hash). A request whose sig_hash no live definition has is stale and binds to
+    nothing. Of several live definitions with one key the first takes the answer; of several requests with one key the
+    last one counts (by issued_at, then id).
     """
-    last = requests.filter(F.col("def").isNotNull()).groupBy("file", "qualname").agg(F.max_by("def.answer", F.struct(F.coalesce("issued_at", F.lit("1970-01-01").cast("timestamp_ntz")), "id")).alias("answer"))
-    first = live.groupBy("file", "qualname").agg(F.min("start_line").alias("start_line"))
-    return first.join(last, ["file", "qualname"]).select("file", "qualname", "start_line", "answer")
+    order = F.struct(F.coalesce("issued_at", F.lit("1970-01-01").cast("timestamp_ntz")), "id")
+    last = requests.filter(F.col("def").isNotNull()).groupBy("file", "qualname", "sig_hash").agg(F.max_by("def.answer", order).alias("answer"))
+    first = live.groupBy("file", "qualname", F.col("text_hash").alias("sig_hash")).agg(F.min("start_line").alias("start_line"))
+    return first.join(last, ["file", "qualname", "sig_hash"]).select("file", "qualname", "start_line", "answer")
 
 
 def statement_insertions(requests: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import chat
 from marlstone.functions import text as T
-from marlstone.operators import queue
+from marlstone.operators import definitions, loading, queue
 from marlstone.plans.catalog import query
-from marlstone.tables import table
+from marlstone.tables import table, written
 
 #: The first delivery of each (file, id); a struct keeps null columns.
 LATEST = """q AS (SELECT DISTINCT ON (file, id) * FROM requests ORDER BY file, id, received_at NULLS LAST, issued_at NULLS LAST)"""
@@ -74,10 +74,7 @@ def shared_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT q.file, q.id, coalesce(q.snippet, k.found) AS snippet FROM q LEFT JOIN k ON k.id = q.snippet_ref"""
 )
 def inlined_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "requests")
-    k = r.filter("snippet is not null").groupBy(F.col("id").alias("snippet_ref")).agg(F.min("snippet").alias("found"))
-    q = _latest(spark, sf_dir, "snippet", "snippet_ref")
-    return q.join(k, "snippet_ref", "left").select("file", "id", F.coalesce("snippet", "found").alias("snippet"))
+    return queue.inlined_snippets(_latest(spark, sf_dir, "snippet", "snippet_ref"), table(spark, sf_dir, "requests"))
 
 
 @query(
@@ -91,13 +88,39 @@ def merged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.merged_answers(table(spark, sf_dir, "requests"))
 
 
+#: Of each definition the hash of its lines.
+HASHES = f"""f AS (SELECT file_key, arg_max({{'v': source_lines}}, (loaded_at, path)).v AS source_lines FROM run_files GROUP BY file_key
+), spans AS (SELECT DISTINCT file, qualname, start_line, end_line FROM symbols WHERE start_line >= 1 AND end_line >= start_line
+), hashes AS (SELECT s.file, s.qualname, s.start_line, substr(sha256(unhex(array_to_string(list_transform(f.source_lines[s.start_line:s.end_line], lambda x: hex(x)), '0A'))), 1, 16) AS text_hash
+  FROM spans s JOIN f ON f.file_key = s.file WHERE s.end_line <= len(f.source_lines))"""
+
+
+@query(f"WITH {HASHES} SELECT file, qualname, start_line, text_hash FROM hashes")
+def routine_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = loading.delivered_once(table(spark, sf_dir, "run_files"), "source_lines")
+    return definitions.routine_hashes(files, table(spark, sf_dir, "symbols"))
+
+
 @query(
-    f"""WITH {LATEST}, live AS (SELECT file, qualname, min(start_line) AS start_line FROM symbols GROUP BY ALL
-), a AS (SELECT file, qualname, def.answer AS answer, row_number() OVER (PARTITION BY file, qualname ORDER BY coalesce(issued_at, TIMESTAMP '1970-01-01') DESC, id DESC) AS k FROM q WHERE def IS NOT NULL)
-SELECT live.file, live.qualname, live.start_line, a.answer FROM live JOIN a ON a.file = live.file AND a.qualname = live.qualname AND a.k = 1"""
+    f"""WITH {LATEST}, {HASHES}, live AS (SELECT file, qualname, text_hash, min(start_line) AS start_line FROM hashes GROUP BY ALL
+), a AS (SELECT file, qualname, sig_hash, def.answer AS answer, row_number() OVER (PARTITION BY file, qualname, sig_hash ORDER BY coalesce(issued_at, TIMESTAMP '1970-01-01') DESC, id DESC) AS k FROM q WHERE def IS NOT NULL)
+SELECT live.file, live.qualname, live.start_line, a.answer FROM live JOIN a ON a.file = live.file AND a.qualname = live.qualname AND a.sig_hash = live.text_hash AND a.k = 1"""
 )
 def rebound_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.rebound(_latest(spark, sf_dir), table(spark, sf_dir, "symbols"))
+    q = _latest(spark, sf_dir, "qualname", "sig_hash", "def", "issued_at")
+    return queue.rebound(q, routine_hashes(spark, sf_dir))
+
+
+@query(
+    f"""WITH {LATEST}, {HASHES} SELECT q.file, q.id, q.qualname FROM q WHERE def IS NOT NULL AND file IN (SELECT file FROM hashes)
+AND NOT EXISTS (SELECT 1 FROM hashes h WHERE h.file = q.file AND h.qualname = q.qualname AND h.text_hash = q.sig_hash)"""
+)
+def stale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for definitions of live files whose text has changed since."""
+    live = written(routine_hashes(spark, sf_dir), "hashes")
+    q = _latest(spark, sf_dir, "qualname", "sig_hash", F.col("def").isNotNull().alias("asks")).filter("asks")
+    q = q.join(live.select("file").distinct(), "file", "left_semi")
+    return q.join(live.select("file", "qualname", F.col("text_hash").alias("sig_hash")), ["file", "qualname", "sig_hash"], "left_anti").select("file", "id", "qualname")
 
 
 @query(

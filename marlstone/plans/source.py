@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import chat
 from marlstone.functions import text as T
-from marlstone.operators import definitions, graph, headers, loading, model, parse, queue
+from marlstone.operators import definitions, loading, model, queue
 from marlstone.plans.catalog import query
 from marlstone.plans.files import BLANK, COMMENT, ONCE
 from marlstone.plans.manifest import LATEST, WAITS
@@ -100,20 +100,6 @@ def chat_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT model FROM {_MODELS}").select("model", chat.format_of(F.col("model")).alias("format"))
 
 
-_ENTRIES = "(VALUES ('a', 1, 'Copyright 2020'), ('a', 2, ''), ('a', 3, 'Reads the  multi-'), ('a', 4, 'line header'), ('a', 5, 'and stops.'), ('b', 1, 'Nothing alike')) AS e(file, entry_no, text)"
-_DRAFTS = "(VALUES ('a', 'Reads the multi-line header and stops.'), ('b', 'Other words')) AS d(file, draft)"
-
-
-@query(
-    rf"""WITH r AS (SELECT a.file, a.entry_no AS first, b.entry_no AS last, string_agg(e.text, ' ' ORDER BY e.entry_no) AS joined FROM {_ENTRIES.replace(' AS e(', ' AS a(')} JOIN {_ENTRIES.replace(' AS e(', ' AS b(')} ON a.file = b.file AND a.entry_no <= b.entry_no
-JOIN {_ENTRIES} ON e.file = a.file AND e.entry_no BETWEEN a.entry_no AND b.entry_no GROUP BY ALL
-), f AS (SELECT r.file, first, last, row_number() OVER (PARTITION BY r.file ORDER BY first, last) AS k FROM r JOIN {_DRAFTS} ON d.file = r.file
-WHERE trim(regexp_replace(regexp_replace(joined, '-\s+', '-', 'g'), '\s+', ' ', 'g')) = d.draft) SELECT file, first, last FROM f WHERE k = 1"""
-)
-def located_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headers.located_drafts(spark.sql(f"SELECT * FROM {_ENTRIES}"), spark.sql(f"SELECT * FROM {_DRAFTS}"))
-
-
 @query()
 def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return definitions.source_symbols(table(spark, sf_dir, "run_files"))
