@@ -146,6 +146,8 @@ class Definition(NamedTuple):
     code: str
     own_doc: str | None
     calls: list[tuple[str, str, int]]
+    start: int  #: where it begins and ends in the text
+    end: int
 
 
 _CALL = re.compile(r"(\bthis\s*\.\s*|\bself\s*\.\s*|[.>]\s*)?(?<![\w$])([A-Za-z_$][\w$]*)\s*\(")
@@ -217,7 +219,7 @@ def _made(text: str, x: Lexed, language: str, found: list[tuple], with_calls: bo
                 j += 1
             calls = [] if kind in ("class", "declaration") or not with_calls else _calls(x, body, end, inner, language)
             code = text[start:end]
-            out.append(Definition(name, qualname, kind, _line(x, start), _line(x, max(start, end - 1)), len(scopes), parent, _signature(text[start:header]), code, _above(text, x, start, ends), calls))
+            out.append(Definition(name, qualname, kind, _line(x, start), _line(x, max(start, end - 1)), len(scopes), parent, _signature(text[start:header]), code, _above(text, x, start, ends), calls, start, end))
         if opens:
             scopes.append((end, qualname))
     return out
@@ -490,7 +492,7 @@ def _python(text: str, x: Lexed, with_calls: bool) -> list[Definition]:
             inner.append((found[j][0], found[j][2]))
             j += 1
         calls = _calls(x, at, end, inner, "python") if with_calls and kind != "class" else []
-        out.append(Definition(name, qualname, kind, _line(x, start), _line(x, max(start, end - 1)), len(scopes), parent, _signature(text[start:at]), text[start:end], doc, calls))
+        out.append(Definition(name, qualname, kind, _line(x, start), _line(x, max(start, end - 1)), len(scopes), parent, _signature(text[start:at]), text[start:end], doc, calls, start, end))
         scopes.append((end, qualname))
     return out
 

@@ -150,29 +150,3 @@ def opener_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.split(F.regexp_replace(F.lower(T.strip(F.col("line"))), r"\s+", " "), " ")
     g = line.select(w.alias("w")).select("w", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).filter("size(w) >= n")
     return g.select("n", F.array_join(F.slice("w", 1, F.col("n")), " ").alias("gram")).groupBy("n", "gram").agg(F.count("*").alias("n_lines")).filter("n_lines >= 20")
-
-
-_STMTS = """(VALUES ('a', 2, 0, false, false, 0, true, 0), ('a', 3, 0, false, false, 0, false, 0), ('a', 4, 0, false, false, 4, false, 0), ('a', 6, 1, false, false, 0, false, 0), ('a', 8, 0, false, false, 0, false, 4), ('a', 9, 0, true, false, 0, false, 0)) AS s(routine_id, start, depth, is_return, is_def, opens_block, first_in_scope, closed_block)"""
-
-
-@query(
-    f"""WITH s AS (SELECT *, lag(depth) OVER w AS d, lag(is_def) OVER w AS f, row_number() OVER w AS k FROM {_STMTS} WINDOW w AS (ORDER BY start)),
-b AS (SELECT DISTINCT start FROM s WHERE k = 1 OR (NOT first_in_scope AND (coalesce(f, false) OR (is_return AND d = depth) OR opens_block >= 3 OR (d > depth AND (closed_block = 0 OR closed_block >= 3)))))
-SELECT 'a' AS routine_id, start AS first_line, CAST(coalesce(lead(start) OVER (ORDER BY start) - 1, 9) AS INTEGER) AS last_line FROM b"""
-)
-def structural_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stmts = spark.sql(f"SELECT *, CAST(NULL AS INT) AS merge_anchor, false AS force_break FROM {_STMTS}")
-    routines = spark.sql("SELECT 'a' AS routine_id, false AS has_doc, array(2, 3, 4, 6, 8, 9) AS boundary_lines, 9 AS body_end")
-    return windows.structural_breaks(stmts, routines)
-
-
-_PROBE = "(VALUES ('r', 1, 32, 10.0, true), ('r', 2, 64, 14.0, true), ('r', 3, 128, 14.0, true), ('r', 4, 256, 13.5, true), ('r', 5, 512, 9.0, true), ('r', 6, 1024, 20.0, true), ('x', 1, 32, 5.0, true), ('x', 2, 64, 6.0, false), ('x', 3, 128, 9.0, true)) AS p(run, step, n, metric, ok)"
-
-
-@query(
-    f"""WITH s AS (SELECT *, max(CASE WHEN ok THEN metric END) OVER (PARTITION BY run ORDER BY step) AS best FROM {_PROBE}),
-t AS (SELECT *, min(CASE WHEN NOT ok OR (best - metric) / best >= 0.08 THEN step END) OVER (PARTITION BY run) AS stop FROM s)
-SELECT run, arg_max(n, (metric, step)) AS best_n, max(metric) AS best_metric FROM t WHERE ok AND (stop IS NULL OR step <= stop) GROUP BY run"""
-)
-def best_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.best_probe(spark.sql(f"SELECT * FROM {_PROBE}"))
