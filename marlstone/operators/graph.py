@@ -99,3 +99,20 @@ def deepest_first(symbols: DataFrame) -> DataFrame:
     """(file, qualname, position): within a file by depth, then start, from the end; longer ones first."""
     w = Window.partitionBy("file").orderBy(F.desc("depth"), F.desc("start_line"), F.asc("end_line"), F.asc("qualname"))
     return symbols.select("file", "qualname", F.row_number().over(w).alias("position"))
+
+
+def child_stubs(symbols: DataFrame) -> DataFrame:
+    """(file, parent, n_children, stubs): of each symbol with others directly within it their signatures, one a line.
+
+    A null signature is told by kind and name. Children whose parent is not among the symbols are left out.
+    """
+    parents = symbols.select("file", F.col("qualname").alias("parent_qualname"))
+    stub = F.concat(F.coalesce("signature", F.concat("kind", F.lit(" "), "qualname")), F.lit(" ..."))
+    k = symbols.join(parents, ["file", "parent_qualname"], "left_semi")
+    rows = F.array_sort(F.collect_list(F.struct("start_line", "qualname", stub.alias("stub"))))
+    return k.groupBy("file", F.col("parent_qualname").alias("parent")).agg(F.count("*").alias("n_children"), F.array_join(rows["stub"], "\n").alias("stubs"))
+
+
+def top_of_each(rows: DataFrame, groups: list[str], order: list, most: int) -> DataFrame:
+    """The first rows of each group in an order. Spark keeps the first of each partition before it shuffles."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).filter(F.col("place") <= most).drop("place")

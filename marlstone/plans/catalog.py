@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from marlstone.plans import blocks, dialogue, files, graph, manifest, patches, replies, source, text  # noqa: F401  (they register themselves)
+    from marlstone.plans import blocks, dialogue, files, graph, manifest, patches, project, replies, source, text  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict[str, Query]:

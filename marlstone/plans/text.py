@@ -11,8 +11,9 @@ from marlstone.plans.catalog import query
 from marlstone.tables import table
 
 BUDGET = 120
-_LEGAL = " OR ".join(f"contains(low, '{x}')" for x in T.LEGAL_MARKERS)
-_MARKER = r"(?m)^\s*(?:\d+[.)]\s|[-*+•]\s|#{1,6}\s|\*\*[^*\n]+\*\*\s*:)"
+#: The marks once more, for the SQL.
+_LEGAL = "regexp_matches(low, 'spdx-license-identifier|copyright|[(]c[)]|©|all rights reserved|permission is hereby granted|redistribution and use|without warranty|warranties or conditions|licensed under|general public license|(apache|mit|bsd|mozilla public) license|gnu ')"
+_MARKER = r"(?m)^\s*([0-9]+[.)]\s|[*+•-]\s|##?#?#?#?#?\s|\*\*[^*\n]+\*\*\s*:)"
 _LINES = "l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, generate_subscripts(lines, 1) AS k, unnest(lines) AS line, len(lines) AS n FROM l)"
 
 
@@ -66,13 +67,34 @@ def elided_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[F.col(f"e.{x}").cast("long").alias(x) for x in ("n_head", "n_tail", "n_omitted")])
 
 
-@query()
+#: Lines in turn: c is the number of the chunk at hand, open whether it holds a line, used its cost so far.
+_CHUNKED = f"""WITH RECURSIVE {_LINES}, p AS (
+  SELECT doc_id, k, n, line, CAST(ceil(octet_length(encode(line)) / 2.0) AS BIGINT) + 1 AS cost, greatest(1, CAST(floor({BUDGET} * greatest(1, length(line) // greatest(1, CAST(ceil(octet_length(encode(line)) / 2.0) AS BIGINT))) * 0.9) AS BIGINT)) AS piece FROM e
+), r AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS c, false AS open, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS own FROM l
+  UNION ALL SELECT p.doc_id, p.k, CASE WHEN cost > {BUDGET} THEN r.c + r.open::INT + greatest(length(line) - 1, 0) // piece + 1 WHEN shut THEN chunk + 1 ELSE chunk END,
+    CASE WHEN cost > {BUDGET} OR shut THEN false ELSE true END, CASE WHEN cost > {BUDGET} OR shut THEN 0 ELSE now END, CASE WHEN cost > {BUDGET} THEN r.c + r.open::INT ELSE chunk END
+  FROM r JOIN p ON p.doc_id = r.doc_id AND p.k = r.k + 1, LATERAL (SELECT r.c + (r.open AND r.used + cost > {BUDGET})::INT AS chunk, CASE WHEN r.open AND r.used + cost <= {BUDGET} THEN r.used + cost ELSE cost END AS now) x, LATERAL (SELECT trim(line, ' ') = '' AND now >= {BUDGET} * 0.75 AS shut) y
+), t AS (SELECT r.doc_id, r.own, p.k, line, cost, piece FROM r JOIN p ON p.doc_id = r.doc_id AND p.k = r.k
+), c AS (SELECT doc_id, CAST(own AS INTEGER) AS chunk_no, string_agg(line, chr(10) ORDER BY k) AS chunk FROM t WHERE cost <= {BUDGET} GROUP BY ALL
+  UNION ALL SELECT doc_id, CAST(own + i AS INTEGER), substr(line, CAST(i * piece + 1 AS BIGINT), piece) FROM (SELECT *, unnest(range(greatest(length(line) - 1, 0) // piece + 1)) AS i FROM t WHERE cost > {BUDGET})
+), chunks AS (SELECT doc_id, chunk_no, chunk, CAST(ceil(octet_length(encode(chunk)) / 2.0) AS INTEGER) AS n_tokens FROM c)"""
+
+
+@query(_CHUNKED + " SELECT doc_id, chunk_no, chunk, n_tokens FROM chunks")
 def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _documents(spark, sf_dir).select("doc_id", F.posexplode(windows.chunks(_lines(), BUDGET)).alias("chunk_no", "chunk"))
     return d.select("doc_id", "chunk_no", "chunk", T.estimated_tokens(F.col("chunk")).alias("n_tokens"))
 
 
-@query()
+@query(
+    _CHUNKED
+    + f""", m AS (SELECT doc_id, chunk_no AS i, n_tokens + 8 AS cost, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks
+), g AS (SELECT doc_id, -1 AS i, 0 AS grp, 0 AS held, 0 AS used FROM (SELECT DISTINCT doc_id FROM m)
+  UNION ALL SELECT m.doc_id, m.i, g.grp + (g.held >= 2 AND g.used + cost > {3 * BUDGET})::INT, CASE WHEN g.held >= 2 AND g.used + cost > {3 * BUDGET} THEN 1 ELSE g.held + 1 END, CASE WHEN g.held >= 2 AND g.used + cost > {3 * BUDGET} THEN cost ELSE g.used + cost END FROM g JOIN m ON m.doc_id = g.doc_id AND m.i = g.i + 1
+), o AS (SELECT g.doc_id, g.i, g.grp, m.n, max(g.grp) OVER (PARTITION BY g.doc_id) AS most FROM g JOIN m ON m.doc_id = g.doc_id AND m.i = g.i)
+SELECT doc_id, i AS part, CASE WHEN n > 1 AND most = 0 THEN (i + 1 > n // 2)::INT ELSE grp END AS group_no FROM o"""
+)
 def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = windows.chunks(_lines(), BUDGET)
     d = _documents(spark, sf_dir).select("doc_id", F.transform(chunks, lambda c: T.estimated_tokens(c)).alias("costs"))
@@ -119,12 +141,6 @@ def filled_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", p.alias("prompt"))
 
 
-@query("SELECT source, arg_min(doc_id, (coalesce(fetched_at, TIMESTAMP '9999-01-01'), doc_id)) AS doc_id FROM documents GROUP BY source")
-def overlaid_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.struct(F.coalesce(F.col("fetched_at"), F.lit("9999-01-01").cast("timestamp_ntz")), F.col("doc_id"))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("doc_id", order).alias("doc_id"))
-
-
 _SHAPE = r"CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^\s*#') THEN 'heading' WHEN regexp_matches(line, '^\s*([-*+]|\d+[.)])\s') THEN 'item' WHEN regexp_matches(line, '^\s*```') THEN 'fence' ELSE 'text' END"
 
 
