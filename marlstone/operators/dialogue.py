@@ -105,16 +105,17 @@ def block_notes(rows: DataFrame, keys: list[str], code: str = "code", threshold:
     if threshold > 3:
         return r.select(*keys, F.lit(None).cast("string").alias("note"), F.lit("low").alias("status"))
     r = _asked(r, "note", F.col("code").isNotNull(), "reply", backend, code=F.col("code"))
-    r = r.withColumn("note", F.when(~T.declines(F.col("reply")), summary_line(F.col("reply"), language))).withColumn("note", F.when(F.col("note") != "", F.col("note"))).drop("reply")
-    grounded = F.col("note").isNotNull() & (ungrounded_names(F.col("note"), F.col("code")) == "")
-    r = _asked(r.withColumn("grounded", grounded), "score", F.col("grounded"), "said", backend, doc=F.col("note"), code=F.col("code"))
+    r = r.withColumn("note", F.when(~T.declines(F.col("reply")), summary_line(F.col("reply"), language))).withColumn("note", F.when(F.col("note") != "", F.col("note")))
+    # the names are looked up in the reply as it came: cleaning may take a closing quote off
+    grounded = F.col("note").isNotNull() & (ungrounded_names(T.first_line(without_fence(F.col("reply"))), F.col("code")) == "")
+    r = _asked(r.withColumn("grounded", grounded).drop("reply"), "score", F.col("grounded"), "said", backend, doc=F.col("note"), code=F.col("code"))
     r = r.withColumn("high", F.col("grounded") & (T.score(F.col("said")) >= threshold)).drop("said")
     r = _asked(r, "obvious", F.col("high"), "said", backend, doc=F.col("note"), code=F.col("code"))
     no = lambda c: F.coalesce(T.verdict(c, "YES", "NO") == "NO", F.lit(False))
     r = r.withColumn("dull", F.col("high") & no(F.col("said"))).drop("said")
     r = _asked(r, "obvious_again", F.col("dull"), "again", backend, code=F.col("code"))
     second = F.when(~T.declines(F.col("again")), summary_line(F.col("again"), language))
-    r = r.withColumn("second", F.when(F.col("dull") & (second != "") & (ungrounded_names(second, F.col("code")) == ""), second)).drop("again")
+    r = r.withColumn("second", F.when(F.col("dull") & (second != "") & (ungrounded_names(T.first_line(without_fence(F.col("again"))), F.col("code")) == ""), second)).drop("again")
     r = _asked(r, "obvious", F.col("second").isNotNull(), "said", backend, doc=F.col("second"), code=F.col("code"))
     kept = F.when(~F.col("dull"), F.col("note")).when(F.col("second").isNotNull() & ~no(F.col("said")), F.col("second"))
     status = F.when(F.col("note").isNull(), "none").when(~F.col("grounded"), "ungrounded").when(~F.col("high"), "low").when(kept.isNull(), "obvious").otherwise("note")

@@ -79,9 +79,9 @@ def header_zone(lines: Column, language: Column) -> Column:
 def _within(old: Column, new: Column, start: Column, removed: Column, added: Column, language: Column) -> Column:
     """Whether lines are alike outside a window, and within it nothing but comments and blank lines."""
     plain = lambda x: (F.btrim(x, F.lit(" \t\f\r")) == "") | F.when(language == "python", F.lit(True)).otherwise(F.regexp_like(x, F.lit(r"^[ \t]*(//|/\*|\*)")))
-    tail = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))
-    same = (F.slice(old, 1, start) == F.slice(new, 1, start)) & (tail(old, start + removed) == tail(new, start + added))
-    return same & F.forall(F.slice(old, start + 1, removed), plain) & F.forall(F.slice(new, start + 1, added), plain)
+    tail = lambda x, k: F.slice(x, F.greatest(k + 1, F.lit(1)), F.greatest(F.size(x) - k, F.lit(0)))
+    same = (F.slice(old, 1, F.greatest(start, F.lit(0))) == F.slice(new, 1, F.greatest(start, F.lit(0)))) & (tail(old, start + removed) == tail(new, start + added))
+    return same & F.forall(F.slice(old, F.greatest(start + 1, F.lit(1)), F.greatest(removed, F.lit(0))), plain) & F.forall(F.slice(new, F.greatest(start + 1, F.lit(1)), F.greatest(added, F.lit(0))), plain)
 
 
 def described(zones: DataFrame, width: int = 118) -> DataFrame:
@@ -94,19 +94,19 @@ def described(zones: DataFrame, width: int = 118) -> DataFrame:
     """
     z = F.col("zone")
     python = F.col("language") == "python"
-    inside = F.slice(z["entries"], F.col("first"), F.col("last") - F.col("first") + 1)
+    inside = F.slice(z["entries"], F.greatest(F.col("first"), F.lit(1)), F.greatest(F.col("last") - F.col("first") + 1, F.lit(0)))
     valid = (F.col("first") >= 1) & (F.col("last") >= F.col("first")) & (F.col("last") <= F.size(z["entries"]))
     ranged = F.col("first").isNotNull()
     veto = ranged & F.exists(inside, lambda e: looks_legal(e["inner"]))
-    head, tail = F.element_at(z["entries"], F.col("first"))["line_no"], F.element_at(z["entries"], F.col("last"))["line_no"]
-    prefix = F.when(ranged, F.element_at(z["entries"], F.col("first"))["prefix"]).when(z["fresh"], F.when(python, "").otherwise(" * ")).otherwise(z["prefix"])
+    head, tail = F.try_element_at(z["entries"], F.greatest(F.col("first"), F.lit(1)))["line_no"], F.try_element_at(z["entries"], F.greatest(F.col("last"), F.lit(1)))["line_no"]
+    prefix = F.when(ranged, F.try_element_at(z["entries"], F.greatest(F.col("first"), F.lit(1)))["prefix"]).when(z["fresh"], F.when(python, "").otherwise(" * ")).otherwise(z["prefix"])
     text = description_body(F.col("description"))
     body = F.transform(wrapped(text, F.greatest(F.lit(40), F.lit(width) - F.length(prefix))), lambda x: F.rtrim(F.concat(prefix, x)))
     fresh = F.when(python, F.concat(F.array(F.lit('"""')), body, F.array(F.lit('"""'), F.lit("")))).otherwise(F.concat(F.array(F.lit("/*")), body, F.array(F.lit(" */"), F.lit(""))))
     new = F.when(ranged, body).when(z["fresh"], fresh).otherwise(F.concat(F.array(F.rtrim(prefix)), body))
     rows = zones.withColumn("new", new).withColumn("start", F.when(ranged, head - 1).otherwise(z["insert_at"])).withColumn("removed", F.when(ranged, tail - head + 1).otherwise(0))
-    rest = F.slice("lines", F.col("start") + F.col("removed") + 1, F.greatest(F.size("lines") - F.col("start") - F.col("removed"), F.lit(0)))
-    rows = rows.withColumn("out", F.concat(F.slice("lines", 1, F.col("start")), "new", rest))
+    rest = F.slice("lines", F.greatest(F.col("start") + F.col("removed") + 1, F.lit(1)), F.greatest(F.size("lines") - F.col("start") - F.col("removed"), F.lit(0)))
+    rows = rows.withColumn("out", F.concat(F.slice("lines", 1, F.greatest(F.col("start"), F.lit(0))), "new", rest))
     guard = _within(F.col("lines"), F.col("out"), F.col("start"), F.col("removed"), F.size("new"), F.col("language"))
     ok = F.coalesce(z.isNotNull() & (text != "") & (~ranged | valid) & ~veto & guard, F.lit(False))
     placed = F.when(ok, F.when(ranged, "replaced").when(z["fresh"], "fresh").otherwise("appended"))

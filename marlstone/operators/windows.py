@@ -112,9 +112,9 @@ def structural_breaks(stmts: DataFrame, routines: DataFrame, min_block_lines: in
 
     stmts: routine_id, start, depth, is_return, is_def, opens_block, first_in_scope, closed_block, merge_anchor,
     force_break. routines: routine_id, has_doc, boundary_lines, body_end. Only boundary lines start a paragraph, but a
-    merge anchor is taken as it is. Of the rules the first that matches a statement decides; a forced break adds to it.
+    merge anchor is taken as it is. Statements that share a line come outermost first. Of the rules the first that matches a statement decides; a forced break adds to it.
     """
-    w = Window.partitionBy("routine_id").orderBy("start")
+    w = Window.partitionBy("routine_id").orderBy("start", "depth")
     s = stmts.join(routines, "routine_id")
     s = s.withColumn("before", F.lag(F.struct("depth", "is_def")).over(w)).withColumn("number", F.row_number().over(w))
     legal = F.array_contains("boundary_lines", F.col("start"))

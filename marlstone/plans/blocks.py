@@ -82,7 +82,7 @@ def routine_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = blocks.statements(table(spark, sf_dir, "run_files")).withColumn("routine_id", F.concat_ws("\n", "file", "qualname", "header_start"))
     s = written(s, "statements")
     routines = s.groupBy("routine_id").agg(F.first("has_doc").alias("has_doc"), F.first("boundary_lines").alias("boundary_lines"), F.first("body_end").alias("body_end"))
-    stmts = s.drop("file", "qualname", "header_start", "has_doc", "boundary_lines", "body_end", "end").dropDuplicates(["routine_id", "start"])
+    stmts = s.drop("file", "qualname", "header_start", "has_doc", "boundary_lines", "body_end").distinct()
     out = windows.structural_breaks(stmts, routines)
     parts = F.split("routine_id", "\n")
     return out.select(parts[0].alias("file"), parts[1].alias("qualname"), parts[2].cast("int").alias("start_line"), "first_line", "last_line")
