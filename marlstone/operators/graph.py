@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Callee notes that a caller gets at most, in call order.
 NOTES = 6
+#: Parts of the calls of one name.
+SALTS = 8
 
 
 def unique_symbols(symbols: DataFrame, *columns: str) -> DataFrame:
@@ -38,13 +40,19 @@ def resolved_calls(symbols: DataFrame) -> DataFrame:
     methods = defs.join(classes, ["file", "parent"], "left_semi").withColumn("name", F.substring_index("qualname", ".", -1))
     method = methods.groupBy("name").agg(F.count("*").alias("n_method"), F.min(F.struct("file", "qualname")).alias("m"))
 
-    f = calls.filter("kind = 'free'").join(local, ["file", "name"], "left").join(wide, "name", "left")
-    free_file = F.when(F.col("n_local") == 1, F.col("file")).when(F.col("n_local").isNull() & (F.col("n_wide") == 1), F.col("wide_file"))
+    # one name may make a third of all calls, so what is known of a name comes once for each salt
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("file", "caller", "pos"), F.lit(SALTS)).cast("int")
     columns = ["file", "caller", "pos", "name", "kind", "line"]
-    f = f.select(*columns, free_file.alias("callee_file"), F.col("name").alias("callee")).filter("callee_file is not null")
+    f = calls.filter("kind = 'free'").join(local, ["file", "name"], "left").withColumn("salt", salt)
+    near = f.filter("n_local = 1").select(*columns, F.col("file").alias("callee_file"), F.col("name").alias("callee"))
+    once = wide.filter("n_wide = 1").select("name", "wide_file", salts.alias("salt"))
+    far = f.filter("n_local is null").join(once, ["name", "salt"]).select(*columns, F.col("wide_file").alias("callee_file"), F.col("name").alias("callee"))
+    f = near.unionByName(far)
     own = calls.filter("kind = 'self' and parent is not null").withColumn("callee", F.concat("parent", F.lit("."), "name"))
     s = own.join(defs.select("file", F.col("qualname").alias("callee")), ["file", "callee"], "left_semi").select(*columns, F.col("file").alias("callee_file"), "callee")
-    m = calls.filter("kind = 'method'").join(method.filter("n_method = 1"), "name").select(*columns, F.col("m.file").alias("callee_file"), F.col("m.qualname").alias("callee"))
+    single = method.filter("n_method = 1").select("name", "m", salts.alias("salt"))
+    m = calls.filter("kind = 'method'").withColumn("salt", salt).join(single, ["name", "salt"]).select(*columns, F.col("m.file").alias("callee_file"), F.col("m.qualname").alias("callee"))
     return f.unionByName(s).unionByName(m).filter("not (file = callee_file and caller = callee)")
 
 

@@ -83,11 +83,15 @@ def code_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{LINES}, c AS (SELECT file_key, bool_or(regexp_matches(h, '^(20|09)*2F2F')) AS line, bool_or(regexp_matches(h, '^(20|09)*2F2A')) AS block FROM l WHERE language IN ('c', 'javascript') GROUP BY 1)
+    f"""{LINES}, z AS (SELECT file_key, min(line_no) FILTER (NOT regexp_matches(h, {BLANK}) AND NOT {COMMENT}) AS code FROM l GROUP BY 1
+), c AS (SELECT l.file_key, coalesce(bool_or(regexp_matches(h, '^(20|09)*2F2F') AND line_no > code), false) AS line, coalesce(bool_or(regexp_matches(h, '^(20|09)*2F2A') AND line_no > code), false) AS block FROM l JOIN z ON z.file_key = l.file_key WHERE language IN ('c', 'javascript') GROUP BY 1)
 SELECT file_key, CASE WHEN line AND NOT block THEN 'line' ELSE 'block' END AS style FROM c"""
 )
 def comment_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    any_ = lambda p: F.exists("source_lines", lambda x: F.hex(x).rlike(p))
+    """The style that comments below the first code have; what stands above it, a banner, does not count."""
+    code = F.array_position(F.transform("source_lines", lambda x: ~patch.is_blank(x) & ~patch.is_comment(x, F.coalesce("language", F.lit("")))), True)
+    below = F.when(code > 0, F.slice("source_lines", F.greatest(code, F.lit(1)).cast("int"), F.size("source_lines"))).otherwise(F.array().cast("array<binary>"))
+    any_ = lambda p: F.exists(below, lambda x: F.hex(x).rlike(p))
     style = F.when(any_("^(20|09)*2F2F") & ~any_("^(20|09)*2F2A"), "line").otherwise("block")
     return _files(spark, sf_dir, _lined(F.when(F.col("language").isin("c", "javascript"), style)).alias("style")).filter("style is not null")
 
@@ -128,20 +132,30 @@ def content_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(k, "content_sha").select("file_key", "content_sha", "n_files", (F.col("file_key") == F.col("first_key")).alias("computes"))
 
 
+#: The name of a document that speaks for a project before any other, and the stems of the next ones.
+PREFERRED, STEMS = "claude.md", ("readme", "licence", "license", "copying")
+_RANK = f"CASE WHEN name = '{PREFERRED}' THEN 0 " + " ".join(f"WHEN regexp_replace(name, '[.][^.]*$', '') = '{x}' THEN {i + 1}" for i, x in enumerate(STEMS)) + f" ELSE {len(STEMS) + 1} END"
+
+
 @query(
     f"""WITH {ONCE}, d AS (SELECT DISTINCT repo, regexp_replace(file_key, '/[^/]*$', '') AS dir FROM f WHERE language IS NOT NULL
 ), c AS (SELECT file_key, regexp_replace(file_key, '/[^/]*$', '') AS dir, lower(regexp_extract(file_key, '[^/]*$', 0)) AS name FROM f WHERE language IS NULL
 ), up AS (SELECT DISTINCT d.dir, k AS level, array_to_string(list_slice(string_split(d.dir, '/'), 1, len(string_split(d.dir, '/')) - k), '/') AS above FROM d, range(0, 9) t(k) WHERE len(string_split(d.dir, '/')) - k >= 4
-), r AS (SELECT up.dir, c.file_key, row_number() OVER (PARTITION BY up.dir ORDER BY level, name NOT LIKE '%.md', name, file_key) AS k FROM up JOIN c ON c.dir = up.above)
+), r AS (SELECT up.dir, c.file_key, row_number() OVER (PARTITION BY up.dir ORDER BY level, {_RANK}, name NOT LIKE '%.md', name, file_key) AS k FROM up JOIN c ON c.dir = up.above)
 SELECT dir, file_key AS project_doc FROM r WHERE k = 1"""
 )
 def project_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that speaks for each directory with sources: the nearest at or above it, at most eight levels up and not
+    above the repository; at one level by its name, Markdown first. Only files without a language are documents."""
     f = table(spark, sf_dir, "run_files").select("file_key", "language").distinct()
     dir_, name = F.regexp_replace("file_key", r"/[^/]*$", ""), F.lower(F.regexp_extract("file_key", r"[^/]*$", 0))
     dirs = f.filter("language is not null").select(dir_.alias("dir")).distinct()
     up = dirs.withColumn("level", F.explode(F.sequence(F.lit(0), F.least(F.lit(8), F.size(F.split("dir", "/")) - 4)))).withColumn("above", F.expr("substring_index(dir, '/', size(split(dir, '/')) - level)"))
-    docs = f.filter("language is null").select(dir_.alias("above"), (~name.endswith(".md")).alias("plain"), name.alias("name"), "file_key")
-    best = docs.groupBy("above").agg(F.min(F.struct("plain", "name", "file_key")).alias("doc"))
+    stem, rank = F.regexp_replace(name, "[.][^.]*$", ""), F.lit(len(STEMS) + 1)
+    for i, x in reversed(list(enumerate(STEMS))):
+        rank = F.when(stem == x, i + 1).otherwise(rank)
+    docs = f.filter("language is null").select(dir_.alias("above"), F.when(name == PREFERRED, 0).otherwise(rank).alias("rank"), (~name.endswith(".md")).alias("plain"), name.alias("name"), "file_key")
+    best = docs.groupBy("above").agg(F.min(F.struct("rank", "plain", "name", "file_key")).alias("doc"))
     return up.join(best, "above").groupBy("dir").agg(F.min_by("doc.file_key", "level").alias("project_doc"))
 
 

@@ -135,7 +135,11 @@ def file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.summaries(table(spark, sf_dir, "documents"), "doc_id", "text", 200)
 
 
-@query()
+@query(
+    f"""WITH {LATEST}, w AS (SELECT file, id, coalesce(snippet, '') AS s FROM q WHERE {WAITS}
+), p AS (SELECT file, id, '<|im_start|>system' || chr(10) || 'Document the routine.<|im_end|>' || CASE WHEN regexp_replace(s, '\\s+', '', 'g') <> '' THEN '<|im_start|>user' || chr(10) || regexp_replace(s, '^\\s+|\\s+$', '', 'g') || '<|im_end|>' ELSE '' END || '<|im_start|>assistant' || chr(10) AS p FROM w)
+SELECT file, id, left(split_part(regexp_replace(string_split(p, chr(10) || chr(10))[-1], '^\\s+|\\s+$', '', 'g'), chr(10), 1), 80) AS reply FROM p"""
+)
 def drafted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = queue.first_deliveries(table(spark, sf_dir, "requests"), "snippet", "def", "blocks").filter(queue.unfilled(F.col("def"), F.col("blocks")))
     m = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))

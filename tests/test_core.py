@@ -436,6 +436,10 @@ def test_stream_counts_deliveries_once(spark, tmp_path):
     w.processAllAvailable()
     w.stop()
     assert sorted(r.id for r in spark.table("once").collect()) == ["a", "b"]
+    u = intake.untimed(s).writeStream.format("memory").queryName("untimed").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).start()
+    u.processAllAvailable()
+    u.stop()
+    assert [r.id for r in spark.table("untimed").collect()] == ["c"]
     v = intake.open_by_window(s).writeStream.format("memory").queryName("open").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).start()
     v.processAllAvailable()
     v.stop()
