@@ -95,6 +95,11 @@ _PLACES = {"(": ")", "[": "]", "{": "}"}
 
 
 _QUOTED = re.compile(r"```.*?```|`[^`]*`|\"[^\"\n]*\"|“[^”\n]*”|(?<!\w)'[^'\n]*'(?!\w)", re.S)
+_HINT = re.compile(rf"\b(?:{'|'.join(sorted(TRIGGERS))})\b")
+#: Where a way of declining can begin: at one of its first words, or at the end of the sentence before it.
+_STARTS = re.compile(
+    r"\.|(?<![^ ])(?:i|ive|im|id|we|they|sorry|apologies|my|our|sincere|as|could|can|would|will|might|may|please|let|is|any|not|isnt|arent|wasnt|werent|insufficient|too|no|beyond|outside|exceeds|above|unknown|unclear|unfamiliar|happy|glad|ask|impossible|hard|difficult)(?![^ ])"
+)
 _UNIT = re.compile(r"\w+|[.!?;:,—–](?=\s|$)|\s-\s")
 
 
@@ -103,6 +108,8 @@ def refuses(text: str) -> bool:
 
     It reads words by class: who speaks and cannot, asks for more, apologises, or names a limit of their own.
     """
+    if not _HINT.search(text.lower()):
+        return False
     plain = _QUOTED.sub(" x ", text)
     first = _LETTERS.search(plain)
     if first and first.group().isupper():  # where sentences have capitals, a small i is a name
@@ -111,7 +118,8 @@ def refuses(text: str) -> bool:
     units = _UNIT.findall(plain)
     if TRIGGERS.isdisjoint(units):
         return False
-    return REFUSAL.search(" ".join("." if not x[0].isalnum() else x for x in units if x != ",")) is not None
+    said = " ".join("." if not x[0].isalnum() else x for x in units if x != ",")
+    return REFUSAL.match(said) is not None or any(REFUSAL.match(said, m.start()) for m in _STARTS.finditer(said))
 
 
 @lru_cache(maxsize=65536)
@@ -120,20 +128,26 @@ def folded(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)).replace("ł", "l").replace("ø", "o").replace("đ", "d")
 
 
+_CODE_SPAN = re.compile(r"```.*?```|`[^`]*`", re.S)
+_PLAIN_WORD, _ANY_WORD = re.compile("[a-z]+"), re.compile(r"[^\W\d_]+")
+
+
 def foreign(text: str) -> bool:
     """Whether the votes of stop words, and of letters that English lacks, are for another language than English."""
-    plain = re.sub(r"```.*?```|`[^`]*`", " ", text, flags=re.S)
-    letters = _LETTERS.findall(plain)
-    if not letters:
-        return False
-    if sum(ord(c) > 0x24F for c in letters) > 0.3 * len(letters):
-        return True
+    plain = _CODE_SPAN.sub(" ", text) if "`" in text else text
     votes: dict[str, float] = {}
     strange = 0
-    for w in re.findall(r"[^\W\d_]+", plain.lower()):
-        for lang in _VOTES.get(w if w.isascii() else folded(w), ()):
+    if plain.isascii():
+        words = _PLAIN_WORD.findall(plain.lower())
+    else:
+        letters = _LETTERS.findall(plain)
+        if sum(ord(c) > 0x24F for c in letters) > 0.3 * len(letters):
+            return True
+        words = [w if w.isascii() else folded(w) for w in _ANY_WORD.findall(plain.lower())]
+        strange = sum(not w.isascii() for w in _ANY_WORD.findall(plain.lower()))
+    for w in words:
+        for lang in _VOTES.get(w, ()):
             votes[lang] = votes.get(lang, 0) + 1
-        strange += not w.isascii()
     english = votes.pop("en", 0)
     other = max(votes.values(), default=0) + strange
     return other > english and (other >= 2 or english == 0 and strange > 0)
