@@ -344,15 +344,20 @@ def _set_text(ids: Column, word: str) -> Column:
     return F.array_join(F.array_sort(ids), f" {word} ")
 
 
-def repository_of(file_key: Column) -> Column:
-    """The repository's name: the third part of a resolved path."""
-    return F.regexp_extract(file_key, r"^/[^/]+/[^/]+/([^/]+)/", 1)
+#: Folders above a repository's own in a resolved path.
+ABOVE = 2
 
 
-def licence_findings(files: DataFrame, licences: DataFrame) -> DataFrame:
+def repository_of(file_key: Column, above: int = ABOVE) -> Column:
+    """The repository's name: the part of a resolved path after so many folders; empty outside of any repository."""
+    return F.regexp_extract(file_key, rf"^(?:/[^/]+){{{above}}}/([^/]+)/", 1)
+
+
+def licence_findings(files: DataFrame, licences: DataFrame, above: int = ABOVE) -> DataFrame:
     """(scope, item, licence, flag) of every file with a language and of every repository.
 
-    Reads file_key, language and source_blob; repositories are named by file_key, so a null repo does no harm. A null
+    Reads file_key, language and source_blob; repositories are named by file_key, `above` folders down, so a null repo
+    does no harm. A null
     source_blob states nothing; rows with a null file_key or outside any repository are left out. Rows delivered twice
     give one row. Licences: the known ones, a small table that is held in memory.
     """
@@ -372,10 +377,10 @@ def licence_findings(files: DataFrame, licences: DataFrame) -> DataFrame:
     name = F.regexp_extract("file_key", r"([^/]*)$", 1)
     kind = F.when(F.col("language").isNotNull(), "file").when(name.rlike(LICENCE_FILE), "licence").when(name.rlike(PACKAGE_FILE), "package")
     rows = files.select("file_key", kind.alias("kind"), "source_blob", "language").filter("kind is not null and file_key is not null")
-    rows = rows.filter(repository_of(F.col("file_key")) != "")
+    rows = rows.filter(repository_of(F.col("file_key"), above) != "")
     said = written(spread(rows).mapInArrow(run, "file_key string, kind string, ids array<string>, choice boolean"), "licence-statements")
-    said = said.withColumn("dir", F.regexp_replace("file_key", r"/[^/]*$", "")).withColumn("repo", repository_of(F.col("file_key")))
-    root = F.size(F.split("dir", "/")) == 4
+    said = said.withColumn("dir", F.regexp_replace("file_key", r"/[^/]*$", "")).withColumn("repo", repository_of(F.col("file_key"), above))
+    root = F.size(F.split("dir", "/")) == above + 2
     # a directory's licence files state its terms: all of them together
     by_dir = said.filter("kind = 'licence'").groupBy("dir").agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
     packages = said.filter(F.col("kind") == "package").filter(root).filter("size(ids) > 0").groupBy("repo").agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("package_ids"))
@@ -383,7 +388,7 @@ def licence_findings(files: DataFrame, licences: DataFrame) -> DataFrame:
     # distinct directories, not files, look for the nearest directory at or above that has licence files
     dirs = said.filter("kind = 'file'").select("dir", "repo").distinct()
     depth = F.size(F.split("dir", "/"))
-    up = dirs.withColumn("depth", F.explode(F.sequence(F.lit(4), depth))).withColumn("above", F.expr("substring_index(dir, '/', depth)"))
+    up = dirs.withColumn("depth", F.explode(F.sequence(F.lit(above + 2), depth))).withColumn("above", F.expr("substring_index(dir, '/', depth)"))
     near = up.join(by_dir.select(F.col("dir").alias("above"), "ids"), "above").groupBy("dir").agg(F.max_by("ids", "depth").alias("ids"))
     governed = dirs.join(near, "dir", "left").join(packages, "repo", "left").select("dir", F.coalesce("ids", "package_ids").alias("governing"))
     # one directory may hold a third of all files, so both sides of the last join are salted

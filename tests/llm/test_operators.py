@@ -440,3 +440,15 @@ def test_descriptions_that_speak_of_refusing(text):
 )
 def test_languages_in_other_words(text, want):
     assert responses.foreign(text) is want
+
+
+def test_repositories_lie_where_they_are_said_to(spark):
+    rows = [("/data/a/b/r/LICENSE", LICENCES[2][4].encode(), "lf", None), ("/data/a/b/r/src/x.c", b"int x;", "lf", "c")]
+    out = {(r.scope, r.item): (r.licence, r.flag) for r in licences.licence_findings(run_files(spark, rows), licence_table(spark), above=3).collect()}
+    assert out == {("file", "/data/a/b/r/src/x.c"): ("BB", "ok"), ("repo", "r"): ("BB", "ok")}
+
+
+def test_pieces_with_null_endings_and_exact_limits(spark):
+    rows = [("a", b"x" * 100, None, "c"), ("b", b"x" * 101, None, "c"), ("c", b"\n" * 150, "lf", "c")]
+    got = {r.file_key: r.n for r in splitting.split_records(run_files(spark, rows), 100, 10).groupBy("file_key").count().withColumnRenamed("count", "n").collect()}
+    assert got == {"b": 2, "c": 2}
