@@ -99,9 +99,10 @@ def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = packing.pack(documents, capacity, sized=sized).filter("container_id is not null")
         each = p.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.max(F.col("container_offset") + F.col("n_tokens")).alias("end"), F.min("container_offset").alias("start"))
         whole = p.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"))
-        a = each.agg(F.min(((F.col("used") <= capacity) & (F.col("end") == F.col("used")) & (F.col("start") == 0)).cast("int")).alias("fits"))
-        b = whole.agg(F.count("*").alias("n_documents"), F.min(((F.col("k") == 1) | (F.col("n") > capacity)).cast("int")).alias("whole"))
-        out.append(b.crossJoin(a).select(F.lit(name).alias("limit_id"), "n_documents", (F.col("fits") == 1).alias("fits"), (F.col("whole") == 1).alias("whole")))  # one row each
+        a = each.agg(F.lit(0).cast("bigint").alias("n"), F.min(((F.col("used") <= capacity) & (F.col("end") == F.col("used")) & (F.col("start") == 0)).cast("int")).alias("fits"), F.lit(1).alias("whole"))
+        b = whole.agg(F.count("*").alias("n"), F.lit(1).alias("fits"), F.min(((F.col("k") == 1) | (F.col("n") > capacity)).cast("int")).alias("whole"))
+        both = a.unionByName(b).agg(F.max("n").alias("n_documents"), (F.min("fits") == 1).alias("fits"), (F.min("whole") == 1).alias("whole"))
+        out.append(both.select(F.lit(name).alias("limit_id"), "n_documents", "fits", "whole"))
     return out[0].unionByName(out[1])
 
 
