@@ -40,15 +40,27 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Removes all tables written so far: for a long session between queries whose results have been taken."""
+    while _WRITTEN:
+        _remove(*_WRITTEN.pop())
+
+
+atexit.register(release)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and not lost with an executor.
 
-    The table is removed when the driver's process ends.
+    The table is removed when the driver's process ends, or by `release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
