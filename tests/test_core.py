@@ -111,11 +111,17 @@ def test_groups(spark):
 
 
 def test_structural_breaks(spark):
-    q = catalog.queries()["structural_breaks"](spark, "")
-    assert sorted((r.first_line, r.last_line) for r in q.collect()) == [(2, 3), (4, 7), (8, 8), (9, 9)]
     s = spark.sql("SELECT 'a' AS routine_id, start, depth, is_return, is_def, opens_block, first_in_scope, closed_block, CAST(NULL AS INT) AS merge_anchor, false AS force_break FROM (VALUES (2,0,false,false,0,true,0),(3,0,false,false,0,false,0),(4,0,false,false,4,false,0),(6,1,false,false,0,false,0),(8,0,false,false,0,false,4),(9,0,true,false,0,false,0)) t(start,depth,is_return,is_def,opens_block,first_in_scope,closed_block)")
     r = spark.sql("SELECT 'a' AS routine_id, true AS has_doc, array(2,3,4,6,8,9) AS boundary_lines, 9 AS body_end")
     assert sorted(x.first_line for x in windows.structural_breaks(s, r).collect()) == [2, 4, 8, 9]
+    got = windows.structural_breaks(s, r.withColumn("has_doc", F.lit(False))).collect()
+    assert sorted((x.first_line, x.last_line) for x in got) == [(2, 3), (4, 7), (8, 8), (9, 9)]
+
+
+def test_probe_stops_early(spark):
+    rows = [("r", 1, 32, 10.0, True), ("r", 2, 64, 14.0, True), ("r", 3, 128, 14.0, True), ("r", 4, 256, 13.5, True), ("r", 5, 512, 9.0, True), ("r", 6, 1024, 20.0, True), ("x", 1, 32, 5.0, True), ("x", 2, 64, 6.0, False), ("x", 3, 128, 9.0, True)]
+    got = windows.best_probe(spark.createDataFrame(rows, "run string, step int, n int, metric double, ok boolean")).collect()
+    assert {(r.run, r.best_n, r.best_metric) for r in got} == {("r", 128, 14.0), ("x", 32, 5.0)}
 
 
 SYMBOL = "file string, qualname string, kind string, parent_qualname string, start_line int, depth int, end_line int, loaded_at timestamp, calls array<struct<name:string,kind:string,line:int>>"
@@ -449,7 +455,7 @@ def test_stream_counts_deliveries_once(spark, tmp_path):
 
 def test_queries_and_sql_name_the_same():
     q, s = catalog.queries(), catalog.oracle_sql()
-    assert set(s) <= set(q) and catalog.FLAGSHIP in q and len(q) > 60
+    assert set(s) <= set(q) and catalog.FLAGSHIP in q and len(q) > 110 and len(s) > 90
 
 
 def test_extra_columns_do_no_harm(spark):
