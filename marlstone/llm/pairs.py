@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.braces import LANGUAGES, functions
-from marlstone.tables import spread
+from marlstone.tables import spread, written
 
 #: English function words; alone they say nothing.
 PLAIN = set(
@@ -205,36 +205,54 @@ def _told(qualname: pd.Series, signature: pd.Series, doc: pd.Series) -> pd.Serie
 _KEY = ["file", "start_line", "name"]
 
 
+def _asked(symbols: DataFrame) -> DataFrame:
+    """(file, qualname, start_line, name) of the symbols that may be paired: routines with some documentation."""
+    s = symbols.select("file", "qualname", "start_line", "kind", "existing_doc")
+    s = s.filter(~F.col("kind").isin("class", "declaration") & F.col("existing_doc").isNotNull() & (F.length(F.trim("existing_doc")) > 0))
+    return s.select("file", "qualname", "start_line", F.regexp_extract("qualname", r"([^.]+)$", 1).alias("name")).distinct()
+
+
+def _matched(symbols: DataFrame, shown: DataFrame) -> DataFrame:
+    """The asked symbols with what their source says: told is null where it doesn't show the function. A table."""
+    told = shown.groupBy(*_KEY).agg(F.max("told").alias("told"))
+    return written(_asked(symbols).join(told, _KEY, "left"), "matched")
+
+
+def _alone(symbols: DataFrame, matched: DataFrame) -> DataFrame:
+    """Symbols that no source shows, by their own documentation: file, qualname, start_line, signature, existing_doc."""
+    key = ["file", "qualname", "start_line"]
+    lost = matched.filter("told is null").select(*(F.col(k).alias(f"k_{k}") for k in key))
+    s = symbols.select(*key, "kind", "signature", "existing_doc").filter(~F.col("kind").isin("class", "declaration"))
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key]
+    s = s.join(lost, same[0] & same[1] & same[2], "left_semi")
+    return s.filter(F.pandas_udf(_told, "boolean")("qualname", "signature", "existing_doc")).drop("kind").dropDuplicates(key)
+
+
 def documented(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Functions and methods of the symbols whose documentation tells something: file, qualname, start_line, name,
-    signature, existing_doc, shown.
+    """Functions and methods of the symbols whose documentation tells something: file, qualname, start_line, shown.
 
     The documentation is what the lexer attaches to the function in its source. Where the source doesn't show the
     function (the file is gone or broken), shown is false and the symbol's own existing_doc is judged. Symbols without
     documentation, of the kinds `class` and `declaration`, or of a null kind are left out. Rows delivered twice come out
-    once. A null signature has no parameters to repeat.
+    once. A null signature has no parameters to repeat. Only keys are shuffled, no sources or texts.
     """
-    s = symbols.select("file", "qualname", "start_line", "kind", "signature", "existing_doc")
-    s = s.filter(~F.col("kind").isin("class", "declaration") & F.col("existing_doc").isNotNull() & (F.length(F.trim("existing_doc")) > 0))
-    s = s.withColumn("name", F.regexp_extract("qualname", r"([^.]+)$", 1)).dropDuplicates(["file", "qualname", "start_line"])
-    shown = extracted(files, with_code=False).groupBy(*_KEY).agg(F.max("told").alias("told"))
-    j = s.join(shown, _KEY, "left")
-    alone = F.pandas_udf(_told, "boolean")("qualname", "signature", F.when(F.col("told").isNull(), F.col("existing_doc")))
-    j = j.withColumn("alone", alone).filter("coalesce(told, alone)")
-    return j.select("file", "qualname", "start_line", "name", "signature", "existing_doc", F.col("told").isNotNull().alias("shown"))
+    matched = _matched(symbols, extracted(files, with_code=False))
+    key = ["file", "qualname", "start_line"]
+    seen = matched.filter("told").select(*key, F.lit(True).alias("shown"))
+    return seen.unionByName(_alone(symbols, matched).select(*key, F.lit(False).alias("shown")))
 
 
 def pairs(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file, qualname, start_line, signature, code, description) of the documented functions.
 
-    Every function that a source shows comes with its code and the documentation attached to it, whether the symbols
-    have it or not (then under the lexer's name); a symbol that no source shows has a null code.
+    Every function that a source shows comes with its code and the documentation attached to it, under the symbols' name
+    where they have it, else the lexer's; a symbol that no source shows has a null code. Sources are lexed once.
     """
-    found = extracted(files).filter("told").dropDuplicates(_KEY)
-    s = symbols.select("file", "qualname", "start_line", "kind", F.col("signature").alias("known"))
-    s = s.filter(~F.col("kind").isin("class", "declaration")).withColumn("name", F.regexp_extract("qualname", r"([^.]+)$", 1)).dropDuplicates(["file", "qualname", "start_line"])
-    named = s.withColumnRenamed("qualname", "said").drop("kind")
-    of_sources = found.join(named, _KEY, "left").select("file", F.coalesce("said", "qualname").alias("qualname"), "start_line", F.coalesce("known", "signature").alias("signature"), "code", "description")
+    found = written(extracted(files), "functions")
+    matched = _matched(symbols, found)
+    named = matched.filter("told").select(*_KEY, F.col("qualname").alias("said"))
+    own = found.filter("told").dropDuplicates(_KEY).join(named, _KEY, "left")
+    of_sources = own.select("file", F.coalesce("said", "qualname").alias("qualname"), "start_line", "signature", "code", "description")
     clean = F.pandas_udf(lambda x: x.map(unwrapped), "string")
-    alone = documented(files, symbols).filter("not shown").select("file", "qualname", "start_line", "signature", F.lit(None).cast("string").alias("code"), clean("existing_doc").alias("description"))
+    alone = _alone(symbols, matched).select("file", "qualname", "start_line", "signature", F.lit(None).cast("string").alias("code"), clean("existing_doc").alias("description"))
     return of_sources.unionByName(alone)
