@@ -27,20 +27,20 @@ def located_drafts(entries: DataFrame, drafts: DataFrame) -> DataFrame:
     return j.select("file", F.array_min(fits).alias("r")).filter("r is not null").select("file", "r.first", "r.last")
 
 
-_ZONE = "struct<entries:array<struct<line_no:int,prefix:string,inner:string>>,insert_at:int,prefix:string,fresh:boolean>"
+_ZONE = "struct<entries:array<struct<line_no:int,prefix:string,inner:string>>,insert_at:int,prefix:string,fresh:boolean,stop:int>"
 
 
 def header_zone(lines: Column, language: Column) -> Column:
-    """Where a file's description stands or can stand: struct(entries, insert_at, prefix, fresh); null for a blank file.
+    """Where a file's description stands or can stand: struct(entries, insert_at, prefix, fresh, stop); null for a blank file.
 
     Entries are the lines of leading comments (in Python of the module's docstring) that hold text, with what stands
     before it; a block comment of one line, and lines with delimiters, are none. New text goes before line insert_at + 1:
     with the prefix after the last entry's comment, or as a comment of its own (fresh) where there is none. A `#!` line
-    is passed over; the first line of code ends the zone.
+    is passed over; the first line of code ends the zone, which has `stop` lines.
     """
     python = language == "python"
     entry = F.array().cast("array<struct<line_no:int,prefix:string,inner:string>>")
-    start = F.struct(F.lit(0).alias("k"), F.lit("").alias("closer"), F.lit(True).alias("zone"), entry.alias("entries"), F.lit(-1).alias("at"), F.lit("").alias("prefix"), F.lit(False).alias("found"))
+    start = F.struct(F.lit(0).alias("k"), F.lit("").alias("closer"), F.lit(True).alias("zone"), entry.alias("entries"), F.lit(-1).alias("at"), F.lit("").alias("prefix"), F.lit(False).alias("found"), F.lit(-1).alias("stop"))
 
     def step(s: Column, x: Column) -> Column:
         t, lead, k = F.btrim(x, F.lit(" \t\f\r")), F.regexp_extract(x, r"^([ \t]*)", 1), s["k"] + 1
@@ -65,17 +65,50 @@ def header_zone(lines: Column, language: Column) -> Column:
         own = F.when(python, F.when(F.size(entries) > 0, F.element_at(entries, -1)["prefix"]).otherwise(lead)).otherwise(F.concat(lead, F.lit("* ")))
         prefix = F.when(live & ends, own).when(live & opened & closed & ~python, "// ").when(live & ~inside & line, F.concat(lead, F.lit("// "))).otherwise(s["prefix"])
         done = python & s["found"] & ~inside
-        return F.when(done, F.struct(k.alias("k"), s["closer"].alias("closer"), F.lit(False).alias("zone"), s["entries"].alias("entries"), s["at"].alias("at"), s["prefix"].alias("prefix"), s["found"].alias("found"))).otherwise(
-            F.struct(k.alias("k"), closer.alias("closer"), live.alias("zone"), entries.alias("entries"), at.cast("int").alias("at"), prefix.alias("prefix"), (s["found"] | (live & (opened | (~inside & line)))).alias("found"))
+        return F.when(done, F.struct(k.alias("k"), s["closer"].alias("closer"), F.lit(False).alias("zone"), s["entries"].alias("entries"), s["at"].alias("at"), s["prefix"].alias("prefix"), s["found"].alias("found"), F.when(s["stop"] < 0, k - 1).otherwise(s["stop"]).cast("int").alias("stop"))).otherwise(
+            F.struct(k.alias("k"), closer.alias("closer"), live.alias("zone"), entries.alias("entries"), at.cast("int").alias("at"), prefix.alias("prefix"), (s["found"] | (live & (opened | (~inside & line)))).alias("found"), F.when(s["zone"] & ~live, k - 1).otherwise(s["stop"]).cast("int").alias("stop"))
         )
 
     blank = ~F.exists(lines, lambda x: F.btrim(x, F.lit(" \t\f\r")) != "")
     code_at = F.array_position(F.transform(lines, lambda x: (F.btrim(x, F.lit(" \t\f\r")) != "") & ~x.startswith("#")), True)
     top = F.when(python, F.when(code_at > 0, code_at - 1).otherwise(F.size(lines))).otherwise(F.when(F.element_at(lines, 1).startswith("#!"), 1).otherwise(0)).cast("int")
-    end = lambda s: F.when(s["found"], F.struct(s["entries"].alias("entries"), F.when(s["at"] >= 0, s["at"]).otherwise(F.size(lines)).alias("insert_at"), s["prefix"].alias("prefix"), F.lit(False).alias("fresh"))).otherwise(F.struct(entry.alias("entries"), top.alias("insert_at"), F.lit("").alias("prefix"), F.lit(True).alias("fresh")))
+    stopped = lambda s: F.when(s["stop"] >= 0, s["stop"]).otherwise(F.size(lines)).cast("int")
+    end = lambda s: F.when(s["found"], F.struct(s["entries"].alias("entries"), F.when(s["at"] >= 0, s["at"]).otherwise(F.size(lines)).alias("insert_at"), s["prefix"].alias("prefix"), F.lit(False).alias("fresh"), stopped(s).alias("stop"))).otherwise(F.struct(entry.alias("entries"), top.alias("insert_at"), F.lit("").alias("prefix"), F.lit(True).alias("fresh"), stopped(s).alias("stop")))
     return F.when(blank | F.size(lines).isNull() | (F.size(lines) <= 0), F.lit(None).cast(_ZONE)).otherwise(F.aggregate(lines, start, step, end).cast(_ZONE))
 
 
+def _carried(c: Column) -> Column:
+    """A text's UTF-8 bytes as characters of one byte each, as lines are carried."""
+    return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+
+
+def skeletons(heads: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file, skeleton, n_symbols) of files with symbols: the header zone, C's macros by their first lines, and each symbol's
+    documentation and signature by line, indented by its depth; texts as characters of one byte each.
+
+    heads: (file, language, lines array<string>, zone by `header_zone`), a file without one has no zone; symbols: each
+    (file, qualname) once. A prototype is hidden where its own file defines the routine. Documentation stands above a
+    signature, in Python below it.
+    """
+    s = symbols.select("file", "qualname", "kind", "signature", "start_line", F.coalesce("depth", F.lit(0)).alias("depth"), "existing_doc")
+    defined = s.filter("kind = 'function'").select("file", "qualname", F.lit("declaration").alias("kind"))
+    s = s.join(defined, ["file", "qualname", "kind"], "left_anti")
+    indent = F.repeat(F.lit("    "), F.greatest(F.col("depth"), F.lit(0)))
+    strip = lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")
+    doc = F.transform(F.split("existing_doc", "\n"), lambda x: F.rtrim(F.concat(indent, F.when(F.col("file").endswith(".py"), "    ").otherwise(""), strip(x))))
+    docs = F.when(F.coalesce(F.trim("existing_doc"), F.lit("")) == "", F.array().cast("array<string>")).otherwise(doc)
+    head = F.array(F.concat(indent, F.coalesce("signature", F.concat("kind", F.lit(" "), "qualname"))))
+    block = F.array_join(F.when(F.col("file").endswith(".py"), F.concat(head, docs)).otherwise(F.concat(docs, head)), "\n")
+    rows = F.array_sort(F.collect_list(F.struct("start_line", "qualname", _carried(block).alias("block"))))
+    body = s.groupBy("file").agg(F.array_join(rows["block"], "\n\n").alias("body"), F.count("*").alias("n_symbols"))
+    zone = F.regexp_replace(F.array_join(F.slice("lines", 1, F.greatest(F.coalesce(F.col("zone.stop"), F.lit(0)), F.lit(0))), "\n"), r"\s+\z", "")
+    cut = lambda x: F.when(F.rtrim(x).endswith("\\"), F.concat(F.regexp_replace(x, r"[ \t]*\\+[ \t]*$", ""), F.lit(" ..."))).otherwise(F.regexp_replace(x, r"[ \t]+$", ""))
+    macros = F.when(F.col("language") == "c", F.array_join(F.transform(F.filter("lines", lambda x: x.rlike(r"^[ \t]*#[ \t]*define\b")), cut), "\n"))
+    h = heads.select("file", zone.alias("head"), macros.alias("macros"))
+    parts = F.filter(F.array("head", "macros", "body"), lambda x: F.coalesce(x, F.lit("")) != "")
+    return body.join(h, "file", "left").select("file", F.array_join(parts, "\n\n").alias("skeleton"), "n_symbols")
+
+
 def _within(old: Column, new: Column, start: Column, removed: Column, added: Column, language: Column) -> Column:
     """Whether lines are alike outside a window, and within it nothing but comments and blank lines."""
     plain = lambda x: (F.btrim(x, F.lit(" \t\f\r")) == "") | F.when(language == "python", F.lit(True)).otherwise(F.regexp_like(x, F.lit(r"^[ \t]*(//|/\*|\*)")))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from marlstone.functions import replies as R
 from marlstone.functions import text as T
 from marlstone.operators import headers, loading, patching, queue
+from marlstone.operators.graph import unique_symbols
 from marlstone.operators.loading import carried
 from marlstone.plans.catalog import query
+from marlstone.plans.graph import UNIQUE
 from marlstone.plans.manifest import LATEST, routine_hashes
 from marlstone.tables import table, written
 
@@ -123,3 +125,26 @@ def annotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = answers.select("file", F.regexp_extract("id", r"^fn:(.*):[^:]*$", 1).alias("qualname"), "answer").groupBy("file", "qualname").agg(F.min("answer").alias("text"))
     notes = ids.join(found, ["file", "qualname"]).select(F.col("file").alias("file_key"), "line_no", "text")
     return patch.annotated(f, notes).select("file_key", "n_inserted", "preserved", F.when(F.col("source_lines").isNotNull(), F.size("source_lines")).alias("n_lines"))
+
+
+@query(
+    f"""WITH {ZONES}, {UNIQUE}, g AS (SELECT file, qualname, arg_max({{'v': signature}}, (start_line, loaded_at)).v AS signature FROM symbols GROUP BY ALL
+), zl AS (SELECT d.file_key, k, h FROM d JOIN e ON e.file_key = d.file_key WHERE stop IS NULL OR k < stop
+), zt AS (SELECT file_key, max(k) FILTER (NOT regexp_matches(h, '^{_WS}*$')) AS last FROM zl GROUP BY 1
+), hd AS (SELECT zl.file_key, regexp_replace(string_agg(h, '0A' ORDER BY k), '{_WS}*$', '') AS x FROM zl JOIN zt ON zt.file_key = zl.file_key AND k <= last GROUP BY 1
+), mc AS (SELECT l.file_key, string_agg(CASE WHEN regexp_matches(h, '5C(20|09)*$') THEN regexp_replace(h, '((20|09)*(5C)+(20|09)*)$', '') || '202E2E2E' ELSE regexp_replace(h, '(20|09)+$', '') END, '0A' ORDER BY k) AS x
+  FROM l JOIN f ON f.file_key = l.file_key WHERE f.language = 'c' AND regexp_matches(h, '^(20|09)*23(20|09)*646566696E65') AND NOT regexp_matches(h, '^(20|09)*23(20|09)*646566696E65(3[0-9]|[46][1-9A-F]|[57][0-9A]|5F)') GROUP BY 1
+), sy AS (SELECT u.*, g.signature, repeat('    ', greatest(coalesce(depth, 0), 0)) AS ind FROM u JOIN g ON g.file = u.file AND g.qualname = u.qualname
+  WHERE NOT regexp_matches(u.file, '\\.py$') AND NOT (u.kind = 'declaration' AND EXISTS (SELECT 1 FROM u v WHERE v.kind = 'function' AND v.file = u.file AND v.qualname = u.qualname))
+), bl AS (SELECT file, start_line, qualname, CASE WHEN trim(coalesce(existing_doc, ''), ' ') = '' THEN '' ELSE array_to_string(list_transform(string_split(existing_doc, chr(10)), lambda x: rtrim(ind || regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g'), ' ')), chr(10)) || chr(10) END || ind || coalesce(signature, kind || ' ' || qualname) AS b FROM sy
+), bd AS (SELECT file, hex(encode(string_agg(b, chr(10) || chr(10) ORDER BY start_line, qualname))) AS x, count(*) AS n_symbols FROM bl GROUP BY 1)
+SELECT bd.file, n_symbols, sha256(unhex(array_to_string(list_filter([hd.x, mc.x, bd.x], lambda y: coalesce(y, '') <> ''), '0A0A'))) AS skeleton_sha FROM bd LEFT JOIN hd ON hd.file_key = bd.file LEFT JOIN mc ON mc.file_key = bd.file"""
+)
+def file_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skeletons of C and JavaScript files: header, macros, documentation and signatures."""
+    lines = F.when(F.size("source_lines") > 0, F.transform("source_lines", carried))
+    keep = F.when(F.col("language").isin("c", "javascript"), F.struct(lines.alias("lines"), F.col("language").alias("language")))
+    f = loading.delivered_once(table(spark, sf_dir, "run_files"), keep.alias("r")).filter("r.lines is not null").select(F.col("file_key").alias("file"), "r.*")
+    f = f.withColumn("zone", headers.header_zone(F.col("lines"), F.col("language")))
+    s = unique_symbols(table(spark, sf_dir, "symbols"), "kind", "signature", "start_line", "depth", "existing_doc").filter(~F.col("file").endswith(".py"))
+    return headers.skeletons(f, written(s, "symbols")).select("file", "n_symbols", F.sha2(F.encode("skeleton", "ISO-8859-1"), 256).alias("skeleton_sha"))

@@ -97,6 +97,15 @@ def test_header_zones(spark):
     assert zone(spark, ["# note", "x = 1"], "python") == ([], 1, "", True) and zone(spark, ['"""All in one."""', "x"], "python")[0] == []
 
 
+def test_skeletons(spark):
+    lines = ["/* Top. */", "", "#define A 1", "#define B(x) \\", "    (x)", "#defined 3", "int f(void);", "int f(void) { return 0; }", ""]
+    h = spark.createDataFrame([("a.c", "c", lines), ("n.c", "c", None)], "file string, language string, lines array<string>").withColumn("zone", headers.header_zone(F.col("lines"), F.col("language")))
+    s = spark.createDataFrame([("a.c", "f", "function", "int f(void)", 8, 0, "/** Gives ü. */"), ("a.c", "g", "declaration", None, 9, None, " "), ("b.py", "A", "class", "class A", 1, 0, "Holds."), ("b.py", "A.f", "def", "def f()", 2, 1, "Does.\n  More.")], "file string, qualname string, kind string, signature string, start_line int, depth int, existing_doc string")
+    got = {r.file: (r.skeleton.encode("latin-1").decode(), r.n_symbols) for r in headers.skeletons(h, s).collect()}
+    assert got["a.c"] == ("/* Top. */\n\n#define A 1\n#define B(x) ...\n\n/** Gives ü. */\nint f(void)\n\ndeclaration g", 2)
+    assert got["b.py"] == ("class A\n    Holds.\n\n    def f()\n        Does.\n        More.", 2) and headers.skeletons(h, s.limit(0)).count() == 0
+
+
 def test_descriptions(spark):
     rows = [
         ("a", "c", ["/*", " * Copyright 2020", " * old", " */", "int x;"], 2, 2, "new words"), ("l", "c", ["/*", " * Copyright 2020", " * old", " */", "int x;"], 1, 2, "new"), ("f", "c", ["int x;"], None, None, "new"),
