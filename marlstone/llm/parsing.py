@@ -18,8 +18,9 @@ from marlstone.llm.licences import repository_of
 from marlstone.tables import spread
 
 LANGUAGES = ("python", "c", "javascript")
-#: Frames of the matcher: Python keeps them on its heap, so that only memory bounds how deep a source may be nested.
-FRAMES = 100_000_000
+#: Frames of the matcher, which Python keeps on its heap: enough for some 200,000 levels of nesting, and 1.4 GB. A source
+#: nested deeper than that counts as not valid, as it does for compilers, whose bounds are lower.
+FRAMES = 4_000_000
 _CONFLICT = re.compile(r"(?m)^(<{7}|={7}|>{7}|\|{7})(?: |$)")
 
 
@@ -46,7 +47,7 @@ def valid(blob: bytes, language: str) -> bool:
             return g.accepts(javascript.symbols(_text(blob), g), "file", "A")
         text = _text(blob)
         return c.check(text[1:] if text.startswith("﻿") else text, g)[0]
-    except Malformed:
+    except (Malformed, RecursionError):
         return False
 
 
@@ -112,6 +113,8 @@ def failure(blob: bytes, language: str) -> tuple[int, str]:
         except Malformed as e:
             line = e.at + 1 if language == "c" else text.count("\n", 0, e.at) + 1
             ended = "without end" in e.why or e.why == "#if without #endif"
+        except RecursionError:
+            pass
     finally:
         g.known, g.diagnose = known, False
     if len({m[1][0] for m in _CONFLICT.finditer(text)} & set("<>=")) >= 2:

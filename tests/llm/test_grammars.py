@@ -137,3 +137,17 @@ def test_deep_nesting_is_judged(depth):
     assert parsing.broken(b"x = " + a(b"[", b"1 2", b"]") + b";\n", "javascript") and not parsing.broken(b"x = " + a(b"[", b"1", b"]") + b";\n", "javascript")
     assert parsing.broken(b"int x = " + a(b"(", b"1 2", b")") + b";\n", "c") and not parsing.broken(b"int x = " + a(b"(", b"1", b")") + b";\n", "c")
     assert parsing.broken(b"if (a) b(); else " * depth + b"c() d;\n", "javascript")
+
+
+def test_nesting_beyond_the_frames_is_no_crash(monkeypatch):
+    import sys
+
+    before = sys.getrecursionlimit()
+    parsing.valid(b"x;", "javascript")
+    try:
+        sys.setrecursionlimit(3_000)
+        assert parsing.broken(b"y = " + b"[g(" * 2_000 + b"2" + b")]" * 2_000 + b";\n", "javascript")
+        assert parsing.failure(b"z = " + b"[h(" * 2_000 + b"3 4" + b")]" * 2_000 + b";\n", "javascript")[0] == 1
+    finally:
+        sys.setrecursionlimit(max(before, parsing.FRAMES))
+    assert not parsing.broken(b"w = [[1]];\n", "javascript")
