@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators import braces, parse
+from marlstone.tables import spread
 
 #: A block of so many lines is one of its own; so many leading declarations are; a routine of at most so many is short.
 BLOCK_LINES, DECLARATIONS, SHORT = 3, 2, 3
@@ -325,7 +326,7 @@ def _mapped(files: DataFrame, work, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], names=arrow.names)
 
     rows = files.select("file_key", "source_blob", "language").filter(F.col("source_blob").isNotNull() & F.col("language").isin(*braces.LANGUAGES))
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 _STATEMENT = "start int, end int, depth int, is_return boolean, is_def boolean, opens_block int, first_in_scope boolean, closed_block int, merge_anchor int, force_break boolean"

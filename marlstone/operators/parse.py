@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.tables import spread
+
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
@@ -166,7 +168,7 @@ def _mapped(files: DataFrame, find, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], names=arrow.names)
 
     python = files.filter("language = 'python' and source_blob is not null").select("file_key", "source_blob")
-    return python.mapInArrow(run, schema)
+    return spread(python).mapInArrow(run, schema)
 
 
 def python_definitions(files: DataFrame, signed: bool = False) -> DataFrame:

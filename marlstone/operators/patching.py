@@ -173,8 +173,15 @@ def documented_lines(lines: list[str], language: str, notes: list[tuple[int, str
     """
     notes = list(dict(notes).items())
     if language == "python":
-        inline = _with_docstrings(lines, notes)[1]
-        out, applied, refused = _guarded(lines, language, [[n] for n in notes], lambda ns: _with_docstrings(lines, ns)[0], False)
+        inline = 0
+
+        def patch(ns: list[tuple[int, str]]) -> list[str]:
+            nonlocal inline
+            out, k = _with_docstrings(lines, ns)
+            inline = k  # of the last patch, the one that is kept
+            return out
+
+        out, applied, refused = _guarded(lines, language, [[n] for n in notes], patch, False)
         return Patched(out, max(0, applied - inline), refused, inline if applied else 0)
     out, applied, refused = _guarded(lines, language, [[n] for n in notes], lambda ns: _with_headers(lines, language, ns), True)
     return Patched(out, applied, refused, 0)
