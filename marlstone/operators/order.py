@@ -71,9 +71,9 @@ def cycles(edges: list[tuple[str, str]]) -> dict[str, str]:
                 if path:
                     low[path[-1][0]] = min(low[path[-1][0]], low[node])
                 if low[node] == number[node]:
-                    at = waiting.index(node, 0) if len(waiting) < 2 else len(waiting) - 1 - waiting[::-1].index(node)
-                    members = waiting[at:]
-                    del waiting[at:]
+                    members = [waiting.pop()]
+                    while members[-1] != node:
+                        members.append(waiting.pop())
                     inside.difference_update(members)
                     least = min(members)
                     out.update((m, least) for m in members)
