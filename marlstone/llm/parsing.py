@@ -71,17 +71,18 @@ def broken(blob: bytes, language: str) -> bool:
 
 def _deepest(g: Grammar, symbol: str, index: int, places: dict, symbols: str) -> int:
     """Follows a failure into the group it lies in; the place of the furthest symbol."""
-    place = 0
+    place, furthest = 0, {}
+    for k, v in g.failed.items():
+        furthest[k[0]] = max(v, furthest.get(k[0], -1))
     while True:
         at = places.get(symbol) or []
         if not at:
             break
         place = at[min(index, len(at) - 1)]
         here = symbols[index] if index < len(symbols) else ""
-        tried = [(v, k[0]) for k, v in g.failed.items() if k[0] == here]
-        if here not in g.kind or not tried:
+        if here not in g.kind or here not in furthest:
             break
-        index, symbol = max(tried)
+        index, symbol = furthest[here], here
         symbols = g.content[symbol]
     return place
 
