@@ -127,6 +127,14 @@ def test_imports_and_patterns():
     assert list(blocks.anonymised("x = f(1, 'a') + y.z\nif x: pass\n")) == [(1, "v + f ( 0 , 0 ) + v . v"), (2, "if v : pass")] and list(blocks.anonymised("x = (")) == []
 
 
+def test_patterns_of_sources_with_nulls(spark):
+    nul = ["def f():\n    if x:\n        y = 1\n    z\0\0", "if x:\n  y\n \0\n", "x = '\0'\n", "\0", "# \0\ny = 1\n"]
+    assert [list(blocks.anonymised(t)) for t in nul] == [[]] * len(nul)
+    rows = [(f"{i}.py", bytearray(t.encode()), "python") for i, t in enumerate([*nul, "if x:\n    y = f(2)\n"])]
+    files = spark.createDataFrame(rows, "file_key string, source_blob binary, language string").coalesce(1)
+    assert sorted(map(tuple, blocks.line_patterns(files).collect())) == [("5.py", 1, "if v :"), ("5.py", 2, "v + f ( 0 )")]
+
+
 def scripted(*rules):
     """A model that answers by what a prompt says, the first rule that fits."""
 
